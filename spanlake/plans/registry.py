@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from spanlake.plans import code as code_queries
+from spanlake.plans import spans as span_queries
 
-from pyspark.sql import DataFrame, SparkSession
+assert code_queries  # its queries register on import
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = span_queries.QUERIES
+ORACLE_SQL = span_queries.ORACLE_SQL
