@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanlake.llm.common import cut, stored
+from spanlake.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns that hold from the start: words that announce a credential, and a published key prefix.
@@ -96,24 +96,22 @@ def occurrences(text: str, spans: list[tuple[int, int, int]], least: int = 8) ->
     return out
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Each row's base spans and identifier-like tokens; null text is empty."""
+def graph_rows(docs: DataFrame) -> DataFrame:
+    """(pattern, value, known) of all identifier-like tokens in `text`, once for each task and triple."""
 
     def scan(batches):
         for batch in batches:
-            spans, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                s = base_spans(text) if text and _HINT.search(text) else []
-                spans.append([{"start": b, "kind": KINDS[k], "end": e} for b, k, e in s])
-                tokens.append([{"start": b, "end": e, "value": hashlib.md5(v.encode()).hexdigest(), "patterns": p, "known": n} for b, e, v, p, n in occurrences(text, s)] if text and _HINT.search(text) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), pa.array(tokens, _TOKENS)], names=["doc_id", "base", "tokens"])
+            rows = set()
+            for text in batch.column(0).to_pylist():
+                if text and _HINT.search(text):
+                    rows |= {(p, hashlib.md5(v.encode("utf-8", "replace")).hexdigest(), n) for _, _, v, ps, n in occurrences(text, base_spans(text)) for p in ps}
+            yield pa.RecordBatch.from_pylist([{"pattern": p, "value": v, "known": n} for p, v, n in rows], _EDGES)
 
-    schema = StructType([*docs.select("doc_id").schema, *StructType.fromDDL("base array<struct<`start`:long,kind:string,`end`:long>>, tokens array<struct<`start`:long,`end`:long,value:string,patterns:array<string>,known:boolean>>")])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "pattern string, value string, known boolean")
 
 
+_EDGES = pa.schema([("pattern", pa.string()), ("value", pa.string()), ("known", pa.bool_())])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
-_TOKENS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("known", pa.bool_())]))
 
 
 def bootstrap(tokens: DataFrame, rounds: int = 3, support: int = 3, doubt: float = 2.0, seed_patterns: tuple[str, ...] = SEED_PATTERNS) -> DataFrame:
@@ -135,23 +133,42 @@ def bootstrap(tokens: DataFrame, rounds: int = 3, support: int = 3, doubt: float
     return conf
 
 
+def learned_patterns(docs: DataFrame, rounds: int = 3, confident: float = 0.8, max_patterns: int = 2_000_000) -> frozenset[str]:
+    """The patterns of confidence >= `confident`. They go to every task, so their number is checked."""
+    good = bootstrap(graph_rows(docs), rounds).filter(F.col("confidence") >= confident).select("pattern").limit(max_patterns + 1).toArrow()
+    if good.num_rows > max_patterns:
+        raise ValueError("more patterns than max_patterns: raise `confident` or the bound")
+    return frozenset(good.column(0).to_pylist())
+
+
+def all_spans(text: str | None, patterns: frozenset[str]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and those of identifier-like tokens apart from them in a learned pattern: (start, kind number, end)."""
+    if not text or not _HINT.search(text):
+        return [], []
+    base = base_spans(text)
+    return base, [(b, len(KINDS), e) for b, e, _, p, known in occurrences(text, base) if not known and not patterns.isdisjoint(p)]
+
+
 def find_pii(docs: DataFrame, rounds: int = 3, confident: float = 0.8) -> DataFrame:
     """(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base, found (arrays of start, kind, end).
 
-    `base` follows the exact patterns; `found` adds, as kind `id`, identifier-like tokens apart from
-    base spans that stand in a context of confidence >= `confident`. A row for each input row;
-    null and empty texts have no spans.
+    `base` follows the exact patterns, which the counts are of; `found` adds, as kind `id`,
+    identifier-like tokens apart from base spans that stand in a context of confidence >= `confident`.
+    A row for each input row; null and empty texts have no spans. The texts are read twice, once for
+    the pattern-instance graph and once to apply it; they are never shuffled.
     """
-    rows = stored(scanned(docs).withColumn("row", F.monotonically_increasing_id()))
-    tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
-    wide = tokens.select("row", "start", "end", "value", "known", F.explode("patterns").alias("pattern"))
-    good = bootstrap(wide.select("value", "pattern", "known"), rounds).filter(F.col("confidence") >= confident)
-    fresh = wide.filter("not known").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
-    found = fresh.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit("id").alias("kind"), "end"))).alias("found"))
-    out = rows.select("row", "doc_id", "base").join(found, "row", "left")
-    none = F.array().cast("array<struct<`start`:long,kind:string,`end`:long>>")
-    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, "base", F.coalesce("found", none).alias("found"))
+    patterns = learned_patterns(docs, rounds, confident)
+
+    def find(batches):
+        names = (*KINDS, "id")
+        for batch in batches:
+            got = [all_spans(t, patterns) for t in batch.column(1).to_pylist()]
+            counts = [pa.array([sum(s[1] == k for s in g[0]) for g in got], pa.int64()) for k in range(len(KINDS))]
+            spans = [pa.array([[{"start": b, "kind": names[k], "end": e} for b, k, e in g[i]] for g in got], _SPANS) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *spans], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "found"])
+
+    more = StructType.fromDDL(", ".join(f"n_{k} long" for k in KINDS) + ", base array<struct<`start`:long,kind:string,`end`:long>>, found array<struct<`start`:long,kind:string,`end`:long>>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(find, StructType([*docs.select("doc_id").schema, *more]))
 
 
 def _joined(spans):
@@ -168,32 +185,34 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rounds: int = 3, confident: float = 0.8) -> DataFrame:
-    """`docs` with each span of find_pii replaced by its kind in brackets; other columns stay.
+    """`docs` with each span of find_pii in `text` replaced by its kind in brackets; other columns stay.
 
-    Overlapping spans are replaced as one, by the first one's kind. Where a text changes and there is
-    an n_chars column, it counts anew. Null texts stay null.
+    Overlapping spans are replaced as one, by the first one's kind. Where there is an n_chars column,
+    it counts changed texts anew. Null texts stay null.
     """
-    kept = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = stored(kept)
-    spans = find_pii(kept.select(F.col("__row").alias("doc_id"), "text"), rounds, confident)
-    spans = spans.select(F.col("doc_id").alias("__row"), F.concat("base", "found").alias("__spans")).filter(F.size("__spans") > 0)
+    patterns = learned_patterns(docs, rounds, confident)
+    at = docs.columns.index("text")
 
     def replace(batches):
+        names = [f"[{k.upper()}]" for k in (*KINDS, "id")]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
-                if texts[i] and spans:
-                    parts, last = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= last:
-                            parts += [texts[i][last : s["start"]], f"[{s['kind'].upper()}]"]
-                        last = max(last, s["end"])
-                    texts[i] = "".join([*parts, texts[i][last:]])
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "__text"])
-
-    hit = kept.select("__row", "text").join(spans, "__row")
-    new = hit.mapInArrow(replace, "__row long, __text string")
-    out = kept.join(new, "__row", "left").withColumn("text", F.coalesce("__text", "text"))
+            texts = batch.column(at).to_pylist()
+            changed = []
+            for i, text in enumerate(texts):
+                base, found = all_spans(text, patterns)
+                parts, last = [], 0
+                for b, k, e in sorted(base + found, key=lambda s: (s[0], -s[2])):
+                    if b >= last:
+                        parts += [text[last:b], names[k]]
+                    last = max(last, e)
+                changed.append(bool(parts))
+                if parts:
+                    texts[i] = "".join([*parts, text[last:]])
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*batch.schema.names, "__changed"])
+
+    out = docs.mapInArrow(replace, StructType([*docs.schema, *StructType.fromDDL("__changed boolean")]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
