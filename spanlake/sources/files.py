@@ -13,7 +13,10 @@ EXCLUDED = ("__pycache__", ".git", "venv", ".venv", "node_modules")
 
 
 def read_source_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """Path, content of the source and config files below root; a path that holds an excluded text is left out."""
+    """Path, content of the source and config files below root; a path that holds an excluded text is left out.
+
+    Spark's readers pass over names that begin with `.`; give `.env` files by their own path.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.substring_index("path", "/", -1)
     kept = name.startswith(".env") | F.lower(name).rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$")

@@ -72,8 +72,8 @@ NODE = "span_id string, function_name string, context_id string, parent_span_id
 class _Pair(StatefulProcessor):
     """Holds a span's parts until its EXIT, or until its timer ends."""
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_ms: int, time_col: str):
+        self.timeout_ms, self.time_col = timeout_ms, time_col
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,7 +86,9 @@ class _Pair(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         span = self._row()
         span["span_id"], span["closed"] = key[0], False
+        latest = max(timerValues.getCurrentWatermarkInMs(), 0)
         for pdf in rows:
+            latest = max(latest, int(pdf[self.time_col].max().timestamp() * 1000))
             for e in pdf.sort_values(["timestamp", "event_type"]).to_dict("records"):
                 e = {k: None if not isinstance(v, str) and pd.isna(v) else v for k, v in e.items()}
                 if span["function_name"] is None or e["event_type"] == "ENTRY":
@@ -104,7 +106,7 @@ class _Pair(StatefulProcessor):
             fresh = not self.state.exists()
             self.state.update(tuple(span.values()))
             if fresh:
-                self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + self.timeout_ms)
+                self.handle.registerTimer(latest + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         if self.state.exists():
@@ -116,10 +118,10 @@ class _Pair(StatefulProcessor):
         pass
 
 
-def stream_span_nodes(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """Trace events (with a watermark) to nodes, as soon as a span's EXIT is there; spans that stay
-    open are given out with closed = false once the watermark has passed timeout_ms more.
+def stream_span_nodes(events: DataFrame, timeout_ms: int = 600_000, time_col: str = "ts") -> DataFrame:
+    """Trace events (with a watermark on time_col) to nodes, as soon as a span's EXIT is there; spans that stay
+    open are given out with closed = false once the watermark is timeout_ms past their first event.
 
     State is one row for each open span.
     """
-    return events.groupBy("span_id").transformWithStateInPandas(_Pair(timeout_ms), NODE, "Append", "EventTime")
+    return events.groupBy("span_id").transformWithStateInPandas(_Pair(timeout_ms, time_col), NODE, "Append", "EventTime")
