@@ -60,7 +60,7 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.01) -> DataFrame:
     """(slot, weight) rows, without zeros; slot 2**SLOTS is the intercept.
 
     Learns from rows of `docs` (doc_id, text) with a 0/1 `labels.toxic` that aren't held out. The fit
