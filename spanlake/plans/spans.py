@@ -539,7 +539,9 @@ def g15_find_cycles(spark, d):
     return c.select(F.array_join(c.members.cast("array<string>"), ",").alias("members"), F.col("length").cast("bigint").alias("length"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT a AS s, b AS e, [a, b] AS path FROM edges_docs UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN edges_docs ON a = e WHERE NOT list_contains(path, b) AND len(path) <= 7)
+SELECT DISTINCT s AS start FROM p WHERE len(path) = 8""")
 def g16_deep_call_chains(spark, d):
     return G.deep_call_chains(view(spark, d, "edges_docs"), 6)
 
@@ -643,7 +645,7 @@ def r09_enrich_locations(spark, d):
     return R.enrich_locations(_found(spark, d), hits).select("investigation_id", F.col("affected_spans")[0].alias("span_id"), F.col("finding_type").alias("kind"), F.size("source_locations").alias("locations"))
 
 
-@query()
+@query("SELECT 'connection_pool' AS fix_type, concat(source_file, ':', source_line) AS location, count(*) AS findings FROM nodes_heap WHERE error LIKE 'Connection%' GROUP BY ALL")
 def r10_fix_candidates(spark, d):
     n = _nodes(spark, d)
     f = R.error_findings(n, G.link_parents(n)).withColumn("evidence", F.array_append("evidence", F.when(F.col("finding_type") == "connection_error", "httpx client").otherwise("")))
