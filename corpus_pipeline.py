@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.common import stored, table
 from spanlake.llm.decontaminate import contaminated
-from spanlake.llm.langid import language_id
+from spanlake.llm.langid import identify, profiles
 from spanlake.llm.minhash import near_duplicates
 from spanlake.llm.mixing import mix
 from spanlake.llm.pii import redacted
@@ -19,8 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (`und`) go; where lang is null, the prediction fills it."""
-    found = language_id(docs).select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    kept = docs.join(found, "doc_id").filter("lang_pred <> 'und'")
+    kept = identify(docs.select(*COLUMNS), profiles(docs)).filter("lang_pred <> 'und'")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanlake.llm.common import held_out
 
@@ -89,7 +90,7 @@ def _slices(texts: list[str], most: int = 1 << 19):
 
 
 def identify(docs: DataFrame, learned: DataFrame, size: int = 400, max_languages: int = 2000) -> DataFrame:
-    """doc_id, lang_pred, score for each row of `docs`.
+    """`docs` (with a text column) and lang_pred, score of each row.
 
     A text's `size` most frequent grams (ties to the smaller gram) are held against each profile; a
     gram's distance is how far its rank is out of place, `size` where the profile lacks it. The
@@ -123,14 +124,15 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = 400, max_languages
 
     def apply(batches):
         for batch in batches:
-            got = [best(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            got = [best(t) for t in batch.column(at_text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(apply, docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
+    kept = docs.drop("lang_pred", "score")
+    at_text = kept.columns.index("text")
+    return kept.mapInArrow(apply, StructType([*kept.schema, *StructType.fromDDL("lang_pred string, score double")]))
 
 
 def language_id(docs: DataFrame, size: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score: profiles from the rows not held out, then every row."""
-    scored = identify(docs, profiles(docs, size), size)
+    scored = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), profiles(docs, size), size)
     return scored.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
