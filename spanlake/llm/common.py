@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a larger table once into the shared folder and go on from the files."""
+def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A computed (cut or stored) table in as few partitions as its rows need, so that later shuffles of it write few files."""
+    return df.coalesce(df.count() // rows + 1)
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/spanlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a larger table once into the shared folder and go on from the files."""
+    return _write(df)[0]
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """Like `stored`, but the files go at the end; what is needed of them has to be computed by then."""
+    out, path = _write(df)
+    try:
+        yield out
+    finally:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # --- vectorised words -------------------------------------------------------

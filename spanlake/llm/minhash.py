@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, combined, cut, encoded, mixed, stored
+from spanlake.llm.common import Words, chunks, combined, cut, encoded, mixed, packed, scratch, stored
 from spanlake.llm.components import connected_components
 
 #: Positions of the circulant permutations; a 16-bit value each.
 PLACES = 1 << 16
+#: Coordinates of a signature; the lowest bit of each makes the sketch. At least bands * rows.
+BITS = 2048
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -38,9 +40,9 @@ class Circulant:
     of the set. A place's values at all shifts lie side by side, so one shingle costs one short copy.
     """
 
-    def __init__(self, bands: int, rows: int, seed: int):
+    def __init__(self, bands: int, rows: int, seed: int, length: int = 0):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, k = bands, rows, bands * rows
+        self.bands, self.rows, k = bands, rows, max(length, bands * rows)
         self.scatter = rng.permutation(PLACES).astype(np.uint16)
         second = rng.permutation(PLACES).astype(np.uint16)
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate((second, second[:k])), k)
@@ -57,8 +59,8 @@ class Circulant:
         return out
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band; the band is part of it."""
-        parts = signatures.reshape(len(signatures), self.bands, self.rows).astype(np.uint64) + np.uint64(1)
+        """A 64-bit key for each band of the first bands * rows coordinates; the band is part of it."""
+        parts = signatures[:, : self.bands * self.rows].reshape(len(signatures), self.bands, self.rows).astype(np.uint64) + np.uint64(1)
         return mixed(mixed((parts * self.weights).sum(axis=2, dtype=np.uint64)) ^ self.salts)
 
     @staticmethod
@@ -69,17 +71,15 @@ class Circulant:
 
 def signatures(docs: DataFrame, words: int = 5, bands: int = 64, rows: int = 6, seed: int = 7) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, f1, f2 (set fingerprint), sketch, keys."""
-    if bands * rows % 64:
-        raise ValueError("bands * rows has to be a multiple of 64")
     schema = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, keys array<long>"
 
     def sign(batches):
-        c = Circulant(bands, rows, seed)
-        lanes = bands * rows // 64
+        c = Circulant(bands, rows, seed, BITS)
+        lanes = BITS // 64
         for batch in batches:
             texts = encoded(batch.column(1))
             n, f1, f2 = (np.zeros(len(texts), np.int64) for _ in range(3))
-            sig = np.zeros((len(texts), bands * rows), np.uint16)
+            sig = np.zeros((len(texts), BITS), np.uint16)
             for i, s in enumerate(shingle_sets(texts, words)):
                 n[i] = len(s)
                 if len(s):
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, words: int = 5, bands: int = 64, rows: int = 6,
                     sig[i] = c.signature(s)
             lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(x.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists(c.sketch(sig), lanes), lists(c.keys(sig), bands)],
+                [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists(c.sketch(sig[:, :BITS]), lanes), lists(c.keys(sig), bands)],
                 names=["doc_id", "n_shingles", "f1", "f2", "sketch", "keys"],
             )
 
@@ -105,13 +105,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "set"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs = packed(cut(pairs))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    own = stored(texts.mapInArrow(sets, "id long, set array<long>"))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return both.filter(F.expr(f"100 * c >= {percent} * (n + m - c)")).select("a", "b")
+    with scratch(texts.mapInArrow(sets, "id long, set array<long>")) as own:
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
+        return cut(both.filter(F.expr(f"100 * c >= {percent} * (n + m - c)")).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, seed: int = 7) -> DataFrame:
@@ -124,49 +125,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     Rows that repeat an id are one document; its links are those of the text with the smallest
     fingerprint read for it.
 
-    A pair of similarity 0.75 shares none of 64 bands of 6 with probability 4e-6. In each bucket
-    every document is first checked against the bucket's smallest and largest id. What still lies in
-    different groups but shares a bucket is then compared pair by pair inside the join by sketch (384
-    bits; a true pair fails it with probability 1e-9), and only what passes is emitted and verified.
+    A pair of similarity 0.75 shares none of 64 bands of 6 with probability 4e-6. Candidates come in
+    three rounds, each of which only looks at what the earlier ones left in different groups: each
+    document with the bucket minimum that it shares most buckets with; each document with the first
+    ids of its buckets' smallest and largest groups; and all that still share a bucket, pair by pair inside the join.
+    Pairs have to pass a sketch of 2,048 bits first (a true pair fails with probability 1e-6), which
+    turns down most pairs under 0.68 before anything is emitted.
     """
-    sig = stored(signatures(docs, words, bands, rows, seed))
-    members = sig.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "f1", "f2")
-    nodes = members.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = sig.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("n_shingles > 0")
-    buckets = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    shared = stored(buckets.join(hubs, "key"))
-    sketches = sig.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "sketch")
-
-    spokes = shared.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("lo").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    spokes = spokes.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).filter("a < b").distinct()
-    near = spokes.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    first = connected_components(verified(cut(near.filter(_close("x", "y", bands * rows, percent)).select("a", "b")), docs, words, percent))
-    first = cut(first)
-
-    # What shares a bucket but not yet a group.
-    placed = shared.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    split = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
-    open_ = stored(placed.join(split, "key", "left_semi").join(sketches, "id"))
-    x, y = (open_.select("key", F.col("group").alias(f"g{s}"), F.col("id").alias(s), F.col("sketch").alias(f"k{s}")) for s in "ab")
-    more = x.join(y, "key").filter("ga < gb").filter(_close("ka", "kb", bands * rows, percent))
-    more = cut(more.select("a", "b", "ga", "gb").distinct())
-    held = verified(more.select("a", "b"), docs, words, percent)
-    bridges = more.join(held, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    second = connected_components(bridges)
-
-    groups = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-    alone = second.join(first.select("id"), "id", "left_anti")
-    groups = groups.union(alone.select("id", "component"))
+    with scratch(signatures(docs, words, bands, rows, seed)) as sig:
+        members = stored(sig.select("doc_id", "n_shingles", "f1", "f2"))
+        nodes = members.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+        groups = _groups(docs, sig.filter("n_shingles > 0"), nodes.select(F.col("rep").alias("doc_id")).distinct(), words, percent)
     by_set = nodes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "f1", "f2").join(by_set, ["f1", "f2"], "left")
+    out = members.join(by_set, ["f1", "f2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _close(x: str, y: str, bits: int, percent: int):
-    """Whether two sketches differ in no more bits than six deviations over a pair at the threshold."""
-    j = percent / 100
-    share = (1 - j) / 2
-    most = int(bits * share + 6 * (bits * share * (1 - share)) ** 0.5) + 1
-    return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {most}")
+def _groups(docs: DataFrame, sig: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the representatives that links hold together, in near_duplicates' three rounds."""
+    sketches = sig.select(F.col("doc_id").alias("id"), "sketch")
+    buckets = sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
+    with scratch(buckets.join(hubs, "key")) as shared:
+        usual = shared.filter("id > lo").groupBy("id", "lo").count()
+        usual = usual.groupBy("id").agg(F.max_by("lo", F.struct("count", -F.col("lo"))).alias("lo"))
+        first = packed(verified(_sketched(usual.select(F.col("lo").alias("a"), F.col("id").alias("b")), sketches, percent), docs, words, percent))
+
+        # each of the buckets that still hold several stars: its ids with the two ends' ids
+        open_ = _open(shared.select("key", "id"), first.select(F.col("b").alias("id"), F.col("a").alias("component")))
+        ends = open_.groupBy("key").agg(F.min(F.struct("group", "id")).alias("lo"), F.max(F.struct("group", "id")).alias("hi"))
+        spokes = open_.join(ends, "key").select("id", "group", F.explode(F.array("lo", "hi")).alias("hub")).filter("group <> hub.group")
+        spokes = spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        more = verified(_sketched(spokes, sketches, percent), docs, words, percent)
+        groups = packed(cut(connected_components(first.union(more))))
+
+        with scratch(_open(shared.select("key", "id"), groups).join(sketches, "id")) as rest:
+            x, y = (rest.select("key", F.col("group").alias(f"g{s}"), F.col("id").alias(s), F.col("sketch").alias(f"k{s}")) for s in "ab")
+            pairs = x.join(y, "key").filter("ga < gb").filter(_close("ka", "kb", percent))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return cut(_bridged(groups, verified(pairs, docs, words, percent)))
+
+
+def _open(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, id, group) of the buckets whose ids lie in more than one group; an id alone is its own group."""
+    placed = buckets.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    split = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(split, "key", "left_semi")
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches are close."""
+    both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+    return both.filter(_close("x", "y", percent)).select("a", "b")
+
+
+def _bridged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) with the components that new links (a, b) hold together made one."""
+    at = links.join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
+    new = packed(cut(connected_components(at.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))))
+    moved = groups.join(new.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return moved.union(new.join(groups.select("id"), "id", "left_anti"))
+
+
+def _close(x: str, y: str, percent: int):
+    """Whether two sketches differ in no more bits than 4.75 deviations over a pair at the threshold."""
+    share = (1 - percent / 100) / 2
+    most = int(BITS * share + 4.75 * (BITS * share * (1 - share)) ** 0.5) + 1
+    return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)) + f" <= {most}")
