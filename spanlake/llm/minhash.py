@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 def _groups(docs: DataFrame, sig: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component) of the representatives that links hold together, in near_duplicates' three rounds."""
     sketches = sig.select(F.col("doc_id").alias("id"), "sketch")
-    buckets = sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    buckets = sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.posexplode("keys").alias("band", "key"))
     hubs = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
     with scratch(buckets.join(hubs, "key")) as shared:
         usual = shared.filter("id > lo").groupBy("id", "lo").count()
@@ -160,16 +160,19 @@ def _groups(docs: DataFrame, sig: DataFrame, reps: DataFrame, words: int, percen
         more = verified(_sketched(spokes, sketches, percent), docs, words, percent)
         groups = packed(cut(connected_components(first.union(more))))
 
-        with scratch(_open(shared.select("key", "id"), groups).join(sketches, "id")) as rest:
-            x, y = (rest.select("key", F.col("group").alias(f"g{s}"), F.col("id").alias(s), F.col("sketch").alias(f"k{s}")) for s in "ab")
-            pairs = x.join(y, "key").filter("ga < gb").filter(_close("ka", "kb", percent))
+        # a pair is taken up in the first band that it shares, by 31 bits of the earlier bands' keys
+        short = sig.select(F.col("doc_id").alias("id"), "sketch", F.expr("transform(keys, k -> cast(k & 2147483647 as int))").alias("bands"))
+        with scratch(_open(shared.select("key", "band", "id"), groups).join(short, "id")) as rest:
+            x, y = (rest.select("key", "band", F.col("group").alias(f"g{s}"), F.col("id").alias(s), F.col("sketch").alias(f"k{s}"), F.col("bands").alias(f"b{s}")) for s in "ab")
+            once = F.expr("not exists(zip_with(slice(ba, 1, band), slice(bb, 1, band), (p, q) -> p = q), e -> e)")
+            pairs = x.join(y, ["key", "band"]).filter("ga < gb").filter(_close("ka", "kb", percent) & once)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             return cut(_bridged(groups, verified(pairs, docs, words, percent)))
 
 
 def _open(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, id, group) of the buckets whose ids lie in more than one group; an id alone is its own group."""
-    placed = buckets.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    """The buckets' rows and `group` where the ids lie in more than one group; an id alone is its own group."""
+    placed = buckets.join(groups, "id", "left").select(*buckets.columns, F.coalesce("component", "id").alias("group"))
     split = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
     return placed.join(split, "key", "left_semi")
 
