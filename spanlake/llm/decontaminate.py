@@ -45,23 +45,26 @@ def _bits(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least_seeds: int = 2, common_from: int = 64, score_at: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least_seeds: int = 2, score_at: float = 0.5) -> DataFrame:
     """Documents that hold (parts of) benchmark items: doc_id, item_id, score, matched, begin, end.
 
-    Words are split at ASCII spaces, A-Z in lower case. Seeds are the items' word `seed_words`-grams
-    that are rare: in no more documents than `common_from`, or than twice the median of the item's
-    own grams, so an item that is copied everywhere keeps its seeds. A document's passage around an
-    item becomes a candidate where `least_seeds` different seeds (or all, if the item has fewer) lie
-    within half an item's length of one diagonal. Candidates are aligned word by word (match 2,
-    mismatch and gap -1); score is the alignment's share of the item's own score. The best row for
-    each (doc_id, item_id) with score >= score_at comes back; begin and end count words.
+    Words are split at ASCII spaces, A-Z in lower case. Seeds are all of the items' word
+    `seed_words`-grams, however common in the documents: an edited copy that stands in many of them
+    makes its own grams common, so no count tells those from phrases of no matter. A document's
+    passage around an item becomes a candidate where `least_seeds` different seeds (or all, if the
+    item has fewer) lie within half an item's length of one diagonal. Candidates are aligned word by
+    word (match 2, mismatch and gap -1); score is the alignment's share of the item's own score. The
+    best row for each (doc_id, item_id) with score >= score_at comes back; begin and end count words.
+    A copy that is edited so evenly that fewer seeds are left isn't found.
 
     Null and empty texts and items of fewer than seed_words words match nothing. Repeated rows give
     one row; so do repeated items, by item_id.
 
     The documents are read once. Each task tests all grams against a bit filter of fixed size and
     keeps the passages (an item's longest length to both sides) of those that pass; the join with the
-    items' grams and all counting are Spark joins. The filter is ORed from the tasks' bits.
+    items' grams and all counting are Spark joins. The filter is ORed from the tasks' bits. Passages
+    with the same seeds at the same distances are joined with the items once, and equal passages are
+    aligned once, so a passage that is copied everywhere costs little more than one.
     """
     def item_grams(batches):
         for batch in batches:
@@ -75,16 +78,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
 
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
     seeds = stored(items.mapInArrow(item_grams, "item_id long, item_at long, gram long, item_words long"))
-    # 2**FILTER_BITS bits as rows of 64: at most 2**18 rows, whatever the input
-    slots = seeds.select(F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS})").alias("slot"))
-    bits = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    kinds = seeds.groupBy("item_id").agg(F.count_distinct("gram").alias("kinds"))
+    seeds = stored(seeds.join(kinds, "item_id"))
+    # 2**FILTER_BITS bits as rows of 64: at most 2**18 rows, whatever the input; `few` has the grams that do alone
+    slots = seeds.select(F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS})").alias("slot"), (F.col("kinds") < least_seeds).alias("few"))
+    slots = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"), "few")
+    bits = slots.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or(F.when(F.col("few"), F.col("bit")).otherwise(0)).alias("few")).toArrow()
     longest = seeds.agg(F.max("item_words")).first()[0] or 0
-    filled, value = (bits.column(i).to_numpy() for i in (0, 1))
+    filled, value, lone = (bits.column(i).to_numpy() for i in (0, 1, 2))
 
-    def passages(batches):
+    def flags(words):
         known = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        known[filled] = value.view(np.uint64)
-        known = np.unpackbits(known.view(np.uint8), bitorder="little").view(bool)
+        known[filled] = words.view(np.uint64)
+        return np.unpackbits(known.view(np.uint8), bitorder="little").view(bool)
+
+    def passages(batches):
+        known, alone = flags(value), flags(lone)
         for batch in batches:
             texts = encoded(batch.column(1))
             rows: list[tuple] = []
@@ -98,10 +107,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
                     continue
                 new = np.flatnonzero(np.concatenate(([True], (owner[hit[1:]] != owner[hit[:-1]]) | (hit[1:] - hit[:-1] > 2 * longest))))
                 for b, e in zip(new, [*new[1:], len(hit)], strict=True):
+                    if e - b < least_seeds and not alone[_bits(g[hit[b:e]])].any():
+                        continue
                     doc = owner[hit[b]]
                     first = max(w.bounds[doc], hit[b] - longest)
                     last = min(w.bounds[doc + 1], hit[e - 1] + seed_words + longest)
-                    text = w.buf[w.starts[first] : w.ends[last - 1]].decode("utf-8", "replace") if e - b >= least_seeds or w.bounds[doc + 1] - w.bounds[doc] < 2 * seed_words else None
+                    text = w.buf[w.starts[first] : w.ends[last - 1]].decode("utf-8", "replace")
                     rows.append((lo + doc, first - w.bounds[doc], text, hit[b:e] - first, g[hit[b:e]].view(np.int64)))
             if rows:
                 ends = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32))
@@ -114,35 +125,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stored(texts.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>"))
 
-    hits = found.select("doc_id", "first", F.explode(F.arrays_zip("at", "grams")).alias("h")).select("doc_id", "first", F.col("h.at").alias("at"), F.col("h.grams").alias("gram"))
-    spread = found.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.approx_count_distinct("doc_id", 0.02).alias("df"))
-    rated = seeds.join(spread, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    usual = rated.groupBy("item_id").agg(F.percentile("df", 0.5).alias("usual"), F.countDistinct("gram").alias("kinds"))
-    rare = rated.join(usual, "item_id").filter((F.col("df") <= common_from) | (F.col("df") <= 2 * F.col("usual")))
-    rare = rare.select("gram", "item_id", "item_at", "item_words", "kinds")
+    # a shape is the seeds of a passage and their distances; its zones count from its first seed
+    found = found.withColumns({"lead": F.col("at")[0], "shape": F.struct(*(F.xxhash64(F.lit(k), F.transform("at", lambda a: a - F.col("at")[0]), "grams").alias(f"s{k}") for k in (1, 2)))})
+    found = found.withColumn("copy", F.struct(*(F.xxhash64(F.lit(k), "passage").alias(f"p{k}") for k in (1, 2))))
+    shapes = found.groupBy("shape").agg(F.first(F.arrays_zip("at", "grams")).alias("h")).select("shape", F.col("h")[0]["at"].alias("lead"), F.explode("h").alias("h"))
+    hits = shapes.select("shape", (F.col("h.at") - F.col("lead")).alias("at"), F.col("h.grams").alias("gram"))
 
-    near = hits.join(rare, "gram").withColumn("shift", F.col("first") + F.col("at") - F.col("item_at"))
+    near = hits.join(seeds, "gram").withColumn("shift", F.col("at") - F.col("item_at"))
     half = F.floor(F.col("shift") * 2 / F.col("item_words"))
-    near = near.select("doc_id", "first", "item_id", "gram", "kinds", F.explode(F.array(half, half + 1)).alias("zone"))
-    near = near.groupBy("doc_id", "first", "item_id", "zone").agg(F.count_distinct("gram").alias("n"), F.first("kinds").alias("kinds"))
-    near = near.filter(F.col("n") >= F.least(F.lit(least_seeds), "kinds")).select("doc_id", "first", "item_id", "zone").distinct()
-    near = near.groupBy("doc_id", "first", "item_id").agg(F.min("zone").alias("low"), F.max("zone").alias("high"))
-    near = near.join(found.filter("passage is not null").select("doc_id", "first", "passage"), ["doc_id", "first"]).join(items.withColumnRenamed("text", "item"), "item_id")
+    near = near.select("shape", "item_id", "gram", "kinds", F.explode(F.array(half, half + 1)).alias("zone")).distinct()
+    near = near.groupBy("shape", "item_id", "zone").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
+    near = near.filter(F.col("n") >= F.least(F.lit(least_seeds), "kinds"))
+    near = near.groupBy("shape", "item_id").agg(F.min("zone").alias("low"), F.max("zone").alias("high"))
+    near = stored(found.select("doc_id", "first", "lead", "shape", "copy").join(near, "shape").drop("shape"))
+
+    one = near.groupBy("copy").agg(F.min(F.struct("doc_id", "first")).alias("one")).select("copy", "one.*")
+    texts = found.select("doc_id", "first", "copy", "passage").join(one, ["doc_id", "first", "copy"]).dropDuplicates(["copy"]).select("copy", "passage")
+    pairs = near.select("copy", "item_id", "lead", "low", "high").distinct().join(texts, "copy").join(items.withColumnRenamed("text", "item"), "item_id")
 
     def score(batches):
         for batch in batches:
             a, b = (Words(encoded(batch.column(batch.schema.get_field_index(c)))) for c in ("item", "passage"))
-            low, high, first = (batch.column(c).to_numpy() for c in ("low", "high", "first"))
+            low, high, lead = (batch.column(c).to_numpy() for c in ("low", "high", "lead"))
             out = np.zeros((batch.num_rows, 5))
             for i in range(batch.num_rows):
                 x, y = (w.hashes[w.bounds[i] : w.bounds[i + 1]] for w in (a, b))
                 n = len(x)
-                begin = max(0, int((low[i] - 1) * n / 2) - n - first[i])
-                y = y[begin : int((high[i] + 1) * n / 2) + 2 * n - first[i]]
+                begin = max(0, int((low[i] - 1) * n / 2) - n + lead[i])
+                y = y[begin : int((high[i] + 1) * n / 2) + 2 * n + lead[i]]
                 s, k, p, q = align(x, y)
-                out[i] = s / (MATCH * n), k, p + begin + first[i], q + begin + first[i], n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out[:, 0]), *(pa.array(out[:, k].astype(np.int64)) for k in (1, 2, 3))], names=["doc_id", "item_id", "score", "matched", "begin", "end"])
+                out[i] = s / (MATCH * n), k, p + begin, q + begin, n
+            copy = batch.column("copy")
+            yield pa.RecordBatch.from_arrays([copy, batch.column("item_id"), pa.array(out[:, 0]), *(pa.array(out[:, k].astype(np.int64)) for k in (1, 2, 3))], names=["copy", "item_id", "score", "matched", "begin", "end"])
 
-    scored = near.mapInArrow(score, "doc_id long, item_id long, score double, matched long, begin long, end long").filter(F.col("score") >= score_at)
+    scored = pairs.mapInArrow(score, "copy struct<p1:long,p2:long>, item_id long, score double, matched long, begin long, end long").filter(F.col("score") >= score_at)
+    scored = near.select("doc_id", "first", "copy", "item_id").join(scored, ["copy", "item_id"])
+    scored = scored.withColumns({"begin": F.col("begin") + F.col("first"), "end": F.col("end") + F.col("first")})
     best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

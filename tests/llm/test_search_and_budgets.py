@@ -79,6 +79,24 @@ def test_contaminated_documents(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_edited_passages_in_many_documents(spark):
+    """Every 4th or 5th word replaced, in more documents than any rarity limit allows, next to rarer whole copies."""
+    rng = random.Random(5)
+    items = [(0, " ".join(f"a{j}" for j in range(38))), (1, " ".join(f"b{j}" for j in range(38))), (2, "tiny little item"), (3, "echo echo echo echo")]
+    four, five = (" ".join("edited" if (j + 1) % k == 0 else w for j, w in enumerate(items[i][1].split())) for i, k in ((0, 4), (1, 5)))
+    around = lambda text: " ".join([*(f"x{rng.randrange(500)}" for _ in range(60)), text, *(f"x{rng.randrange(500)}" for _ in range(60))])
+    docs = [(i, around(four)) for i in range(150)] + [(i, around(five)) for i in range(200, 350)] + [(400, around(items[0][1]))]
+    docs += [(500, around(items[2][1])), (501, items[2][1]), (502, around(items[3][1])), (503, around("tiny little")), (504, around("a0 a1 a2"))]
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, 0) for i in range(150)} | {(i, 1) for i in range(200, 350)} | {(400, 0), (500, 2), (501, 2), (502, 3)}
+    assert got.keys() == want
+    texts = dict(docs)
+    for i in (7, 207):
+        r = got[(i, i // 200)]
+        words = texts[i].split()[r["begin"] : r["end"]]
+        assert len(words) >= 35 and r["matched"] == sum(w[0] == "ab"[i // 200] for w in words)
+
+
 def test_hilbert_curve_is_a_continuous_bijection():
     for dims, bits in ((2, 3), (3, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
