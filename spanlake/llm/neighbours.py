@@ -42,6 +42,10 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+#: The widest window that a table's size alone leads to.
+WIDEST = 10_000
+
+
 class Curves:
     """Several orderings: each its own orthonormal projection and its own shift of the grid."""
 
@@ -69,7 +73,22 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 16, window: int = 2000, dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 10_000, seed: int = 11) -> DataFrame:
+def effort(n: int, curves: int | None = None, window: int | None = None) -> tuple[int, int]:
+    """Curves and window for n points, so that recall doesn't fall as a table grows; what is given stays.
+
+    On structureless vectors of 64 dimensions a curve finds a neighbour with a probability of about
+    0.18 (share / 0.078) ** 0.6, where the share is that of the table within 2 * window. The window
+    grows with the table up to WIDEST, which bounds a task's memory; from there on the number of
+    curves does, so that the chance that all of them miss a neighbour stays as with 16 at 51,282.
+    """
+    window = window or max(2000, min(math.ceil(n * 2000 / 51_282), WIDEST))
+    if curves is None:
+        found = min(0.18 * (2 * window / max(n, 1) / 0.078) ** 0.6, 0.18)
+        curves = math.ceil(16 * math.log(1 - 0.18) / math.log(1 - found) - 1e-6)
+    return curves, window
+
+
+def nearest(vectors: DataFrame, queries, k: int = 20, curves: int | None = None, window: int | None = None, dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 10_000, seed: int = 11) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) where the condition `queries` holds: its k nearest
     other rows by inner product, as query_id, rank, vec_id, score; ties to the smaller vec_id.
 
@@ -84,8 +103,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 16, window:
     each block takes in the edges of the blocks beside it. A curve's k + 1 best are merged over the
     curves. The curves' boxes are fitted on about `sample` points; every point is indexed.
 
-    A window is a fixed count, so with structureless vectors of many dimensions recall falls as the
-    table grows; then more curves or a wider window are due.
+    Without `curves` and `window` both follow from the number of points, see `effort`; with fixed
+    ones recall falls as a table of structureless vectors grows.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.expr(queries).alias("asks") if isinstance(queries, str) else queries.alias("asks"))
     fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
@@ -104,6 +123,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 16, window:
     points = stored(points.join(asking.select("h1", "h2", F.lit(True).alias("asks")).distinct(), ["h1", "h2"], "left"))
     squares = F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e)
     n, most = points.agg(F.count("*"), F.sqrt(F.max(squares))).first()
+    curves, window = effort(n, curves, window)
+    block = max(block, 2 * window)
     some = points.filter(F.pmod("h1", F.lit(1 << 20)) < max(1, min(1 << 20, (1 << 20) * sample // n))).select("x").limit(2 * sample)
     fit = np.array([r["x"] for r in some.collect()], np.float64).reshape(-1, d)
     if len(fit) < 2:

@@ -7,7 +7,7 @@ import numpy as np
 
 from spanlake.llm.decontaminate import align, contaminated
 from spanlake.llm.mixing import leaf_budgets, mix
-from spanlake.llm.neighbours import hilbert_keys, nearest
+from spanlake.llm.neighbours import effort, hilbert_keys, nearest
 
 DOCS = "doc_id long, text string, lang string, source string, epoch string"
 
@@ -140,6 +140,13 @@ def test_recall_through_small_windows(spark):
     assert len(got & want) / len(want) > 0.9
 
 
+def test_effort_grows_with_the_table(spark):
+    assert effort(2_000) == effort(51_282) == (16, 2000) and effort(102_564) == (16, 4000)
+    sizes = [effort(n) for n in (256_410, 512_820, 5_128_200)]
+    assert sizes[0] == (16, 10_000) and all(w == 10_000 for _, w in sizes) and 16 < sizes[1][0] < sizes[2][0]
+    assert effort(10**7, curves=3, window=5) == (3, 5)
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest(spark.createDataFrame([], schema), "vec_id % 20 = 0").count() == 0
