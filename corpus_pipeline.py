@@ -41,8 +41,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents selected to the target weights, with their epoch and tokens taken."""
-    return mix(docs)
+    """The documents selected to the target weights, with their epoch, tokens taken and the text so far."""
+    return mix(docs, with_text=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

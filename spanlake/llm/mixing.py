@@ -15,6 +15,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def prefix_of(text: Column, words: Column) -> Column:
+    """The text up to the end of its word number `words`, with the spaces before and between as they are."""
+    pieces = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+
+
 def domain(text: Column) -> Column:
     """The tree's first level: texts of 4,000 code points or more against all others."""
     return F.when(F.coalesce(F.length(text), F.lit(0)) >= 4000, "long").otherwise("short")
@@ -69,33 +75,36 @@ def leaf_budgets(leaves: DataFrame, weights: dict, total_tokens: int | None, sha
     return leaves.join(down.withColumnRenamed("given", "budget"), [*LEVELS])
 
 
-def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: str = "mix", with_text: bool = False) -> DataFrame:
     """(doc_id, text, lang, source) -> the selected documents: doc_id, domain, lang, source, epoch, tokens, taken.
 
     The budget is `total_tokens`, or `share` of all tokens. A leaf's budget takes whole epochs of
     its documents first, then a prefix of the next epoch, whose order is the md5 of seed, epoch and
     doc_id (ties by doc_id); the document at the border gives its first `taken` tokens. Rows are
-    (document, epoch). Null lang is `und`, null source `unknown`; texts without words are never
+    (document, epoch). with_text adds the text, cut after the word `taken`. Null lang is `und`, null source `unknown`; texts without words are never
     taken. Repeated rows are separate documents that follow each other.
 
     The running sums are by hash bucket first, so no task orders a whole leaf.
     """
     weights = WEIGHTS if weights is None else weights
-    d = docs.select("doc_id", domain(F.col("text")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("tokens"))
+    d = docs.select("doc_id", domain(F.col("text")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("tokens"), *(["text"] if with_text else []))
+    text = ["text"] if with_text else []
     d = d.filter("tokens > 0")
     leaves = d.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, total_tokens, share, max_epochs)
     plan = budgets.select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")).filter("whole > 0 or rest > 0")
     d = d.join(plan, [*LEVELS])
 
-    full = d.filter("whole > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
+    full = d.filter("whole > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"), *text)
     last = d.filter("rest > 0").withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     last = last.withColumn("bin", F.substring("place", 1, 3))
     bins = last.groupBy(*LEVELS, "bin").agg(F.sum("tokens").alias("s"))
     earlier = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*LEVELS, "bin", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*LEVELS, "bin").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS, "bin").orderBy("place", "doc_id", "tokens", *text).rowsBetween(Window.unboundedPreceding, -1)
     last = last.join(bins.filter("base is not null"), [*LEVELS, "bin"]).filter("base < rest")
     last = last.withColumn("ahead", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).filter("ahead < rest")
-    prefix = last.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("ahead")).alias("taken"))
+    prefix = last.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("ahead")).alias("taken"), *text)
+    if with_text:
+        prefix = prefix.withColumn("text", F.when(F.col("taken") < F.col("tokens"), prefix_of(F.col("text"), F.col("taken"))).otherwise(F.col("text")))
     return full.unionByName(prefix)

@@ -33,6 +33,18 @@ def test_mix_takes_token_prefixes(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mix_returns_cut_texts(spark, data):
+    import corpus_pipeline as P
+
+    rows = [(i, f" a{i}  b\tmail\n[EMAIL] é{i} ", "en", "s", "x") for i in range(20)] + [(None, "no id here", "en", "s", "x"), (3, "same id, another text", "en", "s", "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for got in (mix(docs, total_tokens=52, with_text=True).collect(), P.STAGES[-1][1](spark, docs, data).collect()):
+        whole = {r[1] for r in rows}
+        assert all(len(r["text"].split()) == r["taken"] for r in got)
+        assert all(r["text"] in whole if r["taken"] == r["tokens"] else any(t.startswith(r["text"]) for t in whole) for r in got)
+    assert any(r["taken"] < r["tokens"] for r in mix(docs, total_tokens=52, with_text=True).collect())
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("long", "en", "a", 10), ("long", "en", "b", 1000), ("long", "fr", "a", 1000), ("short", "en", "a", 1000)], "domain string, lang string, source string, tokens long")
     got = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in leaf_budgets(leaves, {}, 800, 0.5, 1).collect()}
