@@ -69,6 +69,32 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hot_keys(many: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """The non-null keys with over 1/parts of the rows of a cut or stored table, and `__parts`, how often that is.
+
+    By arithmetic they are fewer than `parts`, so the list may go to every task.
+    """
+    share = (F.floor(F.count("*") * parts / max(many.count(), 1)) + 1).cast("int")
+    hot = many.groupBy(*keys).agg(share.alias("__parts")).filter("__parts > 1")
+    return cut(hot.filter(F.col(keys[0]).isNotNull()))
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """many join few, with the hot keys of `many` split over several tasks.
+
+    Rows of `few` with a hot key are repeated for each of its shares. `many` is counted first, unless
+    its hot_keys are given; hand in a cut or stored table. `how` may be inner or left. Null keys match
+    nothing; in a left join they are spread as well.
+    """
+    hot = F.broadcast(hot_keys(many, keys) if hot is None else hot)
+    wide = few.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    rows = F.xxhash64(*(F.col(c) for c in many.columns if c not in keys and many.schema[c].dataType.typeName() != "map"))
+    part = F.pmod(rows, F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")
+    if how == "left":
+        part = F.when(F.col(keys[0]).isNull(), F.pmod(rows, F.lit(1000)).cast("int")).otherwise(part)
+    return many.join(hot, keys, "left").withColumn("__part", part).drop("__parts").join(wide, [*keys, "__part"], how).drop("__part")
+
+
 # --- vectorised words -------------------------------------------------------
 
 #: [\x20\x09-\x0D]

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from spanlake.llm.pii import base_spans, digest, find_pii, redacted
+from spanlake.llm.pii import KINDS, LEARNT, base_spans, bootstrap, digest, edges_of, find_pii, graph_rows, pattern_key, redacted, tokens
 from spanlake.llm.tokens import VOCABULARY, attribute, encoding, section_tokens
 from spanlake.llm.urlfilter import judge_urls
 from spanlake.llm.warc import canonical_url, resolve_revisits
@@ -144,6 +144,7 @@ def test_base_spans_equal_plain_regexes():
 
 def test_pii_digest_and_contexts(spark):
     docs = [(i, f"my password={i:04d}abcd{i:06d} and mail me.{i}@site.org") for i in range(40)]
+    docs += [(200 + i, f"{'one two three four five'.split()[i % 5]} token: Zq{i:02d}xTT{i % 10}aa91 ok") for i in range(50)] + [(300, "a lone api_key: Qq81-1234567 here")]
     docs += [(100, "here token: Zq81xTT0aa91 ok"), (101, None), (102, ""), (103, "plain words only"), (104, "ü 1.2.3.4, ref 20250101x"), (105, "\U0001f600 a@b.cc"), (105, "\U0001f600 a@b.cc")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, base long")
     rows = {r["doc_id"]: r for r in digest(find_pii(df)).collect()}
@@ -151,9 +152,96 @@ def test_pii_digest_and_contexts(spark):
     assert rows[7]["n_email"] == 1 and rows[7]["spans"].startswith("id:12:26,email:")
     assert rows[100]["spans"] == "id:12:24" and rows[100]["n_card"] == 0
     assert [rows[i]["spans"] for i in (101, 102, 103)] == [""] * 3
+    assert rows[300]["spans"] == ""  # a seed without support is no finding
     assert rows[102]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert rows[104]["spans"] == "ip:2:9" and rows[105]["spans"] == "email:2:8"
     assert rows[104]["base_sha256"] == hashlib.sha256(b"ip:2:9").hexdigest()
     text = {r["doc_id"]: r["text"] for r in redacted(df).collect()}
     assert text[7] == "my password=[ID] and mail [EMAIL]" and text[103] == "plain words only" and text[101] is None
     assert find_pii(df.limit(0)).count() == 0
+
+
+def badge_docs():
+    """Contexts that stand in no list: three quarters of the badges are tokens elsewhere, telephones stand where phones do."""
+    rng = random.Random(8)
+    words = ["red", "house", "over", "runs", "lake", "and", "green", "hill"]
+    around = lambda x: " ".join([*rng.choices(words, k=4), x, *rng.choices(words, k=4)])
+    code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(23)) + "a"
+    codes = [code() for _ in range(40)]
+    docs = [around(f'token = "{c}"') for c in codes[:30]] + [around(f"badge <{c}>") for c in codes]
+    docs += [around(f"please ring +1 (619) 555-{1000 + i}") for i in range(30)] + [around(f"please ring 555-{1000 + i}") for i in range(10)]
+    docs += [around(f"item {20_000_000 + i}") for i in range(40)] + [around(str(20_000_000 + i)) for i in range(40)]
+    return docs
+
+
+def plain_bootstrap(texts, rounds, support=3, doubt=2.0):
+    edges: dict = {}
+    labels: dict = {}
+    for t in texts:
+        for p, c, v, known, seed in edges_of(t):
+            edges[p, v] = edges.get((p, v), False) or c
+            old = labels.get(v, (None, False))
+            labels[v] = (old[0] if known is None else known if old[0] is None else min(known, old[0]), old[1] or seed)
+    edges = {(p, v): (c, *labels[v]) for (p, v), c in edges.items()}
+    by_p: dict = {}
+    for (p, v), e in edges.items():
+        by_p.setdefault(p, {})[v] = e
+    by_p = {p: vs for p, vs in by_p.items() if len(vs) >= support}
+    by_v: dict = {}
+    for p, vs in by_p.items():
+        for v, e in vs.items():
+            if e[1] is None:
+                by_v.setdefault(v, set()).add(p)
+    conf = {p: [sum(e[1] == k or (e[1] is None and e[2] and k == 4) for e in vs.values()) / (len(vs) + doubt) for k in range(5)] for p, vs in by_p.items()}
+    for _ in range(rounds - 1):
+        new = {}
+        for p, vs in by_p.items():
+            sums = [0.0] * 5
+            for v, e in vs.items():
+                for k in range(5):
+                    if e[1] is not None:
+                        sums[k] += e[1] == k
+                    else:
+                        miss = 1.0
+                        for q in by_v[v] - {p}:
+                            miss *= 1 - min(conf[q][k], 0.999)
+                        sums[k] += 1 - miss
+            new[p] = [x / (len(vs) + doubt) for x in sums]
+        conf = new
+    context = {p for p, vs in by_p.items() if any(e[0] for e in vs.values())}
+    return {p: max((c[k], -k) for k in range(5)) for p, c in conf.items() if p in context}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_bootstrap_equals_a_plain_iteration(spark, rounds):
+    texts = [*badge_docs(), None, "", "a 12345678", "mail a1234567@b.cc 12345678 and token: 12345678"]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:20]], "text string")
+    got = {r["pattern"]: (r["confidence"], -r["kind"]) for r in bootstrap(graph_rows(df), rounds).collect()}
+    want = plain_bootstrap(texts, rounds)
+    assert got.keys() == want.keys()
+    for p in want:
+        assert abs(got[p][0] - want[p][0]) < 1e-9
+        assert got[p][1] == want[p][1] or abs(got[p][0] - want[p][0]) < 1e-12
+    assert bootstrap(graph_rows(df.limit(0)), rounds).count() == 0
+
+
+def test_unlisted_contexts_are_learnt(spark):
+    docs = badge_docs()
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(docs)], "doc_id long, text string, found string")
+    rows = {r["doc_id"]: r for r in find_pii(df).collect()}
+    kinds = lambda a, b: [[s["kind"] for s in rows[i]["found"]] for i in range(a, b)]
+    assert kinds(0, 70) == [["id"]] * 70  # the last ten stand after `badge` only
+    assert kinds(100, 110) == [["phone"]] * 10
+    assert kinds(110, 190) == [[]] * 80
+    s = rows[30]["found"][0]
+    assert docs[30][s["start"] - 1] + docs[30][s["end"]] == "<>"
+    joined = {r["doc_id"]: r for r in find_pii(df, most_patterns=0).collect()}
+    assert joined == rows
+
+
+def test_entities_of_odd_texts():
+    assert tokens("x" * 50_000 + "1" + "é" * 50_000, []) == [(0, 100_001)]
+    assert tokens("--12345678__ ab1", []) == [(2, 10)]
+    assert tokens("12345678 a@12345678.b 12345678", base_spans("12345678 a@12345678.b 12345678")) == [(0, 8), (22, 30)]
+    assert edges_of("1" * 300_000 + " " + "a1," * 50_000) and not edges_of(None) and not edges_of("no digits")
+    assert LEARNT[:4] == KINDS and pattern_key("a") != pattern_key("b")
