@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+import math
+
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 MINHASH = f"""
@@ -53,21 +55,21 @@ UNION ALL SELECT record_id, url_key, ts, NULL, 'no_response', NULL, NULL, NULL F
 
 def _url_level(i: int) -> str:
     return f"""
-g{i} AS (SELECT host, t, s{i}, sum(n) AS cn, sum(labelled) AS cl, sum(blocked) AS cb FROM t{i} GROUP BY ALL),
-k{i} AS (
-  SELECT *, sum((s{i} <> '')::INT) OVER w AS kinds, sum(CASE WHEN s{i} <> '' THEN cn ELSE 0 END) OVER w AS pn,
-    sum(CASE WHEN s{i} <> '' THEN cl ELSE 0 END) OVER w AS pl, sum(CASE WHEN s{i} <> '' THEN cb ELSE 0 END) OVER w AS pb
-  FROM g{i} WINDOW w AS (PARTITION BY host, t)),
+g{i} AS (SELECT host, t, s{i}, sum(n)::BIGINT AS cn, sum(labelled)::BIGINT AS cl, sum(blocked)::BIGINT AS cb FROM t{i} GROUP BY ALL),
+l{i} AS (SELECT host, t, count(*) AS kinds, sum(cn)::BIGINT AS pn, sum(cl)::BIGINT AS pl, sum(cb)::BIGINT AS pb FROM g{i} WHERE s{i} <> '' GROUP BY ALL),
 c{i} AS (
-  SELECT host, t, s{i}, CASE WHEN s{i} = '' THEN '' WHEN pn >= 20 AND kinds >= 0.5 * pn THEN '/*'
-    WHEN cl > 0 AND kinds > 1 AND NOT abs(cb - cl * (pb / greatest(pl, 1)::DOUBLE)) > 1.96 * sqrt(cl * (pb / greatest(pl, 1)::DOUBLE) * (1 - pb / greatest(pl, 1)::DOUBLE)) THEN '/+'
-    ELSE '/' || s{i} END AS step FROM k{i}),
-t{i + 1} AS (SELECT a.* EXCLUDE (t), a.t || c.step AS t FROM t{i} a JOIN c{i} c USING (host, t, s{i}))"""
+  SELECT host, t, s{i}, s{i} <> '' AND pn >= 20 AND kinds >= 0.5 * pn AS many,
+    cl > 0 AND pl > cl AND abs(cb::DOUBLE / cl - (pb - cb)::DOUBLE / (pl - cl)) <= {math.sqrt(math.log(2 / 0.05) / 2)!r}::DOUBLE * (1 / sqrt(cl) + 1 / sqrt(pl - cl)) AS alike
+  FROM g{i} LEFT JOIN l{i} USING (host, t)),
+t{i + 1} AS (
+  SELECT a.* EXCLUDE (t, g), a.t || CASE WHEN s{i} = '' THEN '' WHEN many THEN '/*' WHEN alike THEN '/+' ELSE '/' || s{i} END AS t,
+    a.g || CASE WHEN s{i} = '' THEN '' WHEN many THEN '/*' ELSE '/' || s{i} END AS g
+  FROM t{i} a JOIN c{i} USING (host, t, s{i}))"""
 
 
 URL_FILTER = (
     r"""
-WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
@@ -83,13 +85,24 @@ v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' W
       WHEN regexp_matches(s, '^[0-9]+\.[a-z]+$') THEN '{n.x}' WHEN regexp_matches(s, '^[0-9a-f]{8,}$') THEN '{h}' WHEN regexp_matches(s, '[0-9]{3,}') THEN '{v}' ELSE s END) AS c
   FROM m),
 x AS (SELECT page_id, host, path, rule, action, c[1] AS s0, c[2] AS s1, c[3] AS s2, len(p) > 3 AS more FROM v),
-t0 AS (SELECT host, s0, s1, s2, more, count(*) AS n, count(action) AS labelled, count(CASE WHEN action = 'block' THEN 1 END) AS blocked, '' AS t FROM x GROUP BY ALL),"""
+t0 AS (SELECT host, s0, s1, s2, more, count(*) AS n, count(action) AS labelled, count(CASE WHEN action = 'block' THEN 1 END) AS blocked, '' AS t, '' AS g FROM x GROUP BY ALL),"""
     + ",".join(_url_level(i) for i in range(3))
     + """,
-f AS (SELECT * EXCLUDE (t), t || CASE WHEN more THEN '/...' ELSE '' END AS t FROM t3),
-j AS (SELECT host, t, (sum(blocked) + 2.0) / (sum(labelled) + 4.0) AS purity FROM f GROUP BY ALL)
-SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.action, CASE WHEN j.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, f.t AS template, j.purity
-FROM x JOIN f USING (host, s0, s1, s2, more) JOIN j USING (host, t)
+f AS (SELECT * EXCLUDE (t, g), t || CASE WHEN more THEN '/...' ELSE '' END AS t, g || CASE WHEN more THEN '/...' ELSE '' END AS g FROM t3),
+o AS (SELECT *, string_split(host, '.') AS labels FROM f),
+h AS (SELECT host, labels, g, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked FROM o GROUP BY ALL),
+e AS (SELECT host, g, labelled, blocked, k, array_to_string(labels[len(labels) - k + 1:len(labels)], '.') AS scope FROM (SELECT *, unnest(range(0, len(labels))) AS k FROM h)),
+w AS (SELECT k, scope, g, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM e GROUP BY ALL),
+n AS (SELECT host, g, k, l, b FROM e JOIN w USING (k, scope, g)),
+r AS (
+  SELECT host, g, k, (b + 4.0::DOUBLE * 0.5::DOUBLE) / (l + 4.0::DOUBLE) AS p FROM n WHERE k = 0
+  UNION ALL
+  SELECT n.host, n.g, n.k, (n.b + 4.0::DOUBLE * (0.5::DOUBLE + 0.9::DOUBLE * (r.p - 0.5::DOUBLE))) / (n.l + 4.0::DOUBLE) FROM r JOIN n ON n.host = r.host AND n.g = r.g AND n.k = r.k + 1),
+z AS (SELECT host, g, max_by(p, k) AS p FROM r GROUP BY ALL),
+j AS (SELECT host, t, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked FROM f GROUP BY ALL),
+q AS (SELECT DISTINCT host, t, g, (blocked + 4.0::DOUBLE * (0.5::DOUBLE + 0.9::DOUBLE * (p - 0.5::DOUBLE))) / (labelled + 4.0::DOUBLE) AS purity FROM (SELECT DISTINCT host, t, g FROM f) JOIN j USING (host, t) JOIN z USING (host, g))
+SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.action, CASE WHEN q.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, f.t AS template, q.purity
+FROM x JOIN f USING (host, s0, s1, s2, more) JOIN q USING (host, t, g)
 """
 )
 

@@ -113,6 +113,27 @@ def test_impure_templates_are_rejected(spark):
     assert {got[i] for i in range(20, 30)} == {"block"} and {got[i] for i in range(300, 340)} == {"allow"}
 
 
+def test_shapes_without_labels_learn_from_wider_domains(spark):
+    rules = (("block", "a.net", "/spam/"), ("allow", "b.net", "/news/"), ("block", "c.net", "/mixed/"), ("allow", "d.net", "/mixed/"))
+    rows = [(f"http://{h}.net/{s}/{i}",) for h, s in (("a", "spam"), ("b", "news"), ("c", "mixed"), ("d", "mixed")) for i in range(60)]
+    rows += [(f"http://x.{d}/{s}/{i}",) for d in ("net", "org") for s in ("spam", "news", "mixed", "other") for i in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string")
+    got = {(r["host"], r["path"].split("/")[1]): (r["verdict"], r["purity"]) for r in judge_urls(df, rules).collect() if r["host"].startswith("x.")}
+    assert {k: v[0] for k, v in got.items()} == {(f"x.{d}", s): "block" if s == "spam" else "allow" for d in ("net", "org") for s in ("spam", "news", "mixed", "other")}
+    top = (60 + 2) / 64
+    near = (60 + 4 * (0.5 + 0.9 * (top - 0.5))) / 64
+    assert got["x.net", "spam"][1] == pytest.approx(0.5 + 0.9 * (near - 0.5)) and got["x.org", "other"][1] == 0.5
+    assert got["x.org", "spam"][1] == pytest.approx(0.5 + 0.9**2 * (top - 0.5)) and got["x.org", "spam"][1] < got["x.net", "spam"][1]
+
+
+def test_siblings_merge_unless_their_labels_differ(spark):
+    rules = (("block", "h.net", "/a/"), ("block", "h.net", "/b/"), ("allow", "h.net", "/c/"), ("block", "h.net", "/d/"))
+    rows = [f"http://h.net/{s}/{i}" for s, n in (("a", 90), ("b", 80), ("c", 9), ("d", 1), ("e", 5)) for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["path"].split("/")[1]: r["template"] for r in judge_urls(df, rules).collect()}
+    assert got == {"a": "/+/{n}", "b": "/+/{n}", "c": "/c/{n}", "d": "/+/{n}", "e": "/e/{n}"}
+
+
 def plain_spans(text):
     """The base patterns as plain regexes."""
     found = []
