@@ -7,42 +7,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, encoded, stored
+from spanlake.llm.common import Words, chunks, cut, encoded, scratch, spread_join, stored
 
-#: log2 of the bits of the gram filter that every task holds (2 MB), whatever the benchmark's size.
-FILTER_BITS = 24
+#: log2 of the bits of the gram filter that every task holds: 2 MB, with many grams up to 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 24, 28
+#: Longer items are taken as parts of so many words.
+ITEM_WORDS = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """The best local alignment of two word sequences: score, matched words, and its [start, end) in b.
 
-    Ties go to the alignment that ends first in a, then in b.
+    Of equal scores the one with more matches counts, then the one that starts later in b, then the one
+    that ends first in a, then in b. Only one row of the table is held: a cell is a number made of its
+    score, matches and start. No alignment spans more than 3 * len(a) words of b (n matches pay for
+    2 * n gaps), so a longer b is taken in windows of twice that, which overlap by it.
     """
     n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    slope = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(1, n + 1):
-        row = np.zeros(m + 1, np.int32)
-        np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = divmod(int(h.argmax()), m + 1)
-    score, end, matched = int(h[i, j]), j, 0
-    while i and j and h[i, j]:
-        same = b[j - 1] == a[i - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matched, j, end
-
-
-def _bits(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    if m > max(6 * n, 1024):
+        step = max(3 * n, 512)
+        parts = [(lo, *align(a, b[lo : lo + 2 * step])) for lo in range(0, m - step, step)]
+        lo, score, matched, begin, end = max(parts, key=lambda p: (p[1], p[2], p[0] + p[3], -p[0] - p[4]))
+        return score, matched, lo + begin, lo + end
+    bits_b, bits_a = (m + 1).bit_length(), (n + 1).bit_length()
+    one, hit = 1 << (bits_a + bits_b), 1 << bits_b
+    fresh = np.arange(m + 1, dtype=np.int64)
+    slope = np.arange(m + 1, dtype=np.int64) * (-GAP * one)
+    row, best, end = fresh, 0, 0
+    for word in a:
+        new = fresh.copy()
+        np.maximum(row[:-1] + np.where(b == word, MATCH * one + hit, MISMATCH * one), row[1:] + GAP * one, out=new[1:])
+        np.copyto(new, fresh, where=new < one)
+        new = np.maximum.accumulate(new + slope) - slope
+        row = np.where(new < one, fresh, new)
+        j = int(row.argmax())
+        if row[j] >= one and row[j] > best:
+            best, end = int(row[j]), j
+    return best >> (bits_a + bits_b), (best >> bits_b) & ((1 << bits_a) - 1), best & (hit - 1), end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least_seeds: int = 2, score_at: float = 0.5) -> DataFrame:
@@ -57,15 +59,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
     best row for each (doc_id, item_id) with score >= score_at comes back; begin and end count words.
     A copy that is edited so evenly that fewer seeds are left isn't found.
 
-    Null and empty texts and items of fewer than seed_words words match nothing. Repeated rows give
-    one row; so do repeated items, by item_id.
+    Null ids, null and empty texts and items of fewer than seed_words words match nothing. Repeated rows
+    give one row; an item_id with several texts counts by the best of them. An item of more than
+    ITEM_WORDS words is taken as parts of that length, and the best part counts. Other columns are ignored.
 
-    The documents are read once. Each task tests all grams against a bit filter of fixed size and
-    keeps the passages (an item's longest length to both sides) of those that pass; the join with the
-    items' grams and all counting are Spark joins. The filter is ORed from the tasks' bits. Passages
-    with the same seeds at the same distances are joined with the items once, and equal passages are
-    aligned once, so a passage that is copied everywhere costs little more than one.
+    The documents are read once. Each task tests all grams against a bit filter (2 to 32 MB, by the number
+    of the items' grams) and keeps the passages (an item's longest length to both sides) of those that
+    pass; the join with the items' grams and all counting are Spark joins, over whose tasks frequent grams
+    and passages are spread. The filter is ORed from the tasks' bits. Passages with the same seeds at the
+    same distances are joined with the items once, and equal passages are aligned once, so a passage that
+    is copied everywhere costs little more than one.
     """
+    def parts(batches):
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                w = Words([text])
+                rows += [(i, lo // ITEM_WORDS, w.buf[w.starts[lo] : w.ends[min(lo + ITEM_WORDS, len(w.starts)) - 1]].decode("utf-8", "replace")) for lo in range(0, len(w.starts), ITEM_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["item_id", "part", "text"])
+
     def item_grams(batches):
         for batch in batches:
             texts = encoded(batch.column(1))
@@ -73,41 +85,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
             g = w.grams(seed_words)
             owner, whole = w.text_of(seed_words)
             at = np.flatnonzero(whole)
-            ids = batch.column(0).take(pa.array(owner[at]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.bounds[owner[at]]), pa.array(g[at].view(np.int64)), pa.array(np.diff(w.bounds)[owner[at]])], names=["item_id", "item_at", "gram", "item_words"])
-
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
-    seeds = stored(items.mapInArrow(item_grams, "item_id long, item_at long, gram long, item_words long"))
-    kinds = seeds.groupBy("item_id").agg(F.count_distinct("gram").alias("kinds"))
-    seeds = stored(seeds.join(kinds, "item_id"))
-    # 2**FILTER_BITS bits as rows of 64: at most 2**18 rows, whatever the input; `few` has the grams that do alone
-    slots = seeds.select(F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS})").alias("slot"), (F.col("kinds") < least_seeds).alias("few"))
+            keys = batch.column(0).take(pa.array(owner[at]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(at - w.bounds[owner[at]]), pa.array(g[at].view(np.int64)), pa.array(np.diff(w.bounds)[owner[at]])], names=["item", "item_at", "gram", "item_words"])
+
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    items = items.mapInArrow(parts, "item_id long, part long, text string").select("item_id", F.xxhash64("item_id", "part", "text").alias("item"), "text").dropDuplicates(["item"])
+    with scratch(items) as items:
+        return _contaminated(docs, items, item_grams, seed_words, least_seeds, score_at)
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, item_grams, seed_words: int, least_seeds: int, score_at: float) -> DataFrame:
+    seeds = cut(items.select("item", "text").mapInArrow(item_grams, "item long, item_at long, gram long, item_words long"))
+    kinds = seeds.groupBy("item").agg(F.count_distinct("gram").alias("kinds"))
+    seeds = cut(seeds.join(kinds, "item"))
+    grams, longest = seeds.agg(F.count("*"), F.max("item_words")).first()
+    size = min(max(FILTER_BITS, (32 * grams).bit_length()), MOST_FILTER_BITS)
+    longest = longest or 0
+    # 2**size bits as rows of 64: at most 2**22 rows, whatever the input; `few` has the grams that do alone
+    slots = seeds.select(F.expr(f"shiftrightunsigned(gram, {64 - size})").alias("slot"), (F.col("kinds") < least_seeds).alias("few"))
     slots = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"), "few")
     bits = slots.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or(F.when(F.col("few"), F.col("bit")).otherwise(0)).alias("few")).toArrow()
-    longest = seeds.agg(F.max("item_words")).first()[0] or 0
     filled, value, lone = (bits.column(i).to_numpy() for i in (0, 1, 2))
 
-    def flags(words):
-        known = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    def tester(words):
+        known = np.zeros(1 << (size - 6), np.uint64)
         known[filled] = words.view(np.uint64)
-        return np.unpackbits(known.view(np.uint8), bitorder="little").view(bool)
+
+        def test(g):
+            slot = g >> np.uint64(64 - size)
+            return (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+        return test
 
     def passages(batches):
-        known, alone = flags(value), flags(lone)
+        known, alone = tester(value), tester(lone) if lone.any() else lambda g: np.zeros(len(g), bool)
         for batch in batches:
             texts = encoded(batch.column(1))
             rows: list[tuple] = []
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi])
                 g = w.grams(seed_words)
-                hit = np.flatnonzero(known[_bits(g)])
+                hit = np.flatnonzero(known(g))
                 owner, whole = w.text_of(seed_words)
                 hit = hit[whole[hit]]
                 if not len(hit):
                     continue
                 new = np.flatnonzero(np.concatenate(([True], (owner[hit[1:]] != owner[hit[:-1]]) | (hit[1:] - hit[:-1] > 2 * longest))))
                 for b, e in zip(new, [*new[1:], len(hit)], strict=True):
-                    if e - b < least_seeds and not alone[_bits(g[hit[b:e]])].any():
+                    if e - b < least_seeds and not alone(g[hit[b:e]]).any():
                         continue
                     doc = owner[hit[b]]
                     first = max(w.bounds[doc], hit[b] - longest)
@@ -122,8 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
                     names=["doc_id", "first", "passage", "at", "grams"],
                 )
 
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(texts.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>"))
+    own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(own.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>"))
 
     # a shape is the seeds of a passage and their distances; its zones count from its first seed
     found = found.withColumns({"lead": F.col("at")[0], "shape": F.struct(*(F.xxhash64(F.lit(k), F.transform("at", lambda a: a - F.col("at")[0]), "grams").alias(f"s{k}") for k in (1, 2)))})
@@ -131,35 +156,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
     shapes = found.groupBy("shape").agg(F.first(F.arrays_zip("at", "grams")).alias("h")).select("shape", F.col("h")[0]["at"].alias("lead"), F.explode("h").alias("h"))
     hits = shapes.select("shape", (F.col("h.at") - F.col("lead")).alias("at"), F.col("h.grams").alias("gram"))
 
-    near = hits.join(seeds, "gram").withColumn("shift", F.col("at") - F.col("item_at"))
+    near = spread_join(cut(hits), seeds, ["gram"]).withColumn("shift", F.col("at") - F.col("item_at"))
     half = F.floor(F.col("shift") * 2 / F.col("item_words"))
-    near = near.select("shape", "item_id", "gram", "kinds", F.explode(F.array(half, half + 1)).alias("zone")).distinct()
-    near = near.groupBy("shape", "item_id", "zone").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
+    near = near.select("shape", "item", "gram", "kinds", F.explode(F.array(half, half + 1)).alias("zone")).distinct()
+    near = near.groupBy("shape", "item", "zone").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
     near = near.filter(F.col("n") >= F.least(F.lit(least_seeds), "kinds"))
-    near = near.groupBy("shape", "item_id").agg(F.min("zone").alias("low"), F.max("zone").alias("high"))
-    near = stored(found.select("doc_id", "first", "lead", "shape", "copy").join(near, "shape").drop("shape"))
+    near = near.groupBy("shape", "item").agg(F.min("zone").alias("low"), F.max("zone").alias("high"))
+    near = cut(spread_join(found.select("doc_id", "first", "lead", "shape", "copy"), near, ["shape"]).drop("shape"))
 
     one = near.groupBy("copy").agg(F.min(F.struct("doc_id", "first")).alias("one")).select("copy", "one.*")
     texts = found.select("doc_id", "first", "copy", "passage").join(one, ["doc_id", "first", "copy"]).dropDuplicates(["copy"]).select("copy", "passage")
-    pairs = near.select("copy", "item_id", "lead", "low", "high").distinct().join(texts, "copy").join(items.withColumnRenamed("text", "item"), "item_id")
+    pairs = near.select("copy", "item", "lead", "low", "high").distinct().join(texts, "copy").join(items, "item")
 
     def score(batches):
         for batch in batches:
-            a, b = (Words(encoded(batch.column(batch.schema.get_field_index(c)))) for c in ("item", "passage"))
+            sides = [encoded(batch.column(c)) for c in ("text", "passage")]
             low, high, lead = (batch.column(c).to_numpy() for c in ("low", "high", "lead"))
-            out = np.zeros((batch.num_rows, 5))
-            for i in range(batch.num_rows):
-                x, y = (w.hashes[w.bounds[i] : w.bounds[i + 1]] for w in (a, b))
-                n = len(x)
-                begin = max(0, int((low[i] - 1) * n / 2) - n + lead[i])
-                y = y[begin : int((high[i] + 1) * n / 2) + 2 * n + lead[i]]
-                s, k, p, q = align(x, y)
-                out[i] = s / (MATCH * n), k, p + begin, q + begin, n
-            copy = batch.column("copy")
-            yield pa.RecordBatch.from_arrays([copy, batch.column("item_id"), pa.array(out[:, 0]), *(pa.array(out[:, k].astype(np.int64)) for k in (1, 2, 3))], names=["copy", "item_id", "score", "matched", "begin", "end"])
-
-    scored = pairs.mapInArrow(score, "copy struct<p1:long,p2:long>, item_id long, score double, matched long, begin long, end long").filter(F.col("score") >= score_at)
-    scored = near.select("doc_id", "first", "copy", "item_id").join(scored, ["copy", "item_id"])
+            out = np.zeros((batch.num_rows, 4))
+            for lo, hi in chunks(sides[1]):
+                a, b = (Words(t[lo:hi]) for t in sides)
+                for i in range(hi - lo):
+                    x, y = (w.hashes[w.bounds[i] : w.bounds[i + 1]] for w in (a, b))
+                    n = len(x)
+                    begin = max(0, int((low[lo + i] - 1) * n / 2) - n + lead[lo + i])
+                    y = y[begin : int((high[lo + i] + 1) * n / 2) + 2 * n + lead[lo + i]]
+                    s, k, p, q = align(x, y)
+                    out[lo + i] = s / (MATCH * n), k, p + begin, q + begin
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), batch.column("item"), batch.column("item_id"), pa.array(out[:, 0]), *(pa.array(out[:, k].astype(np.int64)) for k in (1, 2, 3))], names=["copy", "item", "item_id", "score", "matched", "begin", "end"])
+
+    scored = pairs.mapInArrow(score, "copy struct<p1:long,p2:long>, item long, item_id long, score double, matched long, begin long, end long").filter(F.col("score") >= score_at)
+    scored = spread_join(near.select("doc_id", "first", "copy", "item"), scored, ["copy", "item"])
     scored = scored.withColumns({"begin": F.col("begin") + F.col("first"), "end": F.col("end") + F.col("first")})
     best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return cut(scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"))

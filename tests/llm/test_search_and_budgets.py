@@ -63,6 +63,73 @@ def test_alignment_equals_plain_smith_waterman():
         assert score == h.max() and 0 <= begin <= end <= len(b) and 2 * matched >= score
 
 
+def plain_score(a, b):
+    best, h = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, h[j] + (2 if x == y else -1), h[j + 1] - 1, new[j] - 1))
+        h = new
+        best = max(best, *h)
+    return best
+
+
+def test_alignment_in_windows_equals_one_table():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 40):
+        a = rng.integers(0, 30, n)
+        b = rng.integers(0, 30, 5000)
+        for _ in range(8):
+            at = rng.integers(0, 4900)
+            b[at : at + n] = np.where(rng.random(n) < 0.7, a, 99)
+        score, _, begin, end = align(a, b)
+        assert score == plain_score(a.tolist(), b.tolist()) == plain_score(a.tolist(), b[begin:end].tolist())
+
+
+def test_contaminated_equals_all_pairs(spark):
+    """Items of 3, 4, 5 and more words, repeated grams, repeated ids and long texts against every alignment."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(k, some(n)) for k, n in enumerate((3, 3, 4, 5, 5, 8, 20, 40))] + [(20, ["go"] * 4), (21, "ab cd ab cd ab cd".split()), (3, some(6))]
+    docs = []
+    for i in range(160):
+        w = some(rng.choice((4, 30, 200)))
+        for _ in range(rng.randint(0, 2)):
+            copy = list(rng.choice(items)[1])
+            for j in range(len(copy)):
+                if rng.random() < 0.12:
+                    copy[j] = rng.choice(words)
+            at = rng.randint(0, len(w))
+            w[at:at] = copy
+        docs.append((i, w))
+    docs.append((500, some(3000) + items[7][1] + some(3000) + items[0][1] + some(10) + items[7][1][:30]))
+    docs.append((501, items[6][1] * 300))
+    allowed, must = {}, set()
+    for i, w in docs:
+        for k, item in items:
+            share = plain_score(item, w) / (2 * len(item))
+            if share >= 0.5:
+                allowed[i, k] = max(share, allowed.get((i, k), 0))
+                at: dict = {}
+                for j in range(len(w) - 2):
+                    at.setdefault(tuple(w[j : j + 3]), []).append(j)
+                hits = [(g, j - q) for q in range(len(item) - 2) for g in [tuple(item[q : q + 3])] for j in at.get(g, [])]
+                kinds = len({tuple(item[q : q + 3]) for q in range(len(item) - 2)})
+                if kinds == 1 and hits or any(g != h and abs(x - y) <= len(item) / 2 for g, x in hits for h, y in hits[:50]):
+                    must.add((i, k))
+    got = contaminated(spark.createDataFrame([(i, " ".join(w), 1) for i, w in docs], "doc_id long, text string, copy int"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()}
+    assert must <= got.keys() <= allowed.keys() and all(got[x] == allowed[x] for x in got) and len(must) > 100
+
+
+def test_long_items_count_by_their_parts(spark):
+    item = [f"q{i}" for i in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(item[4200:4900])), (2, " ".join(item[:1500])), (3, "x " * 50 + " ".join(item))], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got) == [(1, 7, 700 / 904), (3, 7, 1.0)]
+
+
 def test_contaminated_documents(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
