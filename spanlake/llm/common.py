@@ -89,7 +89,8 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     """
     hot = F.broadcast(hot_keys(many, keys) if hot is None else hot)
     wide = few.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    rows = F.xxhash64(*(F.col(c) for c in many.columns if c not in keys and many.schema[c].dataType.typeName() != "map"))
+    others = [c for c in many.columns if c not in keys]
+    rows = F.xxhash64(*([c for c in others if many.schema[c].dataType.typeName() not in ("array", "map", "struct")] or others))
     part = F.pmod(rows, F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")
     if how == "left":
         part = F.when(F.col(keys[0]).isNull(), F.pmod(rows, F.lit(1000)).cast("int")).otherwise(part)

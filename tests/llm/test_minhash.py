@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from spanlake.llm.components import connected_components
-from spanlake.llm.minhash import Circulant, near_duplicates, shingle_sets
+from spanlake.llm.minhash import TIER, Circulant, near_duplicates, shingle_sets, signatures, tiers
 
 SCHEMA = "doc_id long, text string"
 
@@ -96,3 +96,43 @@ def test_components_of_a_path(spark, n):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_unlike_long_texts_share_no_bucket(spark):
+    """50 texts of 100,000 words, and one of 400,000: no keys in common, but for a copy that is nearly whole."""
+    c = Circulant(64, 6, 7)
+    rng = np.random.default_rng(3)
+    keys: dict = {}
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in [100_000] * 50]
+    near = sets[0].copy()
+    near[:8000] = rng.integers(0, 1 << 63, 8000)
+    for i, s in enumerate([*sets, near]):
+        for k in c.keys(c.signature(s, 1)[None, :], 1)[0]:
+            keys.setdefault(int(k), set()).add(i)
+    assert {tuple(sorted(v)) for v in keys.values() if len(v) > 1} == {(0, 50)}
+    last = [c.signature(rng.integers(0, 1 << 63, 3000).astype(np.uint64), 2) for _ in range(2)]
+    assert (last[0] == last[1]).mean() == 0
+
+
+def test_similar_sets_share_a_tier():
+    for n in [1, 3000, TIER, TIER + 1, TIER * 64, TIER * 64 + 1, 10**7]:
+        for m in {n, -(-3 * n // 4), n + n // 3}:
+            assert set(tiers(n, 75)) & set(tiers(m, 75))
+
+
+def test_tiers_meet_and_long_copies_link(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(50_000)]
+    long_ = [rng.choice(words) for _ in range(4300)]
+    rows = [(1, " ".join(long_)), (2, " ".join(long_[:3800])), (3, " ".join(long_[:3300])), (4, " ".join(rng.choice(words) for _ in range(4300)))]
+    assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert {r["doc_id"]: r["count"] for r in signatures(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id").count().collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_an_id_with_several_texts_has_one_set(spark):
+    rows = [(7, "a b c d e f g h"), (7, "q r s t u v w x"), (3, "a b c d e f g h"), (5, "q r s t u v w x"), (9, "a b c d e f g h")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 5
+    seven = {r["component_id"] for r in got if r["doc_id"] == 7}
+    assert len(seven) == 1 and seven <= {3, 5}
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 9)} == {3} and {r["component_id"] for r in got if r["doc_id"] == 5} == {5}
