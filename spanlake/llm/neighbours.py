@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import stored
+from spanlake.llm.common import cut, mixed, stored
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -42,8 +42,10 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-#: The widest window that a table's size alone leads to.
-WIDEST = 10_000
+#: A key's last bits come from the point's id, so that points of one cell can lie in different blocks.
+TIE_BITS = 7
+#: Windows beyond this are left to the exact search; it bounds a task's memory.
+WIDEST = 50_000
 
 
 class Curves:
@@ -62,9 +64,58 @@ class Curves:
             self.low.append(low - rng.random(self.dims) * span)
             self.span.append(2 * span)
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def keys(self, x: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
         cells = np.clip((x @ self.axes[curve] - self.low[curve]) / self.span[curve], 0, 1 - 1e-9) * (1 << self.bits)
-        return hilbert_keys(cells, self.bits)
+        ties = mixed(ids.astype(np.uint64)) & np.uint64((1 << TIE_BITS) - 1)
+        return (hilbert_keys(cells, self.bits) << TIE_BITS) | ties.astype(np.int64)
+
+
+class Raised:
+    """Vectors with one more coordinate, which makes the largest inner product the smallest distance.
+
+    Points get sqrt(M^2 - |x|^2), with M the largest length; queries are scaled to length M and get 0.
+    """
+
+    def __init__(self, most: float):
+        self.most = most
+
+    def points(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x, np.sqrt(np.maximum(self.most**2 - (x * x).sum(axis=1), 0))[:, None]), axis=1)
+
+    def queries(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x * (self.most / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros((len(x), 1))), axis=1)
+
+
+class Blocks:
+    """Where each curve is cut into blocks, and how far a block's edges reach over its cuts.
+
+    Cuts and reaches are quantiles of a sample's sorted keys, so a reach of `window` points is one of
+    that many on average; it is taken a fifth wider, and three sample points at least.
+    """
+
+    def __init__(self, keys: list[np.ndarray], n: int, window: int, block: int):
+        held = len(keys[0])
+        reach = math.ceil(1.2 * window * held / n) + 3
+        parts = max(1, min(math.ceil(n / max(block, 4 * window)), held // (4 * reach)))
+        at = np.arange(1, parts) * held // parts
+        self.parts = parts
+        self.cuts = [k[at] for k in keys]
+        self.low = [k[np.maximum(at - reach, 0)] for k in keys]
+        self.high = [k[np.minimum(at + reach, held - 1)] for k in keys]
+
+    def of(self, keys: np.ndarray, curve: int) -> np.ndarray:
+        """The block that each key lies in."""
+        return np.searchsorted(self.cuts[curve], keys, "right")
+
+    def around(self, keys: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of each key's own block and of those whose edges reach it."""
+        own, last = self.of(keys, curve), self.parts - 1
+        rows = np.arange(len(keys))
+        if not last:
+            return rows, own
+        before = np.flatnonzero((own > 0) & (keys <= self.high[curve][np.maximum(own - 1, 0)]))
+        after = np.flatnonzero((own < last) & (keys >= self.low[curve][np.minimum(own, last - 1)]))
+        return np.concatenate((rows, before, after)), np.concatenate((own, own[before] - 1, own[after] + 1))
 
 
 def _matrix(column) -> np.ndarray:
@@ -73,139 +124,242 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def effort(n: int, curves: int | None = None, window: int | None = None) -> tuple[int, int]:
-    """Curves and window for n points, so that recall doesn't fall as a table grows; what is given stays.
+def _table(df: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a bounded number of rows (point, x)."""
+    got = df.select("point", "x").toArrow().combine_chunks()
+    x = _matrix(got.column("x").combine_chunks()) if got.num_rows else np.zeros((0, d))
+    return got.column("point").to_numpy().astype(np.int64), x
+
+
+def _binary(a: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    ends = np.arange(len(a) + 1, dtype=np.int32) * (a.shape[1] * a.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(a))])
+
+
+def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as 16-bit integers and what one of their units is. Sums of their products are exact in double precision."""
+    unit = np.abs(x).max(axis=1) / 32767
+    return np.round(x / unit[:, None]).astype(np.int16), unit
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Where the `most` largest scores are, ties to the smaller id."""
+    if len(scores) <= most:
+        return np.arange(len(scores))
+    top = np.flatnonzero(scores >= np.partition(scores, len(scores) - most)[len(scores) - most])
+    return top[np.lexsort((ids[top], -scores[top]))[:most]]
 
-    On structureless vectors of 64 dimensions a curve finds a neighbour with a probability of about
-    0.18 (share / 0.078) ** 0.6, where the share is that of the table within 2 * window. The window
-    grows with the table up to WIDEST, which bounds a task's memory; from there on the number of
-    curves does, so that the chance that all of them miss a neighbour stays as with 16 at 51,282.
-    """
-    window = window or max(2000, min(math.ceil(n * 2000 / 51_282), WIDEST))
-    if curves is None:
-        found = min(0.18 * (2 * window / max(n, 1) / 0.078) ** 0.6, 0.18)
-        curves = math.ceil(16 * math.log(1 - 0.18) / math.log(1 - found) - 1e-6)
-    return curves, window
 
+def _lists(asked: list[int], near: list[tuple[np.ndarray, np.ndarray]], kind=pa.RecordBatch):
+    """asked, near (structs of score, back = -point) of each query's candidates."""
+    ends = pa.array(np.cumsum([0, *(len(s) for s, _ in near)]).astype(np.int32))
+    flat = [np.concatenate([*(x[i] for x in near), np.zeros(0)]) for i in (0, 1)]
+    pairs = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(-flat[1].astype(np.int64))], names=["score", "back"])
+    return kind.from_arrays([pa.array(asked, pa.int64()), pa.ListArray.from_arrays(ends, pairs)], names=["asked", "near"])
 
-def nearest(vectors: DataFrame, queries, k: int = 20, curves: int | None = None, window: int | None = None, dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 10_000, seed: int = 11) -> DataFrame:
+
+_NEAR = "asked long, near array<struct<score:double,back:long>>"
+
+
+def _merged(lists: DataFrame, most: int) -> DataFrame:
+    """(asked, near): each query's `most` best candidates of all its lists, once each."""
+    every = F.array_distinct(F.flatten(F.collect_list("near")))
+    return lists.groupBy("asked").agg(F.slice(F.sort_array(every, asc=False), 1, most).alias("near"))
+
+
+def scanned(points: DataFrame, ids: np.ndarray, x: np.ndarray, most: int) -> DataFrame:
+    """The `most` best of all points for a bounded number of queries, which go to every task."""
+
+    def scan(batches):
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        for batch in batches:
+            mine, s = batch.column(0).to_numpy(), x @ _matrix(batch.column(1)).T
+            for i in range(len(ids)):
+                both, who = np.concatenate((held[i][0], s[i])), np.concatenate((held[i][1], mine))
+                top = _best(both, who, most)
+                held[i] = both[top], who[top]
+        yield _lists(ids.tolist(), held)
+
+    return _merged(points.select("point", "x").mapInArrow(scan, _NEAR), most)
+
+
+def gridded(points: DataFrame, asking: DataFrame, n: int, q: int, most: int, side: int = 20_000) -> DataFrame:
+    """The exact search: every query against all points, in cells of about `side` points and `side` queries."""
+    rows, columns = max(1, math.ceil(n / side)), max(1, math.ceil(q / side))
+    each = lambda own, parts, other, others: (
+        F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+    )
+
+    def cell(left, right):
+        if not left.num_rows or not right.num_rows:
+            return _lists([], [], pa.Table)
+        asked, ids = right.column("point").to_numpy(), left.column("point").to_numpy()
+        x, y = (_matrix(t.column("x").combine_chunks()) for t in (left, right))
+        near = []
+        for lo in range(0, len(y), 256):
+            near += [(s[top], ids[top]) for s in y[lo : lo + 256] @ x.T for top in [_best(s, ids, most)]]
+        return _lists(asked.tolist(), near, pa.Table)
+
+    left = points.select("point", "x", *each("r", rows, "c", columns))
+    right = asking.select("point", "x", *each("c", columns, "r", rows))
+    return _merged(left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, _NEAR), most)
+
+
+def effort(far: np.ndarray, n: int, q: int, recall: float, sorting: float = 20.0, least: int = 400, always: int = 50_000) -> tuple[int, int] | None:
+    """Curves and window that reach a recall at the least cost, or None if an exact search is cheaper.
+
+    `far` has, for each curve, how many points lie between some queries and each of their true
+    neighbours. The first c curves need the window that `recall` of the smallest of these fit into, and
+    `least` at least. They cost sorting * n + 2 * window * q each. A query may be compared `always`
+    times; beyond that, not as often as there are points.
+    """
+    best = None
+    for c in range(4, len(far) + 1, 4):
+        window = max(least, math.ceil(np.quantile(far[:c].min(axis=0), recall, method="higher") * 1.1) + 2)
+        if window <= WIDEST and 2 * window * c < max(n, always):
+            cost = c * (sorting * n + 2 * window * q)
+            best = min(best or (cost, c, window), (cost, c, window))
+    return best and best[1:]
+
+
+def nearest(
+    vectors: DataFrame, queries: str | Column, k: int = 20, curves: int = 64, window: int | None = None, recall: float = 0.94,
+    dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 20_000, probes: int = 256, spare: int = 10, seed: int = 11,
+) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) where the condition `queries` holds: its k nearest
     other rows by inner product, as query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those
-    whose length isn't the most common one (ties to the longer). Fewer candidates give fewer rows;
-    rows that repeat a vec_id with the same vector are one.
+    whose length isn't the most common one (ties to the longer): they have no inner product with the
+    others. Fewer candidates give fewer rows; rows that repeat a vec_id with the same vector are one.
+    Other columns are ignored; an empty table gives no rows.
 
     Equal vectors are one point with its k + 1 smallest ids, which is all that any answer can need.
-    To make inner products distances, a point gets one more coordinate, sqrt(M^2 - |x|^2) with M the
-    largest length; a query is scaled to length M. Points and queries are put in order along each
-    curve, range-partitioned; a query is compared with the `window` points to both sides, for which
-    each block takes in the edges of the blocks beside it. A curve's k + 1 best are merged over the
-    curves. The curves' boxes are fitted on about `sample` points; every point is indexed.
-
-    Without `curves` and `window` both follow from the number of points, see `effort`; with fixed
-    ones recall falls as a table of structureless vectors grows.
+    Points and queries get a key on each of several shifted Hilbert curves, after Raised. Curves are
+    cut into blocks by key, where a query is compared with the `window` points to both sides; blocks
+    reach that far over their cuts. A curve carries 16-bit codes; the k + 1 + `spare` best of all
+    curves are ranked anew by the inner product of the original vectors, summed in order.
+
+    The window and the number of curves (`curves` at most) are measured, not assumed: for `probes`
+    queries, which are scanned against all points, `effort` sees where their true neighbours lie on
+    the curves and takes what `recall` of them need. Where that would cost more than all inner
+    products, the queries are searched exactly, in blocks. Boxes, cuts and measured distances
+    come from about `sample` points; every point is indexed. A given `window` skips the measurement.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.expr(queries).alias("asks") if isinstance(queries, str) else queries.alias("asks"))
     fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
     v = v.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(fine, F.lit(False)))
     v = v.withColumn("x", F.transform("x", lambda e: e + F.lit(0.0)))
     common = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    out = "query_id long, rank int, vec_id long, score double"
     if common is None:
-        return vectors.sparkSession.createDataFrame([], out)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = common["d"]
     v = v.filter(F.size("x") == d).withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), "x")})
+    # keys are costly: a small table is dealt to 64 tasks, a large one to tasks of 100,000 rows
+    v = v.repartition(max(min(math.ceil(common["count"] / 2000), 64), math.ceil(common["count"] / 100_000)), "h1", "h2")
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
     firsts = v.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("no", F.row_number().over(order)).filter(F.col("no") <= k + 1)
     points = firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("point"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("x", "vec_id").alias("x"))
     asking = v.filter("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     points = stored(points.join(asking.select("h1", "h2", F.lit(True).alias("asks")).distinct(), ["h1", "h2"], "left"))
     squares = F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e)
-    n, most = points.agg(F.count("*"), F.sqrt(F.max(squares))).first()
-    curves, window = effort(n, curves, window)
-    block = max(block, 2 * window)
-    some = points.filter(F.pmod("h1", F.lit(1 << 20)) < max(1, min(1 << 20, (1 << 20) * sample // n))).select("x").limit(2 * sample)
-    fit = np.array([r["x"] for r in some.collect()], np.float64).reshape(-1, d)
-    if len(fit) < 2:
-        fit = np.vstack([np.full((1, d), -most / math.sqrt(d)), np.full((1, d), most / math.sqrt(d))])
-
-    def raised(x, query):
-        size = np.sqrt((x * x).sum(axis=1))
-        if query:
-            return np.concatenate((x * (most / size)[:, None], np.zeros((len(x), 1))), axis=1)
-        return np.concatenate((x, np.sqrt(np.maximum(most * most - size * size, 0))[:, None]), axis=1)
-
-    shape = Curves(raised(fit, False), curves, dims, bits, seed)
+    n, q, most = points.agg(F.count("*"), F.count("asks"), F.sqrt(F.max(squares))).first()
+    near = _candidates(points, n, q, d, most, k + 1 + spare, k, curves, window, recall, dims, bits, block, sample, probes, seed)
+
+    pairs = near.select("asked", F.explode("near.back").alias("back")).select("asked", (-F.col("back")).alias("point"))
+    both = pairs.join(points.select("point", "ids", F.col("x").alias("y")), "point").join(points.filter("asks").select(F.col("point").alias("asked"), "x"), "asked")
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    ids = both.select("asked", "ids", score.alias("score")).select("asked", "score", F.explode("ids").alias("vec_id"))
+    first = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    ids = ids.withColumn("no", F.row_number().over(first)).filter(F.col("no") <= k + 1)
+    lists = ids.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("no", "vec_id", "score"))).alias("near"))
+    answers = asking.join(points.select("h1", "h2", "point"), ["h1", "h2"]).join(lists, F.col("asked") == F.col("point"))
+    mine = answers.select("query_id", F.posexplode(F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k)).alias("i", "e"))
+    return mine.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
+
+
+def _candidates(points, n, q, d, longest, most, k, curves, window, recall, dims, bits, block, sample, probes, seed) -> DataFrame:
+    """(asked, near) of each asking point, along the curves or exactly."""
+    asking = points.filter("asks")
+    share = F.pmod("h1", F.lit(1 << 30)) < max(1, min(1 << 30, (1 << 30) * sample // n))
+    ids, x = _table(points.filter(share).limit(2 * sample), d)
+    if len(ids) < 100:
+        return gridded(points, asking, n, q, most)
+    raised = Raised(longest)
+    shape = Curves(raised.points(x), curves, dims, bits, seed)
+    ask = there = at = np.zeros(0, np.int64)
+    y = z = np.zeros((1, d))
+    own = np.zeros(1, np.int64)
+    if window is None:
+        own, y = _table(asking.orderBy("h1", "h2").limit(probes), d)
+        true = scanned(points, own, y, k + 1).select("asked", F.explode("near.back").alias("back")).select("asked", (-F.col("back")).alias("point")).filter("asked <> point")
+        true = true.join(points.select("point", "x"), "point").toArrow()
+        ask, there, z = true.column("asked").to_numpy(), true.column("point").to_numpy(), _matrix(true.column("x").combine_chunks())
+        if not len(ask):
+            return gridded(points, asking, n, q, most)
+        at = np.argsort(own)[np.searchsorted(np.sort(own), ask)]
+
+    def order(batches):
+        """Each curve's sorted keys of the sample, and how far the probes' true neighbours lie from them."""
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                keys = np.sort(shape.keys(raised.points(x), ids, c))
+                far = np.zeros(0)
+                if len(at):
+                    mine, other = shape.keys(raised.queries(y), own, c)[at], shape.keys(raised.points(z), there, c)
+                    far = np.abs(np.searchsorted(keys, mine) - np.searchsorted(keys, other)) * (n / len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), _binary(keys[None, :]), _binary(far[None, :])], names=["c", "keys", "far"])
+
+    got = sorted(points.sparkSession.range(0, curves, 1, curves).mapInArrow(order, "c long, keys binary, far binary").collect())
+    if window is None:
+        chosen = effort(np.array([np.frombuffer(r["far"]) for r in got]), n, q, recall)
+        if chosen is None:
+            return gridded(points, asking, n, q, most)
+        curves, window = chosen
+    keys = [np.frombuffer(r["keys"], np.int64) for r in got[:curves]]
+    blocks = Blocks(keys, n, window, block)
 
     def place(batches):
         for batch in batches:
-            x = _matrix(batch.column("x"))
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            own, x = batch.column("point").to_numpy(), _matrix(batch.column("x"))
+            asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False).astype(bool))
+            codes, unit = _codes(x)
+            up, ask = raised.points(x), raised.queries(x[asks])
             for c in range(curves):
-                for query in (False, True):
-                    at = np.flatnonzero(asks == True) if query else np.arange(len(x))  # noqa: E712
-                    if len(at):
-                        take = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(shape.keys(raised(x[at], query), c)), batch.column("point").take(take), pa.array(np.full(len(at), query)), batch.column("x").take(take)], names=["curve", "key", "point", "query", "x"])
-
-    placed = points.select("point", F.coalesce("asks", F.lit(False)).alias("asks"), "x").mapInArrow(place, "curve int, key long, point long, query boolean, x array<double>")
-    parts = max(1, math.ceil(1.05 * n * curves / block))
-    ordered = placed.repartitionByRange(parts, "curve", "key", "point", "query").sortWithinPartitions("curve", "key", "point", "query")
-
-    def edges(batches):
-        """Each row of a block, and copies of its first and last `window` rows for the blocks beside it."""
-        import pyspark
-
-        part = pyspark.TaskContext.get().partitionId()
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        rows = whole.num_rows
-        for to, begin, count, own in ((part - 1, 0, min(window, rows), False), (part, 0, rows, True), (part + 1, max(0, rows - window), min(window, rows), False)):
-            if to < 0:
-                continue
-            for b in whole.slice(begin, count).to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, to, np.int32)), pa.array(np.full(b.num_rows, own)), *b.columns], names=["part", "own", *b.schema.names])
-
-    blocks = ordered.mapInArrow(edges, "part int, own boolean, curve int, key long, point long, query boolean, x array<double>")
+                rows, parts, keys = [], [], []
+                own_keys = shape.keys(up, own, c)
+                at, part = blocks.around(own_keys, c)
+                rows, parts, keys, is_query = [at], [part], [own_keys[at]], [np.zeros(len(at), bool)]
+                if len(asks):
+                    asked = shape.keys(ask, own[asks], c)
+                    rows, parts, keys, is_query = [*rows, asks], [*parts, blocks.of(asked, c)], [*keys, asked], [*is_query, np.ones(len(asks), bool)]
+                at = np.concatenate(rows)
+                part = np.concatenate(parts).astype(np.int64) * curves + c
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(np.concatenate(keys)), pa.array(own[at]), pa.array(np.concatenate(is_query)), pa.array(unit[at]), _binary(codes[at])], names=["part", "key", "point", "query", "unit", "code"]
+                )
 
     def search(block):
-        block = block.sort_by([(c, "ascending") for c in ("curve", "key", "point", "query")])
-        curve, point = (block.column(c).to_numpy() for c in ("curve", "point"))
-        query, own = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("query", "own"))
-        x = _matrix(block.column("x").combine_chunks())
-        at = np.flatnonzero(~query)
-        ask = np.flatnonzero(query & own)
-        got: list[list[np.ndarray]] = [[], [], []]
-        for lo in range(0, len(ask), 128):
-            some = ask[lo : lo + 128]
-            mid = np.searchsorted(at, some)
-            left = np.maximum(np.maximum(mid - window, 0), np.searchsorted(curve[at], curve[some], "left"))
-            right = np.minimum(np.minimum(mid + window, len(at)), np.searchsorted(curve[at], curve[some], "right"))
-            b, e = left.min(), right.max()
-            s = x[some] @ x[at[b:e]].T
-            for i in range(len(some)):
-                mine, ids = s[i, left[i] - b : right[i] - b], point[at[left[i] : right[i]]]
-                if len(mine) > k + 1:
-                    bar = np.partition(mine, len(mine) - k - 1)[len(mine) - k - 1]
-                    top = np.flatnonzero(mine >= bar)
-                    top = top[np.lexsort((ids[top], -mine[top]))[: k + 1]]
-                else:
-                    top = np.arange(len(mine))
-                for g, a in zip(got, (np.full(len(top), point[some[i]]), ids[top], mine[top]), strict=True):
-                    g.append(a)
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({c: np.concatenate([*g, z]) for c, g, z in zip(("asked", "point", "score"), got, empty, strict=True)})
-
-    best = blocks.groupBy("part").applyInArrow(search, "asked long, point long, score double").groupBy("asked", "point").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("asked").orderBy(F.desc("score"), "point")
-    best = best.withColumn("no", F.row_number().over(top)).filter(F.col("no") <= k + 1)
-    ids = best.join(points.select("point", "ids"), "point").select("asked", "score", F.explode("ids").alias("vec_id"))
-    near = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    ids = ids.withColumn("no", F.row_number().over(near)).filter(F.col("no") <= k + 1)
-    lists = ids.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("no", "vec_id", "score"))).alias("near"))
-    answers = asking.join(points.select("h1", "h2", "point"), ["h1", "h2"]).join(lists, F.col("asked") == F.col("point"))
-    mine = answers.select("query_id", F.posexplode(F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k)).alias("i", "e"))
-    return mine.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
+        key, point, unit = (block.column(c).to_numpy() for c in ("key", "point", "unit"))
+        query = block.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((query, point, key))
+        at, ask = order[~query[order]], np.flatnonzero(query[order])
+        code = np.frombuffer(b"".join(block.column("code").to_pylist()), np.int16).reshape(len(key), d)
+        own, mine, scale = code[at].astype(np.float64), point[at], unit[at]
+        middle = np.cumsum(~query[order])[ask]
+        asked, near = [], []
+        for lo in range(0, len(ask), 64):
+            some, mid = order[ask[lo : lo + 64]], middle[lo : lo + 64]
+            b, e = max(0, mid[0] - window), min(len(at), mid[-1] + window)
+            s = code[some].astype(np.float64) @ own[b:e].T
+            for i, m in enumerate(mid):
+                left, right = max(b, m - window), min(e, m + window)
+                score = s[i, left - b : right - b] * unit[some[i]] * scale[left:right]
+                top = _best(score, mine[left:right], most)
+                asked.append(int(point[some[i]]))
+                near.append((score[top], mine[left:right][top]))
+        return _lists(asked, near, pa.Table)
+
+    placed = points.select("point", F.coalesce("asks", F.lit(False)).alias("asks"), "x").mapInArrow(place, "part long, key long, point long, query boolean, unit double, code binary")
+    return cut(_merged(placed.groupBy("part").applyInArrow(search, _NEAR), most))

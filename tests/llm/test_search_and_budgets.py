@@ -7,7 +7,7 @@ import numpy as np
 
 from spanlake.llm.decontaminate import align, contaminated
 from spanlake.llm.mixing import leaf_budgets, mix
-from spanlake.llm.neighbours import effort, hilbert_keys, nearest
+from spanlake.llm.neighbours import effort, gridded, hilbert_keys, nearest
 
 DOCS = "doc_id long, text string, lang string, source string, epoch string"
 
@@ -219,11 +219,40 @@ def test_recall_through_small_windows(spark):
     assert len(got & want) / len(want) > 0.9
 
 
-def test_effort_grows_with_the_table(spark):
-    assert effort(2_000) == effort(51_282) == (16, 2000) and effort(102_564) == (16, 4000)
-    sizes = [effort(n) for n in (256_410, 512_820, 5_128_200)]
-    assert sizes[0] == (16, 10_000) and all(w == 10_000 for _, w in sizes) and 16 < sizes[1][0] < sizes[2][0]
-    assert effort(10**7, curves=3, window=5) == (3, 5)
+def test_window_is_measured(spark):
+    """Without a given window recall holds, for clusters and without any structure, and scores are exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    for x in (rng.normal(size=(4000, 16)), centres[rng.integers(0, 30, 4000)] + 0.05 * rng.normal(size=(4000, 16))):
+        rows = [(i, e.astype(np.float32).tolist()) for i, e in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = nearest(df, "vec_id % 20 = 0", block=900, sample=2500).collect()
+        y = np.array([r[1] for r in rows])
+        s = y[::20] @ y.T
+        s[np.arange(200), np.arange(200) * 20] = -np.inf
+        want = {(20 * i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:20]}
+        assert len(got) == 4000 and len({(r["query_id"], r["vec_id"]) for r in got} & want) / 4000 > 0.9
+        for r in got[::97]:
+            total = 0.0
+            for a, b in zip(rows[r["query_id"]][1], rows[r["vec_id"]][1], strict=True):
+                total += a * b
+            assert r["score"] == total
+
+
+def test_effort_follows_the_measured_distances():
+    near = np.full((64, 100), 50.0)
+    assert effort(near, 10**6, 50_000, 0.94) == (4, 400)
+    assert effort(np.full((64, 100), 4e5), 10**6, 50_000, 0.94) is None
+    apart = np.where(np.arange(64)[:, None] % 8 == np.arange(100)[None, :] % 8, 10.0, 1e5)
+    assert effort(apart, 10**6, 50_000, 0.94) == (8, 400)
+
+
+def test_exact_search_in_cells(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    points = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "point long, x array<double>")
+    got = {r["asked"]: [-e["back"] for e in r["near"]] for r in gridded(points, points.filter("point % 7 = 0"), 300, 43, 5, 40).collect()}
+    assert got == {i: np.argsort(-(x[i] @ x.T))[:5].tolist() for i in range(0, 300, 7)}
 
 
 def test_few_or_no_vectors(spark):
