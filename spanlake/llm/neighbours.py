@@ -164,8 +164,9 @@ _NEAR = "asked long, near array<struct<score:double,back:long>>"
 
 def _merged(lists: DataFrame, most: int) -> DataFrame:
     """(asked, near): each query's `most` best candidates of all its lists, once each."""
-    every = F.array_distinct(F.flatten(F.collect_list("near")))
-    return lists.groupBy("asked").agg(F.slice(F.sort_array(every, asc=False), 1, most).alias("near"))
+    every = lists.groupBy("asked").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("every"))
+    once = F.filter("every", lambda e, i: (i == 0) | (e["back"] != F.get("every", i - 1)["back"]))
+    return every.select("asked", F.slice(once, 1, most).alias("near"))
 
 
 def scanned(points: DataFrame, ids: np.ndarray, x: np.ndarray, most: int) -> DataFrame:
@@ -206,25 +207,19 @@ def gridded(points: DataFrame, asking: DataFrame, n: int, q: int, most: int, sid
     return _merged(left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, _NEAR), most)
 
 
-def effort(far: np.ndarray, n: int, q: int, recall: float, sorting: float = 20.0, least: int = 400, always: int = 50_000) -> tuple[int, int] | None:
-    """Curves and window that reach a recall at the least cost, or None if an exact search is cheaper.
+def reach(far: np.ndarray, n: int, recall: float, least: int = 200, always: int = 50_000) -> int | None:
+    """The window that reaches a recall, or None if an exact search is cheaper.
 
     `far` has, for each curve, how many points lie between some queries and each of their true
-    neighbours. The first c curves need the window that `recall` of the smallest of these fit into, and
-    `least` at least. They cost sorting * n + 2 * window * q each. A query may be compared `always`
-    times; beyond that, not as often as there are points.
+    neighbours; `recall` of the smallest of these have to fit into the window, which is `least` at
+    least. A query may be compared `always` times; beyond that, not as often as there are points.
     """
-    best = None
-    for c in range(4, len(far) + 1, 4):
-        window = max(least, math.ceil(np.quantile(far[:c].min(axis=0), recall, method="higher") * 1.1) + 2)
-        if window <= WIDEST and 2 * window * c < max(n, always):
-            cost = c * (sorting * n + 2 * window * q)
-            best = min(best or (cost, c, window), (cost, c, window))
-    return best and best[1:]
+    window = max(least, math.ceil(np.quantile(far.min(axis=0), recall, method="higher") * 1.1) + 2)
+    return window if window <= WIDEST and 2 * window * len(far) < max(n, always) else None
 
 
 def nearest(
-    vectors: DataFrame, queries: str | Column, k: int = 20, curves: int = 64, window: int | None = None, recall: float = 0.94,
+    vectors: DataFrame, queries: str | Column, k: int = 20, curves: int = 48, window: int | None = None, recall: float = 0.94,
     dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 20_000, probes: int = 256, spare: int = 10, seed: int = 11,
 ) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) where the condition `queries` holds: its k nearest
@@ -241,9 +236,8 @@ def nearest(
     reach that far over their cuts. A curve carries 16-bit codes; the k + 1 + `spare` best of all
     curves are ranked anew by the inner product of the original vectors, summed in order.
 
-    The window and the number of curves (`curves` at most) are measured, not assumed: for `probes`
-    queries, which are scanned against all points, `effort` sees where their true neighbours lie on
-    the curves and takes what `recall` of them need. Where that would cost more than all inner
+    The window is measured, not assumed: for `probes` queries, which are scanned against all points,
+    `reach` sees where their true neighbours lie on the curves and takes what `recall` of them need. Where that would cost more than all inner
     products, the queries are searched exactly, in blocks. Boxes, cuts and measured distances
     come from about `sample` points; every point is indexed. A given `window` skips the measurement.
     """
@@ -313,11 +307,10 @@ def _candidates(points, n, q, d, longest, most, k, curves, window, recall, dims,
 
     got = sorted(points.sparkSession.range(0, curves, 1, curves).mapInArrow(order, "c long, keys binary, far binary").collect())
     if window is None:
-        chosen = effort(np.array([np.frombuffer(r["far"]) for r in got]), n, q, recall)
-        if chosen is None:
+        window = reach(np.array([np.frombuffer(r["far"]) for r in got]), n, recall)
+        if window is None:
             return gridded(points, asking, n, q, most)
-        curves, window = chosen
-    keys = [np.frombuffer(r["keys"], np.int64) for r in got[:curves]]
+    keys = [np.frombuffer(r["keys"], np.int64) for r in got]
     blocks = Blocks(keys, n, window, block)
 
     def place(batches):
