@@ -26,9 +26,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder. Only a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="spanlake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -46,27 +48,59 @@ def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return df.coalesce(df.count() // rows + 1)
 
 
-def _write(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table written into the shared folder, read again, and its path."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/spanlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a larger table once into the shared folder and go on from the files."""
-    return _write(df)[0]
+    return written(df)[0]
 
 
 @contextmanager
 def scratch(df: DataFrame) -> Iterator[DataFrame]:
     """Like `stored`, but the files go at the end; what is needed of them has to be computed by then."""
-    out, path = _write(df)
+    out, path = written(df)
     try:
         yield out
     finally:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        deleted(df.sparkSession, path)
+
+
+def _parted(rows: DataFrame, key: str, ids: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that hit none of the ids' bits, and the others. The bits go to every task."""
+    n = ids.count()
+    size = min(max(16, (64 * n).bit_length()), most_bits)
+    slot, bit = F.expr(f"pmod(xxhash64({key}), {1 << size})"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {1 << size}) % 64 as int))")
+    words = ids.select(F.floor(slot / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    tested = rows.withColumn("__word", F.floor(slot / 64)).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return tested.filter(~hit).drop("__word", "__bits"), tested.filter(hit).drop("__word", "__bits")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 26) -> DataFrame:
+    """The rows whose `key` isn't among the distinct, non-null `ids` (a column of the same name); null keys stay.
+
+    A bit for each hashed id goes to every task (2**most_bits bits at most, 64 for an id before that):
+    rows that hit none are kept where they are, and only the others move to meet the ids.
+    """
+    ids = cut(ids.select(key))
+    clear, others = _parted(rows, key, ids, most_bits)
+    return clear.unionByName(others.join(ids, key, "left_anti"))
+
+
+def within(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 26) -> DataFrame:
+    """The rows whose `key` is among the distinct `ids`; those that hit none of their bits don't move, see `without`."""
+    ids = cut(ids.select(key))
+    return _parted(rows, key, ids, most_bits)[1].join(ids, key, "left_semi")
 
 
 def hot_keys(many: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, cut, encoded, scratch, spread_join, stored
+from spanlake.llm.common import Words, chunks, cut, encoded, scratch, spread_join
 
 #: log2 of the bits of the gram filter that every task holds: 2 MB, with many grams up to 32 MB.
 FILTER_BITS, MOST_FILTER_BITS = 24, 28
@@ -148,8 +148,12 @@ def _contaminated(docs: DataFrame, items: DataFrame, item_grams, seed_words: int
                 )
 
     own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(own.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>"))
+    with scratch(own.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>")) as found:
+        return _aligned(found, seeds, items, least_seeds, score_at)
 
+
+def _aligned(found: DataFrame, seeds: DataFrame, items: DataFrame, least_seeds: int, score_at: float) -> DataFrame:
+    """The passages' candidate items, aligned; the best row for each document and item."""
     # a shape is the seeds of a passage and their distances; its zones count from its first seed
     found = found.withColumns({"lead": F.col("at")[0], "shape": F.struct(*(F.xxhash64(F.lit(k), F.transform("at", lambda a: a - F.col("at")[0]), "grams").alias(f"s{k}") for k in (1, 2)))})
     found = found.withColumn("copy", F.struct(*(F.xxhash64(F.lit(k), "passage").alias(f"p{k}") for k in (1, 2))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, combined, cut, encoded, hot_keys, mixed, packed, scratch, spread_join, stored
+from spanlake.llm.common import Words, chunks, combined, cut, encoded, hot_keys, mixed, packed, scratch, spread_join, within
 from spanlake.llm.components import connected_components
 
 #: Coordinates of a signature; the lowest bit of each makes the sketch. At least bands * rows.
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     pairs = packed(cut(pairs))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, "id", "left_semi").mapInArrow(sets, "id long, f1 long, f2 long, set array<long>")
+    texts = within(texts, "id", ids).mapInArrow(sets, "id long, f1 long, f2 long, set array<long>")
     own = texts.join(reps.withColumnRenamed("doc_id", "id"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
     with scratch(own.select("id", "set")) as own:
         both = pairs.join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -178,15 +178,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     sketch of 2,048 bits first, which turns down most pairs under 0.68 before anything is emitted.
     """
     with scratch(signatures(docs, words, percent, bands, rows, seed)) as sig:
-        members = stored(sig.filter("own").select("doc_id", "n_shingles", "f1", "f2"))
+        members = sig.filter("own").select("doc_id", "n_shingles", "f1", "f2")
         chosen = members.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("doc_id", "f.f1", "f.f2")
         nodes = chosen.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
         reps = cut(nodes.select(F.col("rep").alias("doc_id"), "f1", "f2"))
         groups = _groups(docs, sig, reps, words, percent)
-    by_set = reps.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
-    placed = chosen.join(by_set, ["f1", "f2"]).select("doc_id", "component")
-    out = members.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        by_set = reps.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
+        placed = chosen.join(by_set, ["f1", "f2"]).select("doc_id", "component")
+        out = members.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return cut(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
 
 def _groups(docs: DataFrame, sig: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:

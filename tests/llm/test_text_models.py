@@ -1,11 +1,15 @@
 """Toxicity and language ID."""
 
+import math
 import random
+import re
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spanlake.llm.langid import language_id, profiles
-from spanlake.llm.toxicity import score, toxicity, train
+from spanlake.llm.langid import identify, language_id, profiles
+from spanlake.llm.toxicity import SLOTS, features, score, toxicity, train
 
 DOCS = "doc_id long, text string, lang string, held_out string"
 
@@ -97,3 +101,66 @@ def test_nothing_learnt(spark):
     docs = spark.createDataFrame([(1, "abc", None, "")], DOCS)
     assert [(r["lang_pred"], r["score"]) for r in language_id(docs).collect()] == [("und", 0.0)]
     assert language_id(docs.limit(0)).count() == 0
+
+
+def test_training_equals_plain_ftrl(spark):
+    """z, n and weights of the published update, one coordinate at a time."""
+    docs, labels = toxic_tables(spark)
+    alpha, beta, l1, l2, epochs = 2.0, 1.0, 3.0, 0.01, 2
+    got = {r["slot"]: r["weight"] for r in train(docs, labels, epochs=epochs, l1=l1).collect()}
+    known: dict = {}
+    for r in labels.collect():
+        if r["toxic"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            known[r["doc_id"]] = max(r["toxic"], known.get(r["doc_id"], 0))
+    rows = [(r["doc_id"], features([(r["text"] or "").encode()])[0].tolist()) for r in docs.collect() if r["doc_id"] in known]
+    rows.sort(key=lambda r: (r[0], len(r[1])))
+    z, n = {}, {}
+
+    def weight(i):
+        bar = 0.0 if i == 1 << SLOTS else l1
+        if abs(z.get(i, 0.0)) <= bar:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * bar - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for e in range(epochs):
+        for k in np.random.default_rng(e).permutation(len(rows)):
+            slots = [*rows[k][1], 1 << SLOTS]
+            w = [weight(i) for i in slots]
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w))))) - known[rows[k][0]]
+            for i, x in zip(slots, w, strict=True):
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * x
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
+
+
+def test_languages_by_plain_out_of_place_distance(spark):
+    docs = language_docs(spark)
+    size = 30
+    learned = profiles(docs, size)
+    ranks: dict = {}
+    for r in learned.collect():
+        ranks.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    for r in identify(docs.filter("doc_id < 60 or doc_id > 900"), learned, size).collect():
+        counts: dict = {}
+        for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()):
+            p = f"\0{w}\0"
+            for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+                k = 0
+                for c in g:
+                    k = k << 21 | ord(c)
+                k -= (1 << 63) * (len(g) == 2)
+                counts[k] = counts.get(k, 0) + 1
+        top = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+        if not top:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(own[g] - i) if g in own else size for i, g in enumerate(top)) for lang, own in ranks.items()}
+        lang = min(far, key=lambda x: (far[x], x))
+        assert (r["lang_pred"], r["score"]) == (lang, 1 - far[lang] / (size * len(top)))
+
+
+def test_own_columns_are_replaced(spark):
+    docs = language_docs(spark).withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit(7))
+    got = identify(docs, profiles(docs))
+    assert got.columns == ["doc_id", "text", "lang", "held_out", "lang_pred", "score"] and got.filter("lang_pred = 'mine'").count() == 0
