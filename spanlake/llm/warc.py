@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import spread_join, stored
+
 #: Headers that a 304 may renew on the stored response (RFC 9111 3.2 leaves the others alone).
 RENEWABLE = ("cache-control", "date", "etag", "expires", "last-modified", "vary")
 
@@ -12,7 +14,7 @@ RENEWABLE = ("cache-control", "date", "etag", "expires", "last-modified", "vary"
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no fragment, no default port, no tracking query, no trailing slash.
 
-    Null stays null; text without `://` is only trimmed.
+    Null stays null; text without `://` has no host, the rest holds for it as well.
     """
     u = F.regexp_replace(F.trim(url), "#(?s:.*)$", "")
     head = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
@@ -37,7 +39,7 @@ def resolve_revisits(records: DataFrame, slice_width: int = 10_000, renewable: t
 
     A URL's records are split by time into slices of `slice_width`; each slice starts from the last
     response that a running maximum over slice summaries carries in, so a URL with a third of all
-    records is spread over its slices. Bodies don't move: take them by response_id.
+    records is spread over its slices; so are the revisits of one response, and those without any. Bodies don't move: take them by response_id.
     """
     base = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "headers")
     base = base.withColumn("slice", F.floor(F.col("ts") / slice_width))
@@ -54,10 +56,10 @@ def resolve_revisits(records: DataFrame, slice_width: int = 10_000, renewable: t
     found = seen.select(F.col("record_id").alias("id"), F.coalesce("own", "carried")["record_id"].alias("response_id"))
 
     tag = lambda c: F.regexp_replace(F.trim(c), "^W/", "")
-    revisits = base.filter("kind = 'revisit'").join(found.dropDuplicates(["id"]), F.col("record_id") == F.col("id"), "left").drop("id")
+    revisits = stored(base.filter("kind = 'revisit'").join(found.dropDuplicates(["id"]), F.col("record_id") == F.col("id"), "left").drop("id"))
     full_rows = base.filter("kind = 'response'").dropDuplicates(["record_id"])
     full_rows = full_rows.select(F.col("record_id").alias("response_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"))
-    both = revisits.join(full_rows, "response_id", "left")
+    both = spread_join(revisits, full_rows, ["response_id"], "left")
     outcome = (
         F.when(F.col("response_id").isNull(), "no_response")
         .when(F.col("etag").isNotNull() & F.col("r_etag").isNotNull(), F.when(tag("etag") == tag("r_etag"), "resolved").otherwise("stale"))
