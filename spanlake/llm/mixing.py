@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import cut
+
 LEVELS = ("domain", "lang", "source")
 #: level -> {value: weight}; a value that isn't listed has weight 1.
 WEIGHTS = {"domain": {"long": 3, "short": 2}, "lang": {"en": 4, "fr": 2, "de": 2, "es": 2}, "source": {"src0": 2}}
@@ -38,7 +40,8 @@ def _filled(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
 
     Water-filling: in order of capacity / weight, a node is full if the level that the remaining
     budget and weight give at it would exceed its capacity; the others split what the full ones
-    leave, by weight. Shares are rounded down.
+    leave, by weight. Shares are rounded down; the tokens so left over go one each to the heaviest of
+    these nodes, ties by name.
     """
     order = Window.partitionBy(*parent).orderBy(F.col("capacity") / F.col("weight"), *LEVELS)
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parent)
@@ -50,7 +53,11 @@ def _filled(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
     nodes = nodes.withColumns({"held": held, "heavy": heavy})
     share = F.floor((F.col(budget) - F.col("held")) * F.col("weight") / (F.col("all") - F.col("heavy")))
     nodes = nodes.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.greatest(F.least(share, F.col("capacity")), zero)).cast("long"))
-    return nodes.drop("used", "gone", "all", "full", "held", "heavy")
+    room = ~F.col("full") & (F.col("budget") < F.col("capacity"))
+    turn = F.row_number().over(Window.partitionBy(*parent).orderBy(room.desc(), F.desc("weight"), *LEVELS))
+    nodes = nodes.withColumns({"left": F.col(budget) - F.sum("budget").over(whole), "turn": turn})
+    nodes = nodes.withColumn("budget", F.col("budget") + F.when(room & (F.col("turn") <= F.col("left")), 1).otherwise(0))
+    return nodes.drop("used", "gone", "all", "full", "held", "heavy", "left", "turn")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict, total_tokens: int | None, share: float, max_epochs: int) -> DataFrame:
@@ -81,8 +88,10 @@ def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None =
     The budget is `total_tokens`, or `share` of all tokens. A leaf's budget takes whole epochs of
     its documents first, then a prefix of the next epoch, whose order is the md5 of seed, epoch and
     doc_id (ties by doc_id); the document at the border gives its first `taken` tokens. Rows are
-    (document, epoch). with_text adds the text, cut after the word `taken`. Null lang is `und`, null source `unknown`; texts without words are never
-    taken. Repeated rows are separate documents that follow each other.
+    (document, epoch). with_text adds the text, cut after the word `taken`. Null lang is `und`, null
+    source `unknown`; texts without words are never taken. Repeated rows are separate documents that
+    follow each other; rows with a null id hash alike and come first among equals. Other columns are
+    ignored; an empty table gives no rows.
 
     The running sums are by hash bucket first, so no task orders a whole leaf.
     """
@@ -90,6 +99,7 @@ def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None =
     d = docs.select("doc_id", domain(F.col("text")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("tokens"), *(["text"] if with_text else []))
     text = ["text"] if with_text else []
     d = d.filter("tokens > 0")
+    d = d if with_text else cut(d)
     leaves = d.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, total_tokens, share, max_epochs)
     plan = budgets.select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")).filter("whole > 0 or rest > 0")

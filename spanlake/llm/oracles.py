@@ -126,7 +126,11 @@ q{i} AS (
   FROM o{i} WINDOW a AS ({part} ORDER BY capacity / weight, {mine} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r{i} AS (SELECT *, (given - used) * weight >= capacity * (every - gone) AS is_full FROM q{i}),
 s{i} AS (SELECT *, sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part}) AS held, sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER ({part}) AS heavy FROM r{i}),
-b{i + 1} AS (SELECT {mine}, CASE WHEN is_full THEN capacity ELSE greatest(least(floor((given - held) * weight / (every - heavy)), capacity), 0) END::BIGINT AS given FROM s{i})"""
+v{i} AS (SELECT *, CASE WHEN is_full THEN capacity ELSE greatest(least(floor((given - held) * weight / (every - heavy)), capacity), 0) END::BIGINT AS share FROM s{i}),
+z{i} AS (
+  SELECT *, NOT is_full AND share < capacity AS room, given - sum(share) OVER ({part}) AS over,
+    row_number() OVER ({part} ORDER BY NOT (NOT is_full AND share < capacity), weight DESC, {mine}) AS turn FROM v{i}),
+b{i + 1} AS (SELECT {mine}, (share + CASE WHEN room AND turn <= over THEN 1 ELSE 0 END)::BIGINT AS given FROM z{i})"""
 
 
 MIXING = (
