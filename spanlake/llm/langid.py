@@ -48,8 +48,9 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
     """(lang, gram, rank): each non-null language's `size` most frequent grams, ties to the smaller gram.
 
-    Counts all text of the rows that aren't held out. Each task sums per language before the
-    shuffle, so what moves grows with the distinct grams, not with the text.
+    Counts all text of the rows that aren't held out; repeated rows count again, null texts not at all.
+    Each task sums per language before the shuffle, so what moves grows with the distinct grams, not
+    with the text. Each task also keeps just its own `size` first grams before a language's grams meet.
     """
 
     def count(batches):
@@ -76,7 +77,8 @@ def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
     rows = docs.filter(~held_out()).filter("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return sums.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    top = sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    return top.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def _slices(texts: list[str], most: int = 1 << 19):
@@ -96,7 +98,8 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = 400, max_languages
     gram's distance is how far its rank is out of place, `size` where the profile lacks it. The
     nearest language wins, ties to the first by name; score is 1 - distance / largest distance. Null
     texts, texts without a letter, and all texts where nothing was learnt: `und`, score 0.
-    Profiles hold at most size * max_languages rows, which is checked, and go to every task.
+    Profiles hold at most size * max_languages rows, which is checked, and go to every task. Columns of
+    `docs` that are called lang_pred or score are replaced; ids and repeated rows don't matter.
     """
     found = learned.limit(size * max_languages + 1).toPandas()
     if len(found) > size * max_languages:
