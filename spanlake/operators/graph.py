@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both write: below spark.checkpoint.dir where that is set."""
+    """A new folder where driver and executors both write: below spark.checkpoint.dir; only a local session needs none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spanlake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -87,31 +89,21 @@ def find_errors(nodes: DataFrame) -> DataFrame:
 def ancestor_closure(nodes: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 30) -> DataFrame:
     """span_id, ancestor_id, distance; every node is its own ancestor at 0.
 
-    Without seeds by pointer doubling: each round joins the known paths with the jumps of length 2^k
-    and doubles the jumps, so the rounds are log2 of the depth. With `seeds` (span_id) one step up
-    for each round, over the seeds' paths only. A path ends where it would reach its own start again.
+    By pointer doubling: each round joins the known paths with the jumps of length 2^k and doubles the
+    jumps, so the rounds are log2 of the depth. With `seeds` (span_id) only the seeds' paths are made.
+    A path ends where it would reach its own start again.
     """
     up = nodes.filter("parent_span_id is not null").select("span_id", F.col("parent_span_id").alias("ancestor_id"))
     up = up.join(nodes.select(F.col("span_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").filter("span_id <> ancestor_id").select("span_id", "ancestor_id")
-    self_ = lambda d: d.select("span_id", F.col("span_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance"))
-    if seeds is not None:
-        up = cut(up)
-        front = cut(self_(seeds.select("span_id").distinct().join(nodes, "span_id", "left_semi")))
-        out = front
-        for step in range(1, 1 << 12):
-            ahead = front.select("span_id", F.col("ancestor_id").alias("at")).join(up.select(F.col("span_id").alias("at"), F.col("ancestor_id")), "at")
-            front = cut(ahead.filter("span_id <> ancestor_id").select("span_id", "ancestor_id", F.lit(step).cast("long").alias("distance")))
-            if front.isEmpty():
-                return out
-            out = out.union(front)
-        raise RuntimeError("a cycle above the seeds")
-    out = cut(self_(nodes.select("span_id").distinct()))
+    start = nodes.select("span_id").distinct()
+    start = start if seeds is None else start.join(seeds.select("span_id"), "span_id", "left_semi")
+    out = cut(start.select("span_id", F.col("span_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance")))
     jumps = cut(up)
     for k in range(max_rounds):
         if jumps.isEmpty():
             return out
         far = out.toDF("span_id", "at", "d").join(jumps.toDF("at", "ancestor_id"), "at").filter("span_id <> ancestor_id")
-        out = cut(out.union(far.select("span_id", "ancestor_id", (F.col("d") + (1 << k)).alias("distance"))))
+        out = out.union(cut(far.select("span_id", "ancestor_id", (F.col("d") + (1 << k)).alias("distance"))))
         jumps = cut(jumps.toDF("span_id", "at").join(jumps.toDF("at", "ancestor_id"), "at").filter("span_id <> ancestor_id").select("span_id", "ancestor_id"))
         if k > 12 and out.groupBy("span_id", "ancestor_id").count().filter("count > 1").limit(1).count():
             break  # only a cycle reaches an ancestor twice
@@ -143,19 +135,27 @@ def convergence_points(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("child_id").alias("span_id")).agg(F.count("*").alias("degree")).filter("degree > 1")
 
 
-def critical_path(nodes: DataFrame, closure: DataFrame) -> DataFrame:
+def critical_path(nodes: DataFrame, closure: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
     """For each root the root-to-leaf path of the largest summed duration (null counts 0).
 
-    root_id, leaf_id, total, path (function names), path_ids; ties go to the smaller leaf id.
+    root_id, leaf_id, total, path (function names), path_ids; ties go to the smaller leaf id. Sums are
+    made by pointer doubling, one row for each node; only the best leaves' paths are spelled out, from
+    `closure` where it is at hand. Nodes below a cycle have no root and no path.
     """
-    spent = nodes.select(F.col("span_id").alias("ancestor_id"), F.coalesce("duration", F.lit(0.0)).alias("d"))
-    sums = closure.join(spent, "ancestor_id").groupBy("span_id").agg(F.round(F.sum("d"), 6).alias("total"), F.max_by("ancestor_id", "distance").alias("root_id"))
+    known = nodes.select(F.col("span_id").alias("at")).distinct().withColumn("there", F.lit(True))
+    own = nodes.select("span_id", F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id")).alias("at"), F.coalesce("duration", F.lit(0.0)).alias("total")).join(known, "at", "left")
+    sums = cut(own.select("span_id", F.when(F.col("there"), F.col("at")).alias("at"), "total", F.when(F.col("there").isNull(), F.col("span_id")).alias("root_id")))
+    for _ in range(max_rounds):
+        if sums.filter("at is not null").isEmpty():
+            break
+        above = sums.select(F.col("span_id").alias("at"), F.col("at").alias("next"), F.col("total").alias("more"), F.col("root_id").alias("top"))
+        sums = cut(sums.join(above, "at", "left").select("span_id", F.col("next").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.coalesce("root_id", "top").alias("root_id")))
     parents = nodes.filter("parent_span_id is not null").select(F.col("parent_span_id").alias("span_id")).distinct()
-    leaves = sums.join(parents, "span_id", "left_anti")
+    leaves = sums.filter("at is null").select("span_id", F.round("total", 6).alias("total"), "root_id").join(parents, "span_id", "left_anti")
     first = Window.partitionBy("root_id").orderBy(F.desc("total"), "span_id")
-    best = leaves.withColumn("no", F.row_number().over(first)).filter("no = 1").drop("no")
-    chains = causal_chain(nodes, closure.join(best.select("span_id"), "span_id", "left_semi"))
-    return best.join(chains, "span_id").select("root_id", F.col("span_id").alias("leaf_id"), "total", F.col("chain").alias("path"), F.col("chain_ids").alias("path_ids"))
+    best = cut(leaves.withColumn("no", F.row_number().over(first)).filter("no = 1").drop("no"))
+    closure = ancestor_closure(nodes, best.select("span_id")) if closure is None else closure.join(best.select("span_id"), "span_id", "left_semi")
+    return best.join(causal_chain(nodes, closure), "span_id").select("root_id", F.col("span_id").alias("leaf_id"), "total", F.col("chain").alias("path"), F.col("chain_ids").alias("path_ids"))
 
 
 def render_depth(nodes: DataFrame, closure: DataFrame) -> DataFrame:

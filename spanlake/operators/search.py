@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +13,26 @@ from spanlake.functions.text import normalize_hex_route, normalize_route, route_
 from spanlake.operators.graph import cut
 
 
-def build_tfidf(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings(unit_id, token, tf) with tf = count / largest count of the unit, token_df(token, df)."""
-    counts = units.select("unit_id", F.explode("tokens").alias("token")).groupBy("unit_id", "token").agg(F.count("*").alias("c"))
-    most = counts.groupBy("unit_id").agg(F.max("c").alias("m"))
-    postings = counts.join(most, "unit_id").select("unit_id", "token", (F.col("c") / F.col("m")).alias("tf"))
-    return postings, counts.groupBy("token").agg(F.count("*").alias("df"))
+def build_tfidf(units: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """postings(unit_id, token, tf) with tf = count / largest count of the unit, token_df(token, df).
+
+    With `queries` (text) only their tokens' postings are made: a unit's largest count comes from its
+    sorted tokens in place, and other tokens are dropped before anything is shuffled.
+    """
+    if queries is None:
+        counts = units.select("unit_id", F.explode("tokens").alias("token")).groupBy("unit_id", "token").agg(F.count("*").alias("c"))
+        most = counts.groupBy("unit_id").agg(F.max("c").alias("m"))
+        postings = counts.join(most, "unit_id").select("unit_id", "token", (F.col("c") / F.col("m")).alias("tf"))
+        return postings, counts.groupBy("token").agg(F.count("*").alias("df"))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    step = lambda a, t: F.struct(t.alias("last"), F.when(t == a["last"], a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["most"], F.when(t == a["last"], a["run"] + 1).otherwise(1)).alias("most"))
+    most = F.aggregate(F.sort_array("tokens"), start, step, lambda a: a["most"])
+    wanted = queries.select(F.explode(tokenize(F.col("text"))).alias("token")).distinct()
+    # inside the generator, so that a unit's largest count is made once and not for each token
+    pairs = F.arrays_zip(F.col("tokens").alias("token"), F.array_repeat(most, F.size("tokens")).alias("m"))
+    rows = units.filter(F.size("tokens") > 0).select("unit_id", F.explode(pairs).alias("e")).select("unit_id", "e.token", "e.m").join(wanted, "token", "left_semi")
+    counts = rows.groupBy("unit_id", "token", "m").agg(F.count("*").alias("c"))
+    return counts.select("unit_id", "token", (F.col("c") / F.col("m")).alias("tf")), counts.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def search_tfidf(queries: DataFrame, postings: DataFrame, token_df: DataFrame, n_units: int | Column, k: int = 10) -> DataFrame:
@@ -36,37 +52,38 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, max_queries: int = 10_000) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, side: int = 20_000) -> DataFrame:
     """query_id, unit_id, score, rank: the k largest inner products of each (query_id, vector) with
-    (unit_id, vector), positive ones only.
+    (unit_id, vector), positive ones only. Null vectors, and those of another length than a query's, don't count.
 
-    The stated query set, at most max_queries rows (checked), goes to every task; each task keeps the
-    k best of its own units before anything is shuffled.
+    Queries and units are dealt to a grid of cells of about `side` of each. A cell keeps the k best of
+    its units for each of its queries; only these are merged.
     """
-    asked = queries.select("query_id", "vector").limit(max_queries + 1).toPandas()
-    if len(asked) > max_queries:
-        raise ValueError("more queries than max_queries")
     schema = "query_id long, unit_id long, score double"
-    if asked.empty:
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    ids, q = asked["query_id"].to_numpy(np.int64), np.vstack(asked["vector"].to_list()).astype(np.float64)
-
-    def best(frames):
-        kept_s = np.full((len(ids), 0), -np.inf)
-        kept_u = np.zeros((len(ids), 0), np.int64)
-        for pdf in frames:
-            pdf = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == q.shape[1])]
-            if pdf.empty:
+    asked, held = queries.select("query_id", "vector").filter("vector is not null"), vectors.select("unit_id", "vector").filter("vector is not null")
+    columns, rows = (-(-df.count() // side) or 1 for df in (asked, held))
+    deal = lambda df, by, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def best(left, right):
+        found = []
+        for d in {len(v) for v in left["vector"]}:
+            q, u = (f[f["vector"].map(len) == d] for f in (left, right))
+            if u.empty:
                 continue
-            s = np.round(q @ np.vstack(pdf["vector"].to_list()).astype(np.float64).T, 6)
-            s = np.concatenate((kept_s, s), axis=1)
-            u = np.concatenate((kept_u, np.broadcast_to(pdf["unit_id"].to_numpy(np.int64), (len(ids), len(pdf)))), axis=1)
-            top = np.lexsort((u, -s), axis=1)[:, :k]
-            kept_s, kept_u = np.take_along_axis(s, top, 1), np.take_along_axis(u, top, 1)
-        out = pd.DataFrame({"query_id": np.repeat(ids, kept_s.shape[1]), "unit_id": kept_u.ravel(), "score": kept_s.ravel()})
-        yield out[out["score"] > 0]
-
-    return _top(vectors.select("unit_id", "vector").mapInPandas(best, schema), k)
+            x, ids = np.vstack(u["vector"].to_list()).astype(np.float64), u["unit_id"].to_numpy(np.int64)
+            for lo in range(0, len(q), 256):
+                some = q.iloc[lo : lo + 256]
+                s = np.round(np.vstack(some["vector"].to_list()).astype(np.float64) @ x.T, 6)
+                bar = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                for i, query in enumerate(some["query_id"]):
+                    at = np.flatnonzero((s[i] >= bar[i]) & (s[i] > 0))
+                    at = at[np.lexsort((ids[at], -s[i][at]))[:k]]
+                    found.append((query, ids[at], s[i][at]))
+        return pd.DataFrame({"query_id": np.repeat([p[0] for p in found], [len(p[1]) for p in found]).astype(np.int64), "unit_id": np.concatenate([p[1] for p in found] or [np.zeros(0, np.int64)]), "score": np.concatenate([p[2] for p in found] or [np.zeros(0)])})
+
+    left = deal(asked, "query_id", "c", columns, "r", rows).groupBy("r", "c")
+    right = deal(held, "unit_id", "r", rows, "c", columns).groupBy("r", "c")
+    return _top(left.cogroup(right).applyInPandas(best, schema), k)
 
 
 def search_log_pattern(queries: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
@@ -101,9 +118,15 @@ def _named(hits: DataFrame, units: DataFrame) -> DataFrame:
     return hits.join(units.select("unit_id", "qualified_name"), "unit_id")
 
 
-def hybrid_search(queries: DataFrame, units: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """TF-IDF and vector hits, 2k of each, fused; TF-IDF alone without vectors."""
-    postings, df = build_tfidf(units)
+def hybrid_search(queries: DataFrame, units: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, embed: Callable[[str], Column] | None = None) -> DataFrame:
+    """TF-IDF and vector hits, 2k of each, fused; TF-IDF alone without vectors.
+
+    U04: `embed` (a pandas UDF from a text column to an array) makes the vectors that aren't given.
+    """
+    if embed is not None:
+        vectors = units.select("unit_id", embed("body_text").alias("vector")) if vectors is None else vectors
+        query_vectors = queries.select("query_id", embed("text").alias("vector")) if query_vectors is None else query_vectors
+    postings, df = build_tfidf(units, queries)
     n = units.count()
     if vectors is None or query_vectors is None:
         return _named(search_tfidf(queries, postings, df, n, k), units).select("query_id", "qualified_name", "score", "rank")
@@ -207,7 +230,8 @@ def svd_embeddings(units: DataFrame, d: int = 64, vocabulary: int = 20_000) -> D
     """unit_id, vector: L2-normalised TF-IDF rows projected on the d first right singular vectors.
 
     Tokens in more than max(0.9 N, 2) units are left out; the `vocabulary` most frequent others count,
-    which bounds the Gram matrix that the SVD gathers. Signs are arbitrary.
+    which bounds the Gram matrix that the SVD gathers. Signs are arbitrary. Rows are projected by a join
+    of their terms with the singular vectors (`vocabulary` rows of d numbers).
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
@@ -227,8 +251,10 @@ def svd_embeddings(units: DataFrame, d: int = 64, vocabulary: int = 20_000) -> D
 
     matrix = IndexedRowMatrix(rows.rdd.map(unit), numCols=width)
     v = matrix.computeSVD(min(d, width, n), computeU=False).V
-    projected = matrix.multiply(v).rows.map(lambda r: (r.index, [float(x) for x in r.vector.toArray()]))
-    out = units.sparkSession.createDataFrame(projected, "unit_id long, raw array<double>")
+    axes = units.sparkSession.createDataFrame(pd.DataFrame({"i": range(width), "v": v.toArray().tolist()}), "i int, v array<double>")
+    entries = rows.select("unit_id", F.explode("r").alias("e")).select("unit_id", F.col("e.i").alias("i"), F.col("e.w").alias("w")).join(axes, "i")
+    raw = entries.groupBy("unit_id").agg(*(F.sum(F.col("w") * F.col("v")[j]).alias(f"c{j}") for j in range(v.numCols)))
+    out = raw.select("unit_id", F.array(*(f"c{j}" for j in range(v.numCols))).alias("raw"))
     size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
     return out.select("unit_id", F.transform("raw", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("vector"))
 

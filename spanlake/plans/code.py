@@ -63,13 +63,13 @@ def f08_sql_table(spark, d):
 
 
 def _source(language: str = "python"):
-    """A small body for each document, made of its own words."""
+    """Lines of code made of each document's words, and its whole text behind them."""
     w = F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " ")
     word = lambda i: F.coalesce(F.nullif(F.get(w, F.lit(i)), F.lit("")), F.lit("x"))
     i = F.col("doc_id").cast("string")
     if language == "python":
-        return F.concat(F.lit("def f"), i, F.lit("(a):\n  # TODO look at "), word(0), F.lit("\n  log.info('"), word(1), F.lit("')\n  return g"), i, F.lit("(len(a))\n"))
-    return F.concat(F.lit("import a from 'm"), i, F.lit("'\nconst b = require('"), word(0), F.lit("')\napp.get('/p"), i, F.lit("', h"), i, F.lit(")\n"))
+        return F.concat(F.lit("def f"), i, F.lit("(a):\n  # TODO look at "), word(0), F.lit("\n  log.info('"), word(1), F.lit("')\n  return g"), i, F.lit("(len(a))\n"), F.coalesce("text", F.lit("")))
+    return F.concat(F.lit("import a from 'm"), i, F.lit("'\nconst b = require('"), word(0), F.lit("')\napp.get('/p"), i, F.lit("', h"), i, F.lit(")\n"), F.coalesce("text", F.lit("")))
 
 
 @query("SELECT doc_id, coalesce(nullif(w[2], ''), 'x') AS patterns FROM (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM documents) d")
@@ -90,7 +90,7 @@ def f11_imports_routes(spark, d):
     return view(spark, d, "documents").select("doc_id", F.array_join(X.extract_imports(s, "javascript"), ",").alias("imports"), F.concat(r["handler"], F.lit("="), r["route"]).alias("route"))
 
 
-@query("SELECT doc_id, concat('def f', doc_id, '(a):') AS first_line, 4 AS lines FROM documents")
+@query("SELECT doc_id, concat('def f', doc_id, '(a):') AS first_line, (3 + len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^ *(#|//)'))))::INT AS lines FROM documents")
 def f13_strip_comments(spark, d):
     s = F.split(X.strip_comments(_source()), "\n")
     return view(spark, d, "documents").select("doc_id", s[0].alias("first_line"), F.size(s).alias("lines"))
@@ -177,17 +177,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, un
 @query(_TFIDF + " SELECT query_id, unit_id, score, rank::INT AS rank FROM r WHERE rank <= 5")
 def s02_search_tfidf(spark, d):
     u = _units(spark, d)
-    postings, df = S.build_tfidf(u)
+    postings, df = S.build_tfidf(u, _asked(spark, d))
     return S.search_tfidf(_asked(spark, d), postings, df, u.count(), 5).drop("matched_terms")
 
 
 @query("""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS unit_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS unit_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s)
 SELECT query_id, unit_id, score, rank::INT AS rank FROM r WHERE rank <= 10 AND score > 0""")
 def s03_vector_top_k(spark, d):
     e = view(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
-    return S.vector_top_k(e.filter("unit_id % 50 = 0").withColumnRenamed("unit_id", "query_id"), e, 10)
+    return S.vector_top_k(e.filter("unit_id % 20 = 0").withColumnRenamed("unit_id", "query_id"), e, 10)
 
 
 @query("""
@@ -208,15 +208,15 @@ SELECT query_id, qualified_name, score, rank::INT AS rank FROM y WHERE rank <= 5
 )
 def s05_rrf_fuse(spark, d):
     u = _units(spark, d)
-    postings, df = S.build_tfidf(u)
+    postings, df = S.build_tfidf(u, _asked(spark, d))
     hits = S.search_tfidf(_asked(spark, d), postings, df, u.count(), 10).join(u.select("unit_id", "qualified_name"), "unit_id")
     return S.rrf_fuse([hits, hits.withColumn("rank", 11 - F.col("rank"))], top_k=5)
 
 
-@query("SELECT doc_id AS query_id, doc_id AS unit_id FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id AS query_id, doc_id AS unit_id FROM documents WHERE doc_id % 20 = 0")
 def s06_lookup_name(spark, d):
     u = view(spark, d, "units_docs")
-    q = u.filter("unit_id % 2 = 0").select(F.col("unit_id").alias("query_id"), F.when(F.col("unit_id") % 4 == 0, F.col("name")).otherwise(F.col("qualified_name")).alias("text"))
+    q = u.filter("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.when(F.col("unit_id") % 40 == 0, F.col("name")).otherwise(F.col("qualified_name")).alias("text"))
     return S.lookup_name(q, u).select("query_id", "unit_id")
 
 
@@ -227,11 +227,11 @@ def s06_lookup_route(spark, d):
     return S.lookup_route(q, u).select("query_id", "unit_id", "score")
 
 
-@query("WITH x AS (SELECT doc_id, doc_id % 5 = 0 AS p FROM documents) SELECT doc_id AS query_id, (SELECT min(doc_id) FROM documents WHERE doc_id % 100 = 0) AS unit_id FROM x WHERE p")
+@query("WITH x AS (SELECT doc_id, doc_id % 20 = 0 AS p FROM documents) SELECT doc_id AS query_id, (SELECT min(doc_id) FROM documents WHERE doc_id % 100 = 0) AS unit_id FROM x WHERE p")
 def s06_lookup_route_fuzzy(spark, d):
     u = view(spark, d, "units_docs").withColumn("route_path", F.when(F.col("unit_id") % 100 == 0, F.lit("GET /api/{id}/items/{id}")))
     i = F.col("unit_id").cast("string")
-    q = view(spark, d, "units_docs").filter("unit_id % 5 = 0").select(F.col("unit_id").alias("query_id"), F.concat(F.lit("/api/"), i, F.lit("/items/7")).alias("text"))
+    q = view(spark, d, "units_docs").filter("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.concat(F.lit("/api/"), i, F.lit("/items/7")).alias("text"))
     return S.lookup_route_fuzzy(q, u).select("query_id", "unit_id")
 
 
@@ -250,10 +250,10 @@ def s06_lookup_path(spark, d):
     return S.lookup_path(q, view(spark, d, "units_docs"), 1 << 30).groupBy("query_id").agg(F.count("*").alias("units"))
 
 
-@query("SELECT u.unit_id AS query_id, count(*) AS units FROM units_docs u JOIN units_docs v USING (source_file) WHERE u.unit_id % 100 = 0 GROUP BY 1")
+@query("SELECT u.unit_id AS query_id, count(*) AS units FROM units_docs u JOIN units_docs v USING (source_file) WHERE u.unit_id % 20 = 0 GROUP BY 1")
 def s06_lookup_file(spark, d):
     u = view(spark, d, "units_docs")
-    q = u.filter("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), F.col("source_file").alias("text"))
+    q = u.filter("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.col("source_file").alias("text"))
     return S.lookup_file(q, u, 1 << 30).groupBy("query_id").agg(F.count("*").alias("units"))
 
 
@@ -323,8 +323,7 @@ UNION ALL SELECT concat('db op ', regexp_replace(CAST(page_id AS VARCHAR), '([0-
 UNION ALL SELECT concat('code', page_id), 3, 'code_attr' FROM pages WHERE page_id % 5 = 3""")
 def j06_correlate_spans(spark, d):
     u = _units(spark, d).withColumn("route_path", F.when(F.col("unit_id") % 100 == 50, F.lit("GET /api/{id}/items/{id}")))
-    found = K.correlate_spans(_named_spans(spark, d), u)
-    return found.filter(F.col("match_type").isin("exact", "route_fuzzy", "db_pattern", "code_attr"))
+    return K.correlate_spans(_named_spans(spark, d), u)
 
 
 @query("SELECT count(*) AS total, count(CASE WHEN page_id IN (SELECT doc_id FROM documents) THEN 1 END) AS hits, round(count(CASE WHEN page_id IN (SELECT doc_id FROM documents) THEN 1 END) / count(*), 4) AS accuracy FROM pages WHERE page_id % 5 = 0")
@@ -353,9 +352,15 @@ def c06_high_fanout(spark, d):
     return C.high_fanout(view(spark, d, "edges_docs").select(F.col("b").alias("a"), F.col("a").alias("b")), 3)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT DISTINCT concat('f', unit_id) AS a, c AS b FROM (SELECT unit_id, unnest([concat('f', unit_id // 2), concat('f', unit_id // 3)]) AS c FROM units_docs) x WHERE c <> concat('f', unit_id) AND c IN (SELECT name FROM units_docs)),
+g AS (SELECT a, b FROM d UNION SELECT b, a FROM d WHERE CAST(substr(a, 2) AS BIGINT) % 7 = 0),
+p AS (SELECT a AS s, b AS e, [a, b] AS path FROM g WHERE a < b
+  UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN g ON a = e WHERE b >= s AND e <> s AND NOT list_contains(path[2:], b) AND len(path) <= 6)
+SELECT DISTINCT array_to_string(list_sort(list_distinct(path)), ',') AS members FROM p WHERE e = s""")
 def c07_circular_dependencies(spark, d):
-    c = G.find_cycles(C.call_edges_by_name(_units(spark, d)).union(C.call_edges_by_name(_units(spark, d)).filter("crc32(a) % 7 = 0").select("b", "a")), 3)
+    calls = C.call_edges_by_name(_units(spark, d))
+    c = G.find_cycles(calls.union(calls.filter("cast(substr(a, 2) AS bigint) % 7 = 0").select("b", "a")))
     return c.select(F.array_join("members", ",").alias("members"))
 
 
@@ -390,17 +395,16 @@ def w07_entry_points(spark, d):
 
 @query()
 def c12_static_trace(spark, d):
-    t = C.static_trace(_units(spark, d), view(spark, d, "edges_docs").toDF("caller", "callee"), 6)
+    t = C.static_trace(_units(spark, d), view(spark, d, "edges_docs").toDF("caller", "callee"))
     return t.select("event_type", "span_id", "parent_span_id", "depth", F.round("timestamp", 4).alias("timestamp"))
 
 
 
-
 @query(r"""
 SELECT unit_id, 'hardcoded_secret' AS family, 0.75::DOUBLE AS confidence FROM units_docs WHERE regexp_matches(body_text, '(?i)(?:api_key|apikey|secret|password|token|auth)\s*=\s*["''][A-Za-z0-9_\-]{8,}["'']|(?-i:AWS_SECRET|AWS_ACCESS|OPENAI_API|ANTHROPIC|sk-[a-zA-Z0-9]{20,})')
 UNION ALL SELECT unit_id, 'weak_crypto', 0.8 FROM units_docs WHERE regexp_matches(body_text, '(?i)DES|RC4|Blowfish')""")
 def c13_pattern_findings(spark, d):
-    return C.pattern_findings(view(spark, d, "units_docs")).filter("family in ('hardcoded_secret', 'weak_crypto')").select("unit_id", "family", "confidence")
+    return C.pattern_findings(view(spark, d, "units_docs")).select("unit_id", "family", "confidence")
 
 
 @query("SELECT unit_id, 'data' AS taint FROM units_docs")
@@ -410,14 +414,14 @@ def c14_tainted_params(spark, d):
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS near FROM documents")
 def c15_taint_near_sink(spark, d):
-    body = F.concat(F.when(F.col("doc_id") % 2 == 0, "request").otherwise(""), F.lit(" execute("), F.repeat(F.lit("x"), 300), F.lit("request"))
+    body = F.concat(F.when(F.col("doc_id") % 2 == 0, "request").otherwise(""), F.lit(" execute("), F.repeat(F.lit("x"), 300), F.lit("request "), F.coalesce("text", F.lit("")))
     return view(spark, d, "documents").select("doc_id", C.taint_near_sink(body, F.lit(r"execute\("), F.array(F.lit("request"))).alias("near"))
 
 
 @query("SELECT doc_id * 2 AS caller, doc_id AS callee FROM documents WHERE doc_id % 3 = 0 AND doc_id > 0 AND doc_id * 2 IN (SELECT doc_id FROM documents)")
 def c16_cross_function_taint(spark, d):
     i = F.col("unit_id")
-    body = F.concat(F.when(i % 2 == 0, F.concat(F.lit("g"), (i / 2).cast("bigint").cast("string"))).otherwise(F.lit("none")), F.when(i % 3 == 0, " execute(f'x')").otherwise(""))
+    body = F.concat(F.when(i % 2 == 0, F.concat(F.lit("g"), (i / 2).cast("bigint").cast("string"))).otherwise(F.lit("none")), F.when(i % 3 == 0, " execute(f'x') ").otherwise(" "), F.coalesce("body_text", F.lit("")))
     u = view(spark, d, "units_docs").select("unit_id", F.concat(F.lit("g"), i.cast("string")).alias("name"), "source_file", "signature", body.alias("body_text"))
     return C.cross_function_taint(u).select("caller", "callee")
 
@@ -450,3 +454,48 @@ def a13_issue_counts(spark, d):
 @query()
 def r12_code_findings(spark, d):
     return C.code_findings(_units(spark, d)).groupBy("agent_name", "finding_type", "severity").agg(F.count("*").alias("findings"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _files(spark, d, path: str, content: str, mark: str) -> DataFrame:
+    """A file for each document: `content`, in which {} is the doc_id, and the whole text behind it as comment lines."""
+    i = F.col("doc_id").cast("string")
+    fill = lambda t: F.concat(*(x for k, part in enumerate(t.split("{}")) for x in ([i] if k else []) + [F.lit(part)]))
+    note = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\r", " "), "(?m)^", mark)
+    return view(spark, d, "documents").select("doc_id", fill(path).alias("path"), F.concat(fill(content), note).alias("content"))
+
+
+@query("SELECT concat('d', doc_id, '.py') AS source_file, concat('f', doc_id) AS name, concat('d', doc_id, '.f', doc_id) AS qualified_name, 'function' AS unit_type, 1 AS start_line, 2 AS end_line, concat('g', doc_id, ',len') AS calls FROM documents")
+def c01_code_units(spark, d):
+    u = C.extract_code_units(_files(spark, d, "d{}.py", "def f{}(a):\n    return g{}(len(a))\n\n", "# "))
+    return u.select("source_file", "name", "qualified_name", "unit_type", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
+
+
+@query(r"""
+WITH f AS (SELECT doc_id, concat('SELECT k, SUM(v) AS total FROM t', doc_id, ' JOIN u ON a = b GROUP BY k;', chr(10), regexp_replace(translate(text, chr(13), ' '), '(?m)^', '-- ', 'g')) AS c FROM documents)
+SELECT concat('m', doc_id, '.sql') AS path, array_to_string(list_concat(list_filter(regexp_extract_all(c, '(?i)\bFROM\s+(\w+(?:\.\w+)*)', 1), lambda t: lower(t) NOT IN ('select', 'where', 'set', 'values', 'null')), regexp_extract_all(c, '(?i)\bJOIN\s+(\w+(?:\.\w+)*)', 1)), ',') AS tables, 'SUM' AS aggregates
+FROM f""")
+def c02_sql_facts(spark, d):
+    f = C.sql_model_facts(_files(spark, d, "m{}.sql", "SELECT k, SUM(v) AS total FROM t{} JOIN u ON a = b GROUP BY k;\n", "-- "))
+    return f.select("path", F.array_join("tables", ",").alias("tables"), F.array_join("aggregates", ",").alias("aggregates"))
+
+
+@query("SELECT concat('c', doc_id, '.yml') AS path, concat('s', doc_id) AS name, 'service' AS element_type, concat('img:', doc_id) AS image FROM documents")
+def c03_config_elements(spark, d):
+    e = C.config_elements(_files(spark, d, "c{}.yml", "services:\n  s{}:\n    image: img:{}\n", "# "))
+    return e.select("path", "name", "element_type", e.properties["image"].alias("image"))
+
+
+@query("SELECT doc_id AS unit_id, concat('GET /p', doc_id, '/x') AS route_path FROM documents")
+def j10_router_prefixes(spark, d):
+    edges = C.router_edges(_files(spark, d, "m{}/main.py", "from m{}.api import routes\napp.include_router(routes.router, prefix='/p{}')\n", "# "))
+    units = view(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("/api/routes.py")).alias("source_file"), F.lit("GET /x").alias("route_path"))
+    return C.resolve_router_prefixes(units, edges).select("unit_id", "route_path")
+
+
+@query()
+def s07_svd_embeddings(spark, d):
+    v = S.svd_embeddings(_units(spark, d), 8, 500)
+    return v.select("unit_id", F.size("vector").alias("size"))

@@ -498,7 +498,7 @@ SELECT root_id, l.span_id AS leaf_id, any_value(total) AS total, string_agg(n.fu
 FROM l JOIN cl ON cl.span_id = l.span_id JOIN nodes_heap n ON n.span_id = ancestor_id WHERE no = 1 GROUP BY ALL""")
 def g11_critical_path(spark, d):
     n = _nodes(spark, d)
-    return G.critical_path(n, G.ancestor_closure(n)).select("root_id", "leaf_id", "total", F.array_join("path", " > ").alias("path"))
+    return G.critical_path(n).select("root_id", "leaf_id", "total", F.array_join("path", " > ").alias("path"))
 
 
 @query("""
@@ -540,10 +540,10 @@ def g15_find_cycles(spark, d):
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT a AS s, b AS e, [a, b] AS path FROM edges_docs UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN edges_docs ON a = e WHERE NOT list_contains(path, b) AND len(path) <= 7)
-SELECT DISTINCT s AS start FROM p WHERE len(path) = 8""")
+WITH RECURSIVE p AS (SELECT a AS s, b AS e, [a, b] AS path FROM edges_docs UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN edges_docs ON a = e WHERE NOT list_contains(path, b) AND len(path) <= 11)
+SELECT DISTINCT s AS start FROM p WHERE len(path) = 12""")
 def g16_deep_call_chains(spark, d):
-    return G.deep_call_chains(view(spark, d, "edges_docs"), 6)
+    return G.deep_call_chains(view(spark, d, "edges_docs"))
 
 
 # --- findings ---------------------------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ FROM spans_heap""",
     # one analysis for each event type and day; latencies grow by a tenth each day
     "values_daily": """
 SELECT event_type AS service, day, value * (1 + (day - first_day) / 10.0) AS v, event_type
-FROM (SELECT event_type, value, CAST(floor($ms(ts) / 86400000) AS BIGINT) AS day, MIN(CAST(floor($ms(ts) / 86400000) AS BIGINT)) OVER () AS first_day FROM events) e""",
+FROM (SELECT event_type, value, CAST(floor($ms(ts) / 86400000) AS BIGINT) AS day, first_day FROM events CROSS JOIN (SELECT MIN(CAST(floor($ms(ts) / 86400000) AS BIGINT)) AS first_day FROM events) f) e""",
     "analyses_daily": """
 SELECT concat(service, ':', day) AS id, service, day, COUNT(*) AS total_spans, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS error_count,
   ROUND(AVG(v), 6) AS avg_latency_ms, ROUND(MAX(CASE WHEN rn = least(CAST(floor(n * 95 / 100) AS BIGINT) + 1, n) THEN v END), 6) AS p95_latency_ms, ROUND(MAX(v), 6) AS max_latency_ms

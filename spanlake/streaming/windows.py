@@ -46,14 +46,19 @@ def start_alerts(spans: DataFrame, callback: Callable[[DataFrame, int], None], c
 
 
 def auto_rca(spans: DataFrame, report: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **options):
-    """On each micro-batch with an alerting window, sink(report(the batch's spans in such windows))."""
+    """On each micro-batch with an alerting window, sink(report(the batch's spans in such windows)).
+
+    A batch's times meet the alerting windows by the start of each window that they lie in.
+    """
     window = {k: options.pop(k) for k in ("time_col", "window", "slide", "approximate") if k in options}
-    time_col, size = window.get("time_col", "start_ts"), window.get("window", "60 seconds")
+    time_col, size, slide = window.get("time_col", "start_ts"), window.get("window", "60 seconds"), window.get("slide", "5 seconds")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         alerts = anomaly_alerts(batch, **options, **window).select("window_start").distinct()
-        spans_in = batch.join(F.broadcast(alerts.limit(10_000)), (F.col(time_col) >= F.col("window_start")) & (F.col(time_col) < F.col("window_start") + F.expr(f"interval {size}")), "left_semi")
+        times = batch.select(time_col).distinct().select(time_col, F.window(time_col, size, slide).start.alias("window_start"))
+        inside = times.join(alerts, "window_start", "left_semi").select(time_col).distinct()
+        spans_in = batch.join(inside, time_col, "left_semi").select(*batch.columns)
         if not spans_in.isEmpty():
             sink(report(spans_in), batch_id)
         batch.unpersist()

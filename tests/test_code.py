@@ -113,6 +113,9 @@ def test_config_elements(spark):
     compose = "services:\n  db:\n    image: postgres:16\n    ports:\n      - '5432:5432'\n    environment:\n      - A=1\n  web:\n    image: nginx  # note\n"
     profile = "shop:\n  target: dev\n  outputs:\n    dev:\n      type: bigquery\n      password: x\n"
     env = "# c\nDB_HOST=h\nAPI_KEY='k'\nMODE=fast\nMODE=slow\n"
+    soda = "data_source shop:\n  type: postgres\nsoda_cloud:\n  host: cloud\n  api_key_id: k\n"
+    rows = C.config_elements(files(spark, s_DOT_yml=soda)).collect()
+    assert [(r["element_type"], r["properties"]) for r in rows if r["name"] == "soda_cloud"] == [("credential", {"host": "cloud", "api_key_id": "k"})]
     toml = "top = 1\n[tool.x]\na = 'b'\n"
     got = {(r["name"], r["element_type"]): r["properties"] for r in C.config_elements(files(spark, c_DOT_yml=compose, p_DOT_yaml=profile, _DOT_env=env, t_DOT_toml=toml)).collect()}
     assert got[("db", "service")] == {"image": "postgres:16", "ports": "5432:5432", "A": "1"} and got[("web", "service")] == {"image": "nginx"}
@@ -132,6 +135,16 @@ def test_router_prefixes(spark):
 def test_route_declarations(spark):
     got = C.file_routes(files(spark, a_DOT_js="app.get('/p', show)", b_DOT_py="x"))
     assert [(r["handler"], r["route"]) for r in got.collect()] == [("show", "GET /p")]
+    java = 'class A {\n  @GET\n  @Produces("x/y")\n  @Path("/items/{id}")\n  public Item find(int id) { }\n  @PostMapping("/new")\n  Item make() { }\n}'
+    next_ = "import x from 'y'\nexport async function GET(req) {}\nexport function POST(req) {}\nfunction PUT() {}\n"
+    got = C.file_routes(files(spark, A_DOT_java=java, route_DOT_ts=next_)).collect()
+    assert {(r["handler"], r["route"]) for r in got} == {("find", "GET /items/{id}"), ("make", "POST /new"), ("GET", "GET /"), ("POST", "POST /")}
+
+
+def test_function_expressions_and_generic_methods(spark):
+    ts = "export const run = async function <T>(a, b) {\n  return a\n}\nclass Box {\n  map<U>(f) {\n    return f\n  }\n  async get(k): Promise<U> {\n  }\n}\n"
+    got = {(r["name"], r["unit_type"]) for r in C.extract_code_units(files(spark, a_DOT_ts=ts)).collect()}
+    assert got == {("run", "function"), ("Box", "class"), ("map", "method"), ("get", "method")}
 
 
 # --- calls and rules --------------------------------------------------------------------------------------------------
@@ -282,6 +295,8 @@ def test_own_embedding(spark, corpus):
     v = corpus.select("unit_id", embed("body_text").alias("vector"))
     q = asked(spark, "the database").select("query_id", embed("text").alias("vector"))
     assert [r["unit_id"] for r in S.vector_top_k(q, v).collect()] == [1]
+    fused = S.hybrid_search(asked(spark, "the database"), corpus, embed=embed)
+    assert fused.filter("rank = 1").collect() == S.hybrid_search(asked(spark, "the database"), corpus, v, q).filter("rank = 1").collect()
 
 
 def test_cascade(spark, corpus):
