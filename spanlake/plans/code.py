@@ -360,7 +360,7 @@ p AS (SELECT a AS s, b AS e, [a, b] AS path FROM g WHERE a < b
 SELECT DISTINCT array_to_string(list_sort(list_distinct(path)), ',') AS members FROM p WHERE e = s""")
 def c07_circular_dependencies(spark, d):
     calls = C.call_edges_by_name(_units(spark, d))
-    c = G.find_cycles(calls.union(calls.filter("cast(substr(a, 2) AS bigint) % 7 = 0").select("b", "a")))
+    c = G.find_cycles(calls.union(calls.filter("try_cast(substr(a, 2) AS bigint) % 7 = 0").select("b", "a")))
     return c.select(F.array_join("members", ",").alias("members"))
 
 
