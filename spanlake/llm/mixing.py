@@ -82,7 +82,7 @@ def leaf_budgets(leaves: DataFrame, weights: dict, total_tokens: int | None, sha
     return leaves.join(down.withColumnRenamed("given", "budget"), [*LEVELS])
 
 
-def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: str = "mix", with_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: str = "mix", with_text: bool = False, most_leaves: int = 100_000) -> DataFrame:
     """(doc_id, text, lang, source) -> the selected documents: doc_id, domain, lang, source, epoch, tokens, taken.
 
     The budget is `total_tokens`, or `share` of all tokens. A leaf's budget takes whole epochs of
@@ -93,28 +93,33 @@ def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None =
     follow each other; rows with a null id hash alike and come first among equals. Other columns are
     ignored; an empty table gives no rows.
 
-    The running sums are by hash bucket first, so no task orders a whole leaf.
+    Sums by leaf and hash bucket come first. They give each leaf the bucket in which its last epoch ends:
+    rows of earlier buckets are taken as they stand, later ones are left, and only those of that bucket,
+    one in 4,096, are moved and ordered. Up to `most_leaves` leaves' plans go to every task, more are joined.
     """
     weights = WEIGHTS if weights is None else weights
-    d = docs.select("doc_id", domain(F.col("text")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("tokens"), *(["text"] if with_text else []))
     text = ["text"] if with_text else []
-    d = d.filter("tokens > 0")
-    d = d if with_text else cut(d)
-    leaves = d.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    d = docs.select("doc_id", domain(F.col("text")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("tokens"), *text).filter("tokens > 0")
+    narrow = cut(d.drop("text"))
+    leaves = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, total_tokens, share, max_epochs)
-    plan = budgets.select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")).filter("whole > 0 or rest > 0")
-    d = d.join(plan, [*LEVELS])
-
-    full = d.filter("whole > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"), *text)
-    last = d.filter("rest > 0").withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    last = last.withColumn("bin", F.substring("place", 1, 3))
-    bins = last.groupBy(*LEVELS, "bin").agg(F.sum("tokens").alias("s"))
-    earlier = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*LEVELS, "bin", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*LEVELS, "bin").orderBy("place", "doc_id", "tokens", *text).rowsBetween(Window.unboundedPreceding, -1)
-    last = last.join(bins.filter("base is not null"), [*LEVELS, "bin"]).filter("base < rest")
-    last = last.withColumn("ahead", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).filter("ahead < rest")
-    prefix = last.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("ahead")).alias("taken"), *text)
+    plan = cut(budgets.select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")).filter("whole > 0 or rest > 0"))
+    small = plan.count() <= most_leaves
+    sent = lambda df: F.broadcast(df) if small else df
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+    bins = narrow.join(sent(plan.filter("rest > 0")), [*LEVELS]).groupBy(*LEVELS, "rest", F.substring(place, 1, 3).alias("edge")).agg(F.sum("tokens").alias("s"))
+    until = Window.partitionBy(*LEVELS).orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
+    edges = bins.withColumn("base", F.sum("s").over(until) - F.col("s")).filter("base < rest and rest <= base + s").select(*LEVELS, "edge", "base")
+    plan = sent(cut(plan.join(edges, [*LEVELS], "left")))
+
+    d = (d if with_text else narrow).join(plan, [*LEVELS]).withColumn("place", place).withColumn("bin", F.substring("place", 1, 3))
+    out = lambda df, epoch, taken: df.select("doc_id", *LEVELS, epoch.alias("epoch"), "tokens", taken.alias("taken"), *text)
+    passes = F.col("whole") + F.when(F.col("bin") < F.col("edge"), 1).otherwise(0)
+    full = out(d.filter(passes > 0), F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)), F.col("tokens"))
+    inside = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "tokens", *text).rowsBetween(Window.unboundedPreceding, -1)
+    last = d.filter("bin = edge").withColumn("ahead", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).filter("ahead < rest")
+    prefix = out(last, F.col("whole"), F.least("tokens", F.col("rest") - F.col("ahead")))
     if with_text:
         prefix = prefix.withColumn("text", F.when(F.col("taken") < F.col("tokens"), prefix_of(F.col("text"), F.col("taken"))).otherwise(F.col("text")))
     return full.unionByName(prefix)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from spanlake.llm.common import hot_keys, spread_join
 from spanlake.llm.components import connected_components
 from spanlake.llm.minhash import TIER, Circulant, near_duplicates, shingle_sets, signatures, tiers
 
@@ -136,3 +137,14 @@ def test_an_id_with_several_texts_has_one_set(spark):
     seven = {r["component_id"] for r in got if r["doc_id"] == 7}
     assert len(seven) == 1 and seven <= {3, 5}
     assert {r["component_id"] for r in got if r["doc_id"] in (3, 9)} == {3} and {r["component_id"] for r in got if r["doc_id"] == 5} == {5}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_plain_join(spark, how):
+    """One key with half of the rows, null keys, and a key that the other side holds twice or not at all."""
+    many = [(1 if i % 2 else None if i % 10 == 0 else i, i) for i in range(5000)]
+    few = [(1, "a"), (1, "b"), (2, "c"), (None, "d")]
+    left, right = spark.createDataFrame(many, "k long, n long").checkpoint(), spark.createDataFrame(few, "k long, s string")
+    got = sorted(map(str, spread_join(left, right, ["k"], how).select("k", "n", "s").collect()))
+    assert got == sorted(map(str, left.join(right, "k", how).select("k", "n", "s").collect()))
+    assert [(r["k"], r["__parts"]) for r in hot_keys(left, ["k"]).collect()] == [(1, 501)]

@@ -78,6 +78,15 @@ def test_section_tokens_add_up(spark):
         assert [r["tokens"] for r in mine] == counts
 
 
+def test_section_tokens_of_unbroken_runs_and_repeated_rows(spark):
+    run = "".join(random.Random(1).choices("abcdefgh", k=60_000))
+    df = spark.createDataFrame([(1, run + "\n" + run), (1, run + "\n" + run), (None, "x")], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or 0, r["section"], r["end"] - r["start"], r["tokens"]) for r in section_tokens(df).collect())
+    enc, _ = encoding(VOCABULARY)
+    assert rows[0] == (0, 0, 1, 1) and rows[1] == rows[2] and rows[3] == rows[4] and [r[2] for r in rows[1:]] == [60_001, 60_001, 60_000, 60_000]
+    assert rows[1][3] + rows[3][3] == len(enc.encode_ordinary(run + "\n" + run))
+
+
 def test_crossing_tokens_go_to_the_larger_part():
     bounds = np.array([0, 3, 4, 10])
     assert attribute(np.array([0, 2, 3]), np.array([2, 4, 10]), bounds).tolist() == [0, 0, 2]
