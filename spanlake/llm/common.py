@@ -103,22 +103,23 @@ def within(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 26) -> Da
     return _parted(rows, key, ids, most_bits)[1].join(ids, key, "left_semi")
 
 
-def hot_keys(many: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+def hot_keys(many: DataFrame, keys: list[str], parts: int = 1000, least: int = 1000) -> DataFrame:
     """The non-null keys with over 1/parts of the rows of a cut or stored table, and `__parts`, how often that is.
 
-    By arithmetic they are fewer than `parts`, so the list may go to every task.
+    By arithmetic they are no more than `parts`, so the list may go to every task. Keys with up to
+    `least` rows aren't worth splitting, unless the rows are large.
     """
     held = many.groupBy(*keys).agg(F.count("*").alias("__n"))
     share = held.crossJoin(F.broadcast(many.groupBy().agg(F.count("*").alias("__all")))).filter(F.col("__n") * parts >= F.col("__all"))
-    share = share.filter((F.col("__n") > parts) & F.col(keys[0]).isNotNull())
+    share = share.filter((F.col("__n") > least) & F.col(keys[0]).isNotNull())
     return share.select(*keys, F.expr(f"cast(__n * {parts} div __all + 1 as int)").alias("__parts"))
 
 
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """many join few, with the hot keys of `many` split over several tasks.
+    """many join few, with the hot keys of `many` split over several tasks (AQE splits a partition by its size only).
 
     Rows of `few` with a hot key are repeated for each of its shares. `many` is counted first, unless
-    its hot_keys are given; hand in a cut or stored table. Keys with up to 1,000 rows aren't worth splitting. `how` may be inner or left. Null keys match
+    its hot_keys are given; hand in a cut or stored table. `how` may be inner or left. Null keys match
     nothing; in a left join they are spread as well.
     """
     hot = F.broadcast(hot_keys(many, keys) if hot is None else hot)

@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     own = texts.join(reps.withColumnRenamed("doc_id", "id"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
     with scratch(own.select("id", "set")) as own:
         both = pairs.join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        both = spread_join(both, own.select(F.col("id").alias("a"), F.col("set").alias("x")), ["a"], hot=hot_keys(pairs, ["a"]))
+        both = spread_join(both, own.select(F.col("id").alias("a"), F.col("set").alias("x")), ["a"], hot=hot_keys(pairs, ["a"], least=50))
         both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
         return cut(both.filter(F.expr(f"100 * c >= {percent} * (n + m - c)")).select("a", "b"))
 
