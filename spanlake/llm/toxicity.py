@@ -66,7 +66,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: in
     Learns from rows of `docs` (doc_id, text) with a 0/1 `labels.toxic` that aren't held out. The fit
     takes at most about `max_rows` labelled documents, whole: where there are more, those of the
     smallest id hashes. Features are made on all executors; the bounded sample is then learnt in one
-    task, in a seeded order. A document with two labels counts as toxic.
+    task, in a seeded order. A document with two labels counts as toxic; rows that repeat a labelled
+    document are learnt as often as they occur. Null ids aren't learnt, null texts teach the intercept only.
     """
     known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.filter(~held_out())
