@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.llm import oracles
+from spanlake.llm.alignment import cross_tokenizer
 from spanlake.llm.common import table
 from spanlake.llm.decontaminate import contaminated
 from spanlake.llm.langid import language_id
@@ -61,9 +62,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours)
+    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours, op13_cross_tokenizer)
 }
 
 ORACLE_SQL: dict[str, str] = {
