@@ -10,6 +10,7 @@ from spanlake.llm import oracles
 from spanlake.llm.alignment import cross_tokenizer
 from spanlake.llm.common import table
 from spanlake.llm.decontaminate import contaminated
+from spanlake.llm.hardnegatives import RELABELLED, hard_negatives
 from spanlake.llm.langid import language_id
 from spanlake.llm.minhash import near_duplicates
 from spanlake.llm.mixing import mix
@@ -62,13 +63,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", RELABELLED)
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours, op13_cross_tokenizer)
+    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours, op12_hard_negatives, op13_cross_tokenizer)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc_revisits": oracles.WARC,
     "op6_url_filter": oracles.URL_FILTER,
     "op7_mixing": oracles.MIXING,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
