@@ -35,8 +35,8 @@ class CoverTree:
     """Nodes hold points within a radius of their centre, which is one of them; children's centres are
     further than the next smaller radius from each other and the first child has its parent's centre.
 
-    Radii shrink by `base` from level to level. A node of at most `leaf` points isn't divided, and
-    where `most_children` centres leave over half of a node uncovered, the rest joins the nearest of
+    Radii shrink by `base` from level to level. A node of at most `leaf` points isn't divided, nor one of up
+    to 4,096 whose children would hold fewer than 16 points each, and where `most_children` centres leave over half of a node uncovered, the rest joins the nearest of
     them, with radii to match: vectors without structure have no smaller cover.
     """
 
@@ -84,6 +84,9 @@ class CoverTree:
             members.append(left[near])
             reach.append(far[near].max())
             left = left[~near]
+        if len(rows) < 16 * len(centres) and len(rows) <= 4096:
+            self.leaf[v] = True
+            return []
         out = []
         for c, m, r in zip(centres, members, reach, strict=True):
             self.order[begin : begin + len(m)] = m
@@ -137,20 +140,22 @@ def search(tree: CoverTree, x, labels, ids, queries, query_labels, low, high, le
         rank = np.argsort(np.argsort(np.where(left, -most_at[:, leaves], np.inf), axis=1, kind="stable"), axis=1)
         found, wide, first = [np.zeros(0, np.int64)] * 5, 1, 0
         while left.any():
-            now = left & (rank < first + wide)
+            now, new = left & (rank < first + wide), [found]
+            lowest, highest = np.where(floor <= top, reached, np.iinfo(np.int64).max).min(axis=1), top.max(axis=1)
             for i in np.flatnonzero(now.any(axis=0)):
                 ask = np.flatnonzero(now[:, i])
                 rows = np.arange(tree.begin[leaves[i]], tree.end[leaves[i]])
                 score = exact_products(q[ask], x[rows])
-                fit = (labels[rows][None, :] == own[ask][:, None]) == same
-                for j in range(top.shape[1]):
-                    a, r = np.nonzero(fit & (score >= reached[ask, j][:, None]) & (score <= top[ask, j][:, None]))
-                    if len(a):
-                        new = [ask[a], np.full(len(a), j), score[a, r], rows[r], ids[rows[r]]]
-                        found = [np.concatenate(p) for p in zip(found, new, strict=True)]
+                # few rows lie in any window, above what k rows reach; only these are looked at window by window
+                a, r = np.nonzero((score >= lowest[ask][:, None]) & (score <= highest[ask][:, None]))
+                fit = (labels[rows[r]] == own[ask[a]]) == same
+                a, r = ask[a[fit]], r[fit]
+                value = score[np.searchsorted(ask, a), r]
+                e, j = np.nonzero((value[:, None] >= reached[a]) & (value[:, None] <= top[a]))
+                new.append([a[e], j, value[e], rows[r[e]], ids[rows[r[e]]]])
             left &= ~now
             first, wide = first + wide, wide * 2
-            found = _ranked(found, k)
+            found = _ranked([np.concatenate(p) for p in zip(*new, strict=True)], k)
             full = np.zeros(reached.shape, np.int64)
             np.add.at(full, (found[0], found[1]), 1)
             kth = np.full(reached.shape, np.iinfo(np.int64).max)
