@@ -12,6 +12,7 @@ from spanlake.llm.common import table
 from spanlake.llm.decontaminate import contaminated
 from spanlake.llm.hardnegatives import RELABELLED, hard_negatives
 from spanlake.llm.langid import language_id
+from spanlake.llm.language_model import lm_scores
 from spanlake.llm.minhash import near_duplicates
 from spanlake.llm.mixing import mix
 from spanlake.llm.neighbours import nearest
@@ -63,6 +64,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", RELABELLED)
 
@@ -73,7 +78,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours, op12_hard_negatives, op13_cross_tokenizer)
+    for f in (op1_minhash, op2_toxicity, op3_language_id, op4_warc_revisits, op5_section_tokens, op6_url_filter, op7_mixing, op8_decontamination, op9_pii, op10_neighbours, op11_lm_scores, op12_hard_negatives, op13_cross_tokenizer)
 }
 
 ORACLE_SQL: dict[str, str] = {
