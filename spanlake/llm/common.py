@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,3 +220,12 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         held += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def sliced(batch, column: int, most: int) -> Iterator:
+    """Parts of an Arrow batch that hold about `most` bytes of a string or binary column each."""
+    size = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for begin, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(begin, end - begin)
