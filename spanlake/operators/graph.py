@@ -27,6 +27,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Cuts lineage like `cut`, with tables that are deleted at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, "scratch")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def build_span_nodes(events: DataFrame) -> DataFrame:
     """One node for each span_id.
 
@@ -220,19 +241,3 @@ def is_dag(edges: DataFrame) -> bool:
         live = cut(live.join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
         if live.count() == n:
             return False
-
-
-def deep_call_chains(edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """`start` of each simple path of more than max_depth edges.
-
-    Longest simple paths are walked from the starts still open; a start is settled by its first long path.
-    """
-    live = cut(edges.select("a", "b").distinct().filter("a <> b"))
-    front = cut(live.select("a", F.array("a", "b").alias("path")))
-    step = live.toDF("at", "to")
-    for _ in range(max_depth):
-        front = front.withColumn("at", F.element_at("path", -1)).join(step, "at").filter(~F.array_contains("path", F.col("to")))
-        front = front.select("a", F.concat("path", F.array("to")).alias("path"))
-        # paths with the same members and end go on alike
-        front = cut(front.groupBy("a", F.sort_array("path").alias("m"), F.element_at("path", -1).alias("e")).agg(F.min("path").alias("path")).select("a", "path"))
-    return front.select(F.col("a").alias("start")).distinct()

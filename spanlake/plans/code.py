@@ -9,6 +9,7 @@ from spanlake.functions import text as X
 from spanlake.operators import aggregates as A
 from spanlake.operators import code as C
 from spanlake.operators import correlate as K
+from spanlake.operators import cycles as Y
 from spanlake.operators import graph as G
 from spanlake.operators import search as S
 from spanlake.plans.spans import query
@@ -369,6 +370,18 @@ def c07_circular_dependencies(spark, d):
     return c.select(F.array_join("members", ",").alias("members"))
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT DISTINCT concat('f', unit_id) AS a, c AS b FROM (SELECT unit_id, unnest([concat('f', unit_id // 2), concat('f', unit_id // 3)]) AS c FROM units_docs) x WHERE c <> concat('f', unit_id) AND c IN (SELECT name FROM units_docs)),
+g AS (SELECT a, b FROM d UNION SELECT b, a FROM d WHERE CAST(substr(a, 2) AS BIGINT) % 7 = 0),
+r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
+SELECT component, count(*) AS size FROM (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1) c GROUP BY 1""")
+def c07_dependency_components(spark, d):
+    """C07 for cycles of any length: the components that they lie in."""
+    calls = C.call_edges_by_name(_units(spark, d))
+    c = Y.circular_dependencies(calls.union(calls.filter("try_cast(substr(a, 2) AS bigint) % 7 = 0").select("b", "a")))
+    return c.select("component", "size")
+
+
 @query("SELECT unit_id, name, source_file, start_line, end_line - start_line AS lines FROM units_docs WHERE unit_type = 'function' AND end_line - start_line > 80")
 def c08_large_functions(spark, d):
     return C.large_functions(view(spark, d, "units_docs"))

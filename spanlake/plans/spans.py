@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.errors import classify_error, recommendations_for
 from spanlake.functions.text import format_traceparent, parse_traceparent
 from spanlake.operators import aggregates as A
+from spanlake.operators import cycles as Y
 from spanlake.operators import findings as R
 from spanlake.operators import graph as G
 from spanlake.operators import history as H
@@ -539,11 +540,32 @@ def g15_find_cycles(spark, d):
     return c.select(F.array_join(c.members.cast("array<string>"), ",").alias("members"), F.col("length").cast("bigint").alias("length"))
 
 
+_COMPONENTS = """r AS (SELECT a, b FROM edges_docs UNION SELECT r.a, e.b FROM r JOIN edges_docs e ON e.a = r.b),
+comp AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM comp")
+def g15_strong_components(spark, d):
+    return Y.strong_components(view(spark, d, "edges_docs"))
+
+
+@query(f"""
+WITH RECURSIVE {_COMPONENTS},
+s AS (SELECT x.component, a, min(b) AS b FROM edges_docs JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND y.component = x.component GROUP BY 1, 2),
+w AS (SELECT a AS v, b AS at FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.at = s.a),
+lead AS (SELECT component, min(v) AS first FROM w JOIN s ON s.a = v WHERE at = v GROUP BY 1),
+c AS (SELECT component, CAST(0 AS BIGINT) AS position, first AS node, first FROM lead UNION ALL SELECT c.component, position + 1, s.b, c.first FROM c JOIN s ON s.a = c.node WHERE s.b <> c.first)
+SELECT component, position, node FROM c""")
+def g15_witness_cycles(spark, d):
+    edges = view(spark, d, "edges_docs")
+    return Y.witness_cycles(edges, Y.strong_components(edges))
+
+
 @query("""
 WITH RECURSIVE p AS (SELECT a AS s, b AS e, [a, b] AS path FROM edges_docs UNION ALL SELECT s, b, list_append(path, b) FROM p JOIN edges_docs ON a = e WHERE NOT list_contains(path, b) AND len(path) <= 11)
 SELECT DISTINCT s AS start FROM p WHERE len(path) = 12""")
 def g16_deep_call_chains(spark, d):
-    return G.deep_call_chains(view(spark, d, "edges_docs"))
+    return Y.deep_call_chains(view(spark, d, "edges_docs"))
 
 
 # --- findings ---------------------------------------------------------------------------------------------------------

@@ -1,0 +1,113 @@
+"""Components, witness cycles and deep chains against plain walks."""
+
+import os
+import random
+
+from spanlake.operators import cycles as Y
+from spanlake.operators.graph import find_cycles
+
+
+def table(spark, edges):
+    return spark.createDataFrame(edges, "a long, b long")
+
+
+def reach(edges):
+    ahead = {}
+    for a, b in edges:
+        if a != b:
+            ahead.setdefault(a, set()).add(b)
+    found = {}
+    for a in ahead:
+        seen, todo = set(), [a]
+        while todo:
+            for b in ahead.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        found[a] = seen
+    return ahead, found
+
+
+def plain_components(edges):
+    _, r = reach(edges)
+    return {a: min(b for b in r[a] if a in r.get(b, ())) for a in r if a in r[a]}
+
+
+def longest(edges, start, most):
+    ahead, best, todo = reach(edges)[0], 0, [(start, frozenset([start]))]
+    while todo and best < most:
+        at, seen = todo.pop()
+        best = max(best, len(seen) - 1)
+        todo += [(b, seen | {b}) for b in ahead.get(at, ()) if b not in seen]
+    return best
+
+
+def check_cycles(spark, edges, small=Y.SMALL):
+    got = {r["node"]: r["component"] for r in Y.strong_components(table(spark, edges), small=small).collect()}
+    assert got == plain_components(edges)
+    rings = {}
+    for r in Y.witness_cycles(table(spark, edges), spark.createDataFrame(list(got.items()), "node long, component long"), small).collect():
+        rings.setdefault(r["component"], {})[r["position"]] = r["node"]
+    assert rings.keys() == set(got.values())
+    for component, ring in rings.items():
+        nodes = [ring[i] for i in range(len(ring))]
+        assert len(set(nodes)) == len(nodes) > 1 and nodes[0] == min(nodes) and {got[v] for v in nodes} == {component}
+        assert all((a, b) in set(edges) for a, b in zip(nodes, nodes[1:] + nodes[:1], strict=True))
+
+
+def test_ring_of_fifty_and_others(spark):
+    ring = [(i, i % 50 + 1) for i in range(1, 51)]
+    chain = [(100 + i, 101 + i) for i in range(30)]
+    pairs = [(200, 201), (201, 200), (201, 202), (202, 203), (203, 202), (203, 203), (7, 200)]
+    check_cycles(spark, ring + chain + pairs)
+    report = {r["component"]: r for r in Y.circular_dependencies(table(spark, ring + pairs), listed=3).collect()}
+    assert (report[1]["size"], report[1]["length"], report[1]["members"]) == (50, 50, [1, 2, 3])
+    assert (report[200]["size"], report[202]["members"]) == (2, [202, 203])
+    assert find_cycles(table(spark, ring)).count() == 0  # that one is for short cycles
+
+
+def test_random_graphs(spark):
+    rng = random.Random(8)
+    edges = []
+    for g in range(6):  # several graphs at once, apart from each other
+        n = rng.randint(3, 14)
+        edges += [(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for _ in range(rng.randint(2, 2 * n))]
+    check_cycles(spark, list(dict.fromkeys(edges)))
+
+
+def test_rounds_without_a_small_end(spark):
+    edges = [(i, i % 9 + 1) for i in range(1, 10)] + [(20, 21), (21, 20), (21, 22), (22, 5), (22, 23), (23, 22), (30, 31)]
+    check_cycles(spark, edges, 0)
+    check_cycles(spark, edges, 7)
+
+
+def test_no_edges_and_no_cycles(spark):
+    for edges in ([], [(1, 2), (2, 3), (1, 3)], [(4, 4)]):
+        assert Y.strong_components(table(spark, edges)).count() == 0
+        assert Y.circular_dependencies(table(spark, edges)).count() == 0
+        assert Y.deep_call_chains(table(spark, edges), 3).count() == 0
+
+
+def test_deep_chains_equal_walks(spark):
+    rng = random.Random(3)
+    edges = []
+    for g in range(8):
+        n = rng.randint(5, 11)
+        edges += [(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for _ in range(rng.randint(n, 2 * n))]
+    edges = list(dict.fromkeys(edges))
+    want = sorted(a for a in {a for a, _ in edges} if longest(edges, a, 5) >= 5)
+    assert 3 < len(want) < len({a for a, _ in edges})
+    assert sorted(r["start"] for r in Y.deep_call_chains(table(spark, edges), 4).collect()) == want
+
+
+def test_dense_dag_needs_no_paths(spark):
+    """2,000 nodes with eight edges each: more paths of 11 edges than could be written."""
+    edges = spark.range(2000).selectExpr("id AS a", "explode(sequence(id + 1, id + 8)) AS b").filter("b < 2000")
+    got = sorted(r["start"] for r in Y.deep_call_chains(edges).collect())
+    assert got == list(range(2000 - 11))
+
+
+def test_scratch_tables_are_deleted(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    Y.strong_components(table(spark, [(1, 2), (2, 1)])).count()
+    assert not [p for p in os.listdir(root) if p.startswith("scratch")]

@@ -10,6 +10,7 @@ from spanlake.functions import text as X
 from spanlake.functions.errors import assess_severity, classify_error
 from spanlake.operators import aggregates as A
 from spanlake.operators import findings as R
+from spanlake.operators import cycles as Y
 from spanlake.operators import graph as G
 from spanlake.operators import history as H
 from spanlake.operators import topology as T
@@ -228,7 +229,7 @@ def test_cycles(spark):
     assert {(tuple(r["members"]), r["length"]) for r in G.find_cycles(e).collect()} == {((1, 2, 3), 3), ((3, 4), 2)}
     assert not G.is_dag(e) and G.is_dag(e.filter("a < b"))
     line = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(0, 3)], "a long, b long")
-    assert ids(G.deep_call_chains(line, 4), "start") == [0, 1]
+    assert ids(Y.deep_call_chains(line, 4), "start") == [0, 1]
 
 
 # --- aggregates -------------------------------------------------------------------------------------------------------
