@@ -552,9 +552,9 @@ def g15_strong_components(spark, d):
 @query(f"""
 WITH RECURSIVE {_COMPONENTS},
 s AS (SELECT x.component, a, min(b) AS b FROM edges_docs JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND y.component = x.component GROUP BY 1, 2),
-w AS (SELECT a AS v, b AS at FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.at = s.a),
-lead AS (SELECT component, min(v) AS first FROM w JOIN s ON s.a = v WHERE at = v GROUP BY 1),
-c AS (SELECT component, CAST(0 AS BIGINT) AS position, first AS node, first FROM lead UNION ALL SELECT c.component, position + 1, s.b, c.first FROM c JOIN s ON s.a = c.node WHERE s.b <> c.first)
+w AS (SELECT a AS v, b AS e FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.e = s.a),
+leader AS (SELECT component, min(v) AS first FROM w JOIN s ON s.a = v WHERE e = v GROUP BY 1),
+c AS (SELECT component, CAST(0 AS BIGINT) AS position, first AS node, first FROM leader UNION ALL SELECT c.component, position + 1, s.b, c.first FROM c JOIN s ON s.a = c.node WHERE s.b <> c.first)
 SELECT component, position, node FROM c""")
 def g15_witness_cycles(spark, d):
     edges = view(spark, d, "edges_docs")
