@@ -749,6 +749,27 @@ def t01_stream_windows(spark, d):
     return _stats(_drained(W.anomaly_score(W.sliding_window_stats(_stream_spans(_streamed(spark, d)), **_OPTIONS), lat_thr=100), "complete", "windows"))
 
 
+_CLOSED = "epoch_ms((SELECT max(ts) FROM events) - INTERVAL 1 HOUR) >= window_ms + 6 * 3600000"
+
+
+@query(f"{_STATS_SQL} WHERE {_CLOSED}")
+def t01_pane_windows(spark, d):
+    """T01 in append mode from panes of value counts: each window that the watermark has passed, once."""
+    stream = _stream_spans(_streamed(spark, d)).withWatermark("start_ts", "1 hour")
+    return _stats(_drained(W.anomaly_score(W.pane_stats(stream, **_OPTIONS).drop("closed"), lat_thr=100), "append", "panes"))
+
+
+@query(_WINDOWS + f"""
+SELECT window_ms, event_id FROM u JOIN (SELECT event_id, epoch_us(ts) AS us FROM events) v ON us >= window_ms * 1000 AND us < (window_ms + 6 * 3600000) * 1000
+WHERE round(score, 9) >= 0.7 AND {_CLOSED}""")
+def t04_alerting_spans(spark, d):
+    """The spans of each alerting window, as the stream hands them to the investigation."""
+    events = _streamed(spark, d)
+    stream = events.select(F.col("ts").cast("timestamp").alias("start_ts"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "failed").alias("error"), "event_id").withWatermark("start_ts", "1 hour")
+    found = W.alerting_spans(stream, lat_thr=100, **_OPTIONS)
+    return _drained(found.select(F.unix_millis("window_start").alias("window_ms"), "event_id"), "append", "alerting")
+
+
 @query("SELECT count(*) AS ingested, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS max_ms FROM events")
 def t05_ingest_counters(spark, d):
     return _drained(W.ingest_counters(_stream_spans(_streamed(spark, d))), "complete", "counters")

@@ -26,6 +26,43 @@ def sliding_window_stats(spans: DataFrame, time_col: str = "start_ts", window: s
     return out.select("w.start", "w.end", "total", "errors", "avg_ms", "p95_ms", "max_ms", (F.col("errors") / F.col("total")).alias("error_rate")).withColumnsRenamed({"start": "window_start", "end": "window_end"})
 
 
+def pane_stats(spans: DataFrame, time_col: str = "start_ts", window: str = "60 seconds", slide: str = "5 seconds", decimals: int | None = 2) -> DataFrame:
+    """The columns of `sliding_window_stats` and `closed`, the window's event time, from counts of values in panes of one slide.
+
+    A span is counted once, in its pane, by its duration rounded to `decimals` (as normalised spans are; None: not
+    rounded); a window adds up the counts of its panes. So state grows with the different
+    durations, not with the spans, and the index-p95 is that of all of them. Takes a static table, or a stream with
+    a watermark on time_col in append mode: each window once, when the watermark passes its end.
+    """
+    value = F.col("duration_ms") if decimals is None else F.round("duration_ms", decimals)
+    panes = spans.groupBy(F.window(time_col, slide).alias("pane"), value.alias("value")).agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+    inside = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"))
+    held = F.col("value").isNotNull()
+    out = inside.agg(
+        F.sum("n").alias("total"), F.sum("errors").alias("errors"), (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(held, F.col("n")))).alias("avg_ms"),
+        F.sort_array(F.collect_list(F.when(held, F.struct("value", "n")))).alias("counts"), F.max("value").alias("max_ms"),
+    )
+    below = F.expr("aggregate(counts, 0L, (s, c) -> s + c.n) * 95 div 100")
+    # the first value up to which more than `below` lie: as sorted[n * 95 // 100]
+    step = F.expr("aggregate(counts, named_struct('left', below, 'p', cast(null as double)), (s, c) -> named_struct('left', s.left - c.n, 'p', if(s.left >= 0 and s.left < c.n, c.value, s.p)))")
+    out = out.withColumn("below", below).withColumn("p95_ms", step["p"])
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total", "errors", "avg_ms", "p95_ms", "max_ms", (F.col("errors") / F.col("total")).alias("error_rate"), F.window_time("w").alias("closed"))
+
+
+def alerting_spans(spans: DataFrame, threshold: float = 0.7, err_thr: float = 0.05, lat_thr: float = 1000.0, time_col: str = "start_ts", window: str = "60 seconds", slide: str = "5 seconds", decimals: int | None = 2) -> DataFrame:
+    """window_start and the columns of `spans`, for each window that alerts (see `anomaly_alerts`) and each span in it.
+
+    As a stream, spans wait in state until the windows that they lie in have closed.
+    """
+    stats = pane_stats(spans, time_col, window, slide, decimals)
+    alerts = anomaly_score(stats, err_thr, lat_thr).filter(F.round("score", 9) >= threshold)
+    panes = F.sequence(F.col("window_start"), F.col("window_end") - F.expr(f"interval {slide}"), F.expr(f"interval {slide}"))
+    alerts = alerts.select("window_start", "closed", F.explode(panes).alias("pane"))
+    placed = spans.withColumn("pane", F.window(time_col, slide)["start"])
+    in_time = (F.col("closed") >= F.col(time_col)) & (F.col("closed") <= F.col(time_col) + F.expr(f"interval {window}"))
+    return placed.join(alerts.withColumnRenamed("pane", "at"), (F.col("pane") == F.col("at")) & in_time).select("window_start", *spans.columns)
+
+
 def anomaly_score(stats: DataFrame, err_thr: float = 0.05, lat_thr: float = 1000.0) -> DataFrame:
     """Stats with `score`, 0 to 1: error rate up to 0.4, p95 up to 0.4, a maximum over 5 averages 0.2."""
     errors = F.when(F.col("error_rate") > err_thr, F.least(F.lit(0.4), F.col("error_rate") * 4)).otherwise(0.0)
@@ -46,24 +83,20 @@ def start_alerts(spans: DataFrame, callback: Callable[[DataFrame, int], None], c
 
 
 def auto_rca(spans: DataFrame, report: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **options):
-    """On each micro-batch with an alerting window, sink(report(the batch's spans in such windows)).
+    """When alerting windows close, sink(report(their spans)); the spans have the `window_start` that they lie in, once
+    for each alerting window.
 
-    A batch's times meet the alerting windows by the start of each window that they lie in.
+    `spans` is a stream with a watermark on time_col. A window is judged once, when the watermark passes its
+    end, by all of its spans, however many micro-batches they came in; later ones are too late for it.
     """
-    window = {k: options.pop(k) for k in ("time_col", "window", "slide", "approximate") if k in options}
-    time_col, size, slide = window.get("time_col", "start_ts"), window.get("window", "60 seconds"), window.get("slide", "5 seconds")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        alerts = anomaly_alerts(batch, **options, **window).select("window_start").distinct()
-        times = batch.select(time_col).distinct().select(time_col, F.window(time_col, size, slide).start.alias("window_start"))
-        inside = times.join(alerts, "window_start", "left_semi").select(time_col).distinct()
-        spans_in = batch.join(inside, time_col, "left_semi").select(*batch.columns)
-        if not spans_in.isEmpty():
-            sink(report(spans_in), batch_id)
+        if not batch.isEmpty():
+            sink(report(batch), batch_id)
         batch.unpersist()
 
-    return spans.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
+    return alerting_spans(spans, **options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
 
 
 def ingest_counters(spans: DataFrame) -> DataFrame:

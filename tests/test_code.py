@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,7 +332,7 @@ def test_anomaly_score(spark):
 def test_streams(spark, data, tmp_path):
     events = _streamed(spark, data)
     spans = events.select(F.col("ts").cast("timestamp").alias("start_ts"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "x").alias("error"))
-    got, reports = [], []
+    got = []
     options = {"lat_thr": 100.0, "window": "6 hours", "slide": "1 hour"}
     q = W.start_alerts(spans.withWatermark("start_ts", "1 day"), lambda df, i: got.extend(df.collect()), str(tmp_path / "a"), **options)
     q.processAllAvailable()
@@ -339,12 +340,35 @@ def test_streams(spark, data, tmp_path):
     static = spark.read.parquet(f"{data}/events.parquet").select(F.col("ts").cast("timestamp").alias("start_ts"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "x").alias("error"))
     want = W.anomaly_alerts(static, **options)
     assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and got
-    q = W.auto_rca(spans, lambda df: df.agg(F.count("*").alias("n")), lambda df, i: reports.extend(df.collect()), str(tmp_path / "b"), **options)
-    q.processAllAvailable()
+
+
+def test_windows_across_micro_batches(spark, tmp_path):
+    """Alerts and their spans equal those of the static table on a stream cut into many batches, late rows included."""
+    rng = random.Random(6)
+    rows = [(at(rng.uniform(0, 400)), round(rng.expovariate(1 / 300), 2) if rng.random() < 0.95 else None, "bad" if 100 < i < 160 and rng.random() < 0.5 else None, i) for i in range(300)]
+    rows.sort(key=lambda r: r[0] + dt.timedelta(seconds=rng.uniform(0, 25)))  # up to 25 seconds late
+    rows.append((at(900), 1.0, None, 300))  # closes the windows of the others
+    schema = "start_ts timestamp, duration_ms double, error string, id long"
+    options = {"lat_thr": 700.0, "threshold": 0.4}
+    static = spark.createDataFrame(rows, schema)
+    stream, seen, reports = spark.readStream.schema(schema).parquet(str(tmp_path / "in")) if (tmp_path / "in").mkdir() is None else None, [], []
+    stream = stream.withWatermark("start_ts", "30 seconds")
+    q = W.auto_rca(stream, lambda df: df.groupBy("window_start").agg(F.sort_array(F.collect_list("id")).alias("ids")), lambda df, i: reports.extend((r["window_start"], r["ids"], i) for r in df.collect()), str(tmp_path / "a"), **options)
+    stats = W.pane_stats(stream).drop("closed")
+    q2 = stats.writeStream.option("checkpointLocation", str(tmp_path / "b")).foreachBatch(lambda df, i: seen.extend(df.collect())).start()
+    for i in range(0, len(rows), 60):
+        spark.createDataFrame(rows[i : i + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        q2.processAllAvailable()
     q.stop()
-    windows = want.select("window_start").distinct()
-    inside = static.join(windows, (F.col("start_ts") >= F.col("window_start")) & (F.col("start_ts") < F.col("window_start") + F.expr("interval 6 hours")), "left_semi").count()
-    assert [r["n"] for r in reports] == [inside]
+    q2.stop()
+    before = "window_end <= timestamp '2024-01-01 00:14:30'"
+    show = lambda r: (r["window_start"], r["total"], r["errors"], r["avg_ms"] and round(r["avg_ms"], 6), r["p95_ms"], r["max_ms"])
+    want = sorted(show(r) for r in W.sliding_window_stats(static).filter(before).collect())
+    assert sorted(show(r) for r in seen) == want == sorted(show(r) for r in W.pane_stats(static).filter(before).collect())
+    alerts = {r["window_start"] for r in W.anomaly_alerts(static, **options).collect()} - {r["window_start"] for r in W.sliding_window_stats(static).filter(f"not ({before})").collect()}
+    assert 3 < len(alerts) < len(want) and len({i for _, _, i in reports}) > 1
+    assert {w: ids for w, ids, _ in reports} == {w: sorted(r[3] for r in rows if w <= r[0] < w + dt.timedelta(seconds=60)) for w in alerts} and len(reports) == len(alerts)
 
 
 def test_stream_of_span_events(spark, tmp_path):
