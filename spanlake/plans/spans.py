@@ -14,6 +14,7 @@ from spanlake.operators import cycles as Y
 from spanlake.operators import findings as R
 from spanlake.operators import graph as G
 from spanlake.operators import history as H
+from spanlake.operators import intervals as I
 from spanlake.operators import topology as T
 from spanlake.plans.views import oracle, view
 from spanlake.sources import files as FS
@@ -334,6 +335,15 @@ _CLOSURE = """cl AS (SELECT span_id, span_id AS ancestor_id, 0 AS distance FROM
   UNION ALL SELECT cl.span_id, n.parent_span_id, cl.distance + 1 FROM cl JOIN nodes_heap n ON n.span_id = cl.ancestor_id WHERE n.parent_span_id IS NOT NULL)"""
 
 
+@query(f"""
+WITH RECURSIVE {_CLOSURE}
+SELECT ancestor_id AS root_id, cl.span_id AS affected_id, distance::BIGINT AS distance FROM cl JOIN nodes_heap a ON a.span_id = ancestor_id JOIN nodes_heap b ON b.span_id = cl.span_id
+WHERE distance > 0 AND a.error IS NOT NULL AND b.error IS NOT NULL""")
+def j08_cascading_intervals(spark, d):
+    """J08 by pre-order intervals instead of the closure."""
+    return I.cascading_failures(_nodes(spark, d))
+
+
 @query(f"""
 WITH RECURSIVE {_CLOSURE}
 SELECT ancestor_id AS root_id, cl.span_id AS affected_id, distance::BIGINT AS distance FROM cl JOIN nodes_heap a ON a.span_id = ancestor_id JOIN nodes_heap b ON b.span_id = cl.span_id
@@ -540,6 +550,17 @@ def g15_find_cycles(spark, d):
     return c.select(F.array_join(c.members.cast("array<string>"), ",").alias("members"), F.col("length").cast("bigint").alias("length"))
 
 
+@query(f"""
+WITH RECURSIVE {_CLOSURE},
+p AS (SELECT cl.span_id, max_by(ancestor_id, distance) AS root_id, max(distance)::BIGINT AS depth, string_agg(concat(lpad(CAST(CAST(n.start_time AS DECIMAL(18, 3)) AS VARCHAR), 20, '0'), '|', n.span_id), '/' ORDER BY distance DESC) AS sort_path
+  FROM cl JOIN nodes_heap n ON n.span_id = ancestor_id GROUP BY 1),
+k AS (SELECT ancestor_id AS span_id, count(*) AS n FROM cl GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY sort_path) - 1 AS pre FROM p JOIN k USING (span_id))
+SELECT span_id, root_id, pre, pre + n - 1 AS last, depth FROM o""")
+def g14_tree_intervals(spark, d):
+    return I.tree_intervals(_nodes(spark, d))
+
+
 _COMPONENTS = """r AS (SELECT a, b FROM edges_docs UNION SELECT r.a, e.b FROM r JOIN edges_docs e ON e.a = r.b),
 comp AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
 

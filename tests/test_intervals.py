@@ -1,0 +1,81 @@
+"""Pre-order intervals against plain walks."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from spanlake.operators import graph as G
+from spanlake.operators import intervals as I
+
+NODES = "span_id string, parent_span_id string, start_time double, error string"
+
+
+def plain(rows):
+    parent = {s: p for s, p, _, _ in rows}
+    start = {s: t for s, _, t, _ in rows}
+    children = {}
+    roots = []
+    for s, p in parent.items():
+        if p is None or p == s or p not in parent:
+            roots.append(s)
+        else:
+            children.setdefault(p, []).append(s)
+    found = {}
+    for root in roots:
+        todo, no = [(root, 0)], 0
+        way = []
+        while todo:
+            s, depth = todo.pop()
+            way.append((s, depth))
+            found[s] = [root, no, no, depth]
+            no += 1
+            own = sorted(children.get(s, ()), key=lambda c: (start[c] is not None, start[c] or 0, c), reverse=True)
+            todo += [(c, depth + 1) for c in own]
+        for i in range(len(way) - 1, -1, -1):
+            s, depth = way[i]
+            found[s][2] = max([found[s][1], *(found[c][2] for c in children.get(s, ()))])
+    return {s: tuple(v) for s, v in found.items()}
+
+
+def forest(rng, n=400):
+    rows = []
+    for i in range(n):
+        p = rng.random()
+        up = None if p < 0.04 else "gone" if p < 0.06 else f"s{rng.randrange(max(0, i - 40), i)}" if i else None
+        rows.append((f"s{i}", up, None if rng.random() < 0.1 else float(rng.randint(0, 20)), "bad" if rng.random() < 0.3 else None))
+    rows += [("own", "own", 1.0, "bad"), ("under", "own", 1.0, "bad"), ("r1", "r2", 1.0, "bad"), ("r2", "r3", 1.0, "bad"), ("r3", "r1", 1.0, "bad"), ("r4", "r1", 1.0, "bad")]
+    return rows
+
+
+def test_intervals_and_pairs(spark):
+    rows = forest(random.Random(1))
+    nodes = spark.createDataFrame(rows, NODES).cache()
+    got = {r["span_id"]: (r["root_id"], r["pre"], r["last"], r["depth"]) for r in I.tree_intervals(nodes).collect()}
+    assert got == plain(rows)  # none for the circle r1, r2, r3 and what hangs below it
+    trees = nodes.filter("span_id not like 'r%'").cache()
+    want = {tuple(r) for r in G.cascading_failures(trees, G.ancestor_closure(trees)).select("root_id", "affected_id", "distance").collect()}
+    pairs = [tuple(r) for r in I.cascading_failures(nodes).select("root_id", "affected_id", "distance").collect()]
+    assert set(pairs) == want and len(pairs) == len(want) > 100
+
+
+def test_deep_chain(spark):
+    rows = [(f"{i:04d}", f"{i - 1:04d}" if i else None, 0.0, "bad" if i % 100 == 0 else None) for i in range(700)]
+    nodes = spark.createDataFrame(rows, NODES)
+    got = I.cascading_failures(nodes).collect()
+    assert len(got) == 21 and max(r["distance"] for r in got) == 600
+
+
+def test_dyadic_blocks(spark):
+    rng = random.Random(5)
+    spans = [(a, a + rng.randint(-1, 300)) for a in (rng.randint(0, 500) for _ in range(60))]
+    df = spark.createDataFrame(spans, "low long, high long").withColumn("b", I._blocks("low", "high"))
+    for r in df.collect():
+        parts = sorted((b["block"] << b["level"], ((b["block"] + 1) << b["level"]) - 1) for b in r["b"])
+        assert [x for lo, hi in parts for x in range(lo, hi + 1)] == list(range(r["low"], r["high"] + 1))
+        assert len(parts) <= 20
+
+
+def test_empty(spark):
+    nodes = spark.createDataFrame([], NODES)
+    assert I.tree_intervals(nodes).count() == 0 and I.cascading_failures(nodes).count() == 0
+    assert I.tree_intervals(spark.createDataFrame([("a", None, None, None)], NODES)).select("span_id", "pre", "last", F.col("depth")).first() == ("a", 0, 0, 0)
