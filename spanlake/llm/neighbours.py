@@ -151,12 +151,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return top[np.lexsort((ids[top], -scores[top]))[:most]]
 
 
-def _lists(asked: list[int], near: list[tuple[np.ndarray, np.ndarray]], kind=pa.RecordBatch):
+def _lists(asked: list[int], near: list[tuple[np.ndarray, np.ndarray]], form=pa.RecordBatch):
     """asked, near (structs of score, back = -point) of each query's candidates."""
     ends = pa.array(np.cumsum([0, *(len(s) for s, _ in near)]).astype(np.int32))
-    flat = [np.concatenate([*(x[i] for x in near), np.zeros(0)]) for i in (0, 1)]
-    pairs = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(-flat[1].astype(np.int64))], names=["score", "back"])
-    return kind.from_arrays([pa.array(asked, pa.int64()), pa.ListArray.from_arrays(ends, pairs)], names=["asked", "near"])
+    flat = [np.concatenate([*(x[i] for x in near), np.zeros(0, kind)]) for i, kind in ((0, np.float64), (1, np.int64))]
+    pairs = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(-flat[1])], names=["score", "back"])
+    return form.from_arrays([pa.array(asked, pa.int64()), pa.ListArray.from_arrays(ends, pairs)], names=["asked", "near"])
 
 
 _NEAR = "asked long, near array<struct<score:double,back:long>>"
@@ -218,12 +218,24 @@ def reach(far: np.ndarray, n: int, recall: float, least: int = 200, always: int
     return window if window <= WIDEST and 2 * window * len(far) < max(n, always) else None
 
 
+#: Points beside the first of an id are numbered from here on, over 2**61 numbers.
+_OTHERS = -(1 << 62)
+
+
 def nearest(
     vectors: DataFrame, queries: str | Column, k: int = 20, curves: int = 48, window: int | None = None, recall: float = 0.94,
     dims: int = 8, bits: int = 7, block: int = 20_000, sample: int = 20_000, probes: int = 256, spare: int = 10, seed: int = 11,
 ) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) where the condition `queries` holds: its k nearest
-    other rows by inner product, as query_id, rank, vec_id, score; ties to the smaller vec_id.
+    other rows by inner product, as query_id, rank, vec_id, score, query_version; ties to the smaller vec_id.
+
+    Exact search in blocks (`gridded`, all queries by all points) answers instead of the curves where fewer than
+    100 points are sampled, where the window would have to be over 50,000 points, and where the measured window
+    costs more comparisons than there are points (or 50,000, if there are fewer).
+
+    Rows of one vec_id with different vectors are different rows: each is a candidate, and each that is
+    asked has an answer of its own under that query_id; query_version is 0 for the one of the
+    smallest hashes and a hash for the others. A row is no candidate for itself, the others of its id are.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those
     whose length isn't the most common one (ties to the longer): they have no inner product with the
@@ -247,16 +259,16 @@ def nearest(
     v = v.withColumn("x", F.transform("x", lambda e: e + F.lit(0.0)))
     common = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_version long")
     d = common["d"]
     v = v.filter(F.size("x") == d).withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), "x")})
     # keys are costly: a small table is dealt to 64 tasks, a large one to tasks of 100,000 rows
     v = v.repartition(max(min(math.ceil(common["count"] / 2000), 64), math.ceil(common["count"] / 100_000)), "h1", "h2")
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
     firsts = v.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("no", F.row_number().over(order)).filter(F.col("no") <= k + 1)
-    points = firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("point"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("x", "vec_id").alias("x"))
+    points = firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("x", "vec_id").alias("x"))
     asking = v.filter("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
-    points = stored(points.join(asking.select("h1", "h2", F.lit(True).alias("asks")).distinct(), ["h1", "h2"], "left"))
+    points = _told_apart(stored(points.join(asking.select("h1", "h2", F.lit(True).alias("asks")).distinct(), ["h1", "h2"], "left")))
     squares = F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e)
     n, q, most = points.agg(F.count("*"), F.count("asks"), F.sqrt(F.max(squares))).first()
     near = _candidates(points, n, q, d, most, k + 1 + spare, k, curves, window, recall, dims, bits, block, sample, probes, seed)
@@ -264,13 +276,25 @@ def nearest(
     pairs = near.select("asked", F.explode("near.back").alias("back")).select("asked", (-F.col("back")).alias("point"))
     both = pairs.join(points.select("point", "ids", F.col("x").alias("y")), "point").join(points.filter("asks").select(F.col("point").alias("asked"), "x"), "asked")
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
-    ids = both.select("asked", "ids", score.alias("score")).select("asked", "score", F.explode("ids").alias("vec_id"))
-    first = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    ids = both.select("asked", "point", "ids", score.alias("score")).select("asked", "score", "point", F.explode("ids").alias("vec_id"))
+    first = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "point")
     ids = ids.withColumn("no", F.row_number().over(first)).filter(F.col("no") <= k + 1)
-    lists = ids.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("no", "vec_id", "score"))).alias("near"))
+    lists = ids.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("no", "vec_id", "score", "point"))).alias("near"))
     answers = asking.join(points.select("h1", "h2", "point"), ["h1", "h2"]).join(lists, F.col("asked") == F.col("point"))
-    mine = answers.select("query_id", F.posexplode(F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k)).alias("i", "e"))
-    return mine.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
+    others = F.filter("near", lambda e: (e["vec_id"] != F.col("query_id")) | (e["point"] != F.col("point")))
+    version = F.when(F.col("point") < _OTHERS + (1 << 61), F.col("point")).otherwise(0).cast("long")
+    mine = answers.select("query_id", version.alias("query_version"), F.posexplode(F.slice(others, 1, k)).alias("i", "e"))
+    return mine.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "e.vec_id", "e.score", "query_version")
+
+
+def _told_apart(points: DataFrame) -> DataFrame:
+    """`points` with a `point` of its own for each: its `first` id, which also orders ties, but for all but one of
+    the vectors (the one of the smallest hashes) that share it: a hash below all usual ids."""
+    shared = cut(points.groupBy("first").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("kept")).filter("n > 1").select("first", "kept"))
+    shared = F.broadcast(shared) if shared.count() <= 200_000 else shared
+    other = F.col("kept").isNotNull() & (F.struct("h1", "h2") != F.col("kept"))
+    hashed = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 61)) + _OTHERS
+    return points.join(shared, "first", "left").withColumn("point", F.when(other, hashed).otherwise(F.col("first"))).drop("kept", "first")
 
 
 def _candidates(points, n, q, d, longest, most, k, curves, window, recall, dims, bits, block, sample, probes, seed) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from spanlake.llm.common import without
 from spanlake.llm.decontaminate import align, contaminated
@@ -333,3 +334,25 @@ def test_pipeline_on_odd_rows(spark, data):
         docs = spark.createDataFrame(stage(spark, docs, data).toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}).astype(object).where(lambda x: x.notna(), None).values.tolist(), "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == [(1, "the words of one text are here"), (7, "mail [EMAIL]"), (None, "no id at all here")]
     assert P.STAGES[-1][1](spark, docs, data).count() > 0
+
+
+def test_one_id_with_different_vectors(spark):
+    """Each is a query and a candidate of its own; results equal all inner products."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 6)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(300)] + [(0, (-x[0]).tolist()), (0, x[7].tolist()), (2**61 + 20 - 2**61 % 20, x[9].tolist()), (41, x[0].tolist()), (40, x[40].tolist())]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0").collect()
+    kept = list(dict.fromkeys((i, tuple(v)) for i, v in rows))
+    want, y = {}, [np.array(v, np.float64) for _, v in kept]
+    for n, (i, v) in enumerate(kept):
+        if i % 20 == 0:
+            score = [(-sum(a * b for a, b in zip(y[n], y[m], strict=True)), kept[m][0]) for m in range(len(kept)) if m != n]
+            want.setdefault(i, []).append([(j, -s) for s, j in sorted(score)[:20]])
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], {}).setdefault(r["query_version"], []).append((r["vec_id"], r["score"]))
+    assert found.keys() == want.keys() and len(found[0]) == 3 and len(found[40]) == 1
+    for i, versions in found.items():
+        for mine, own in zip(sorted(versions.values()), sorted(want[i]), strict=True):
+            assert [j for j, _ in mine] == [j for j, _ in own]
+            assert [s for _, s in mine] == pytest.approx([s for _, s in own], rel=1e-12)
