@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, cut, encoded, scratch, spread_join
+from spanlake.llm.common import Words, combined, cut, encoded, scratch, sliced, spread_join, within
 
 #: log2 of the bits of the gram filter that every task holds: 2 MB, with many grams up to 32 MB.
 FILTER_BITS, MOST_FILTER_BITS = 24, 28
+#: Items of fewer words match nothing; so many seeds of a passage are asked for, if a passing alignment must keep as many.
+LEAST_WORDS, SEEDS = 3, 3
+#: Text bytes that a task handles at once.
+BATCH_BYTES = 4 << 20
 #: Longer items are taken as parts of so many words.
 ITEM_WORDS = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -47,29 +51,64 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     return best >> (bits_a + bits_b), (best >> bits_b) & ((1 << bits_a) - 1), best & (hit - 1), end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least_seeds: int = 2, score_at: float = 0.5) -> DataFrame:
+def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position of the first word, and hash of each two words of a text that follow each other or have one word between them."""
+    owner = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+    found = []
+    for far in (1, 2):
+        at = np.flatnonzero(owner[far:] == owner[: len(owner) - far]) if len(owner) > far else np.zeros(0, np.int64)
+        found.append((owner[at], at - w.bounds[owner[at]], combined([w.hashes[at], w.hashes[at + far]], 7)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+class _Filter:
+    """Bits of hashed grams, which go to every task: 2**size, at most 2**MOST_FILTER_BITS."""
+
+    def __init__(self, grams: DataFrame, n: int):
+        self.size = min(max(FILTER_BITS, (32 * n).bit_length()), MOST_FILTER_BITS)
+        # rows of 64 bits: at most 2**22, whatever the input
+        slots = grams.select(F.expr(f"shiftrightunsigned(gram, {64 - self.size})").alias("slot"))
+        bits = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+        self.words, self.bits = (bits.column(i).to_numpy() for i in (0, 1))
+
+    def tester(self):
+        known = np.zeros(1 << (self.size - 6), np.uint64)
+        known[self.words] = self.bits.view(np.uint64)
+
+        def test(g: np.ndarray) -> np.ndarray:
+            slot = g >> np.uint64(64 - self.size)
+            return (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+        return test
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, score_at: float = 0.5) -> DataFrame:
     """Documents that hold (parts of) benchmark items: doc_id, item_id, score, matched, begin, end.
 
-    Words are split at ASCII spaces, A-Z in lower case. Seeds are all of the items' word
-    `seed_words`-grams, however common in the documents: an edited copy that stands in many of them
-    makes its own grams common, so no count tells those from phrases of no matter. A document's
-    passage around an item becomes a candidate where `least_seeds` different seeds (or all, if the
-    item has fewer) lie within half an item's length of one diagonal. Candidates are aligned word by
-    word (match 2, mismatch and gap -1); score is the alignment's share of the item's own score. The
-    best row for each (doc_id, item_id) with score >= score_at comes back; begin and end count words.
-    A copy that is edited so evenly that fewer seeds are left isn't found.
-
-    Null ids, null and empty texts and items of fewer than seed_words words match nothing. Repeated rows
-    give one row; an item_id with several texts counts by the best of them. An item of more than
+    Words are split at ASCII spaces, A-Z in lower case, and aligned word by word (match 2, mismatch and gap -1);
+    score is the alignment's share of the item's own score. The best row for each (doc_id, item_id) with
+    score >= score_at (0 to 1) comes back; begin and end count words. Every such alignment is found:
+
+    With n words in the item, k matches and e edits, 2k - e >= 2n * score_at. Of the k - 1 gaps between
+    matches that follow each other, those of two or more edits use up 2 edits each, so at least T =
+    n * score_at - 1 have one edit at most. There, two words of the item that follow each other, or have one
+    word between them, stand in the document in the same way. Call these pairs a position of the item; T of
+    its n - 1 positions are hit, so of any n - 1 - T + j positions at least j. The rarest ones, by how often their
+    pairs occur in all documents, are the item's seeds, with j = 3, or T if that is less. A passage is a
+    candidate where j seeds are hit along diagonals that lie no more than n apart, as those of one
+    alignment do. Common phrases are no seeds unless the item has nothing rarer.
+
+    Null ids, null and empty texts and items of fewer than LEAST_WORDS words match nothing. Repeated rows
+    give one row; a doc_id or item_id with several texts counts by the best of them. An item of more than
     ITEM_WORDS words is taken as parts of that length, and the best part counts. Other columns are ignored.
 
-    The documents are read once. Each task tests all grams against a bit filter (2 to 32 MB, by the number
-    of the items' grams) and keeps the passages (an item's longest length to both sides) of those that
-    pass; the join with the items' grams and all counting are Spark joins, over whose tasks frequent grams
-    and passages are spread. The filter is ORed from the tasks' bits. Passages with the same seeds at the
-    same distances are joined with the items once, and equal passages are aligned once, so a passage that
-    is copied everywhere costs little more than one.
+    The documents are read three times: to count the items' pairs, to find seeds, and for the texts of candidates, the
+    only ones that move. Tasks test pairs against a bit filter (2 to 32 MB, by their number; ORed from the tasks' bits);
+    hits meet the seeds in a Spark join over whose tasks frequent seeds are spread. Equal items are one.
     """
+    if not 0 < score_at <= 1:
+        raise ValueError("score_at is a share")
+
     def parts(batches):
         for batch in batches:
             rows = []
@@ -78,118 +117,103 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
                 rows += [(i, lo // ITEM_WORDS, w.buf[w.starts[lo] : w.ends[min(lo + ITEM_WORDS, len(w.starts)) - 1]].decode("utf-8", "replace")) for lo in range(0, len(w.starts), ITEM_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["item_id", "part", "text"])
 
-    def item_grams(batches):
-        for batch in batches:
-            texts = encoded(batch.column(1))
-            w = Words(texts)
-            g = w.grams(seed_words)
-            owner, whole = w.text_of(seed_words)
-            at = np.flatnonzero(whole)
-            keys = batch.column(0).take(pa.array(owner[at]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(at - w.bounds[owner[at]]), pa.array(g[at].view(np.int64)), pa.array(np.diff(w.bounds)[owner[at]])], names=["item", "item_at", "gram", "item_words"])
-
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    items = items.mapInArrow(parts, "item_id long, part long, text string").select("item_id", F.xxhash64("item_id", "part", "text").alias("item"), "text").dropDuplicates(["item"])
+    items = items.mapInArrow(parts, "item_id long, part long, text string").select("item_id", F.xxhash64("text").alias("item"), "text")
+    own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     with scratch(items) as items:
-        return _contaminated(docs, items, item_grams, seed_words, least_seeds, score_at)
-
-
-def _contaminated(docs: DataFrame, items: DataFrame, item_grams, seed_words: int, least_seeds: int, score_at: float) -> DataFrame:
-    seeds = cut(items.select("item", "text").mapInArrow(item_grams, "item long, item_at long, gram long, item_words long"))
-    kinds = seeds.groupBy("item").agg(F.count_distinct("gram").alias("kinds"))
-    seeds = cut(seeds.join(kinds, "item"))
-    grams, longest = seeds.agg(F.count("*"), F.max("item_words")).first()
-    size = min(max(FILTER_BITS, (32 * grams).bit_length()), MOST_FILTER_BITS)
-    longest = longest or 0
-    # 2**size bits as rows of 64: at most 2**22 rows, whatever the input; `few` has the grams that do alone
-    slots = seeds.select(F.expr(f"shiftrightunsigned(gram, {64 - size})").alias("slot"), (F.col("kinds") < least_seeds).alias("few"))
-    slots = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"), "few")
-    bits = slots.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or(F.when(F.col("few"), F.col("bit")).otherwise(0)).alias("few")).toArrow()
-    filled, value, lone = (bits.column(i).to_numpy() for i in (0, 1, 2))
-
-    def tester(words):
-        known = np.zeros(1 << (size - 6), np.uint64)
-        known[filled] = words.view(np.uint64)
-
-        def test(g):
-            slot = g >> np.uint64(64 - size)
-            return (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+        texts = cut(items.groupBy("item").agg(F.first("text").alias("text")))
+        seeds = _rarest(own, texts, score_at)
+        near = _candidates(own, seeds)
+        scored = _aligned(own, near, texts, score_at)
+        best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("best")
+        ids = items.select("item", "item_id").distinct()
+        return cut(scored.join(ids, "item").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"))
 
-        return test
 
-    def passages(batches):
-        known, alone = tester(value), tester(lone) if lone.any() else lambda g: np.zeros(len(g), bool)
-        for batch in batches:
-            texts = encoded(batch.column(1))
-            rows: list[tuple] = []
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
-                g = w.grams(seed_words)
-                hit = np.flatnonzero(known(g))
-                owner, whole = w.text_of(seed_words)
-                hit = hit[whole[hit]]
-                if not len(hit):
-                    continue
-                new = np.flatnonzero(np.concatenate(([True], (owner[hit[1:]] != owner[hit[:-1]]) | (hit[1:] - hit[:-1] > 2 * longest))))
-                for b, e in zip(new, [*new[1:], len(hit)], strict=True):
-                    if e - b < least_seeds and not alone(g[hit[b:e]]).any():
-                        continue
-                    doc = owner[hit[b]]
-                    first = max(w.bounds[doc], hit[b] - longest)
-                    last = min(w.bounds[doc + 1], hit[e - 1] + seed_words + longest)
-                    text = w.buf[w.starts[first] : w.ends[last - 1]].decode("utf-8", "replace")
-                    rows.append((lo + doc, first - w.bounds[doc], text, hit[b:e] - first, g[hit[b:e]].view(np.int64)))
-            if rows:
-                ends = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64))) for k in (3, 4)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r[0] for r in rows])), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), *lists],
-                    names=["doc_id", "first", "passage", "at", "grams"],
-                )
+def _rarest(docs: DataFrame, texts: DataFrame, score_at: float) -> DataFrame:
+    """gram, item, place, words, need: the seeds of each item, see `contaminated`."""
 
-    own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with scratch(own.mapInArrow(passages, "doc_id long, first long, passage string, at array<long>, grams array<long>")) as found:
-        return _aligned(found, seeds, items, least_seeds, score_at)
-
-
-def _aligned(found: DataFrame, seeds: DataFrame, items: DataFrame, least_seeds: int, score_at: float) -> DataFrame:
-    """The passages' candidate items, aligned; the best row for each document and item."""
-    # a shape is the seeds of a passage and their distances; its zones count from its first seed
-    found = found.withColumns({"lead": F.col("at")[0], "shape": F.struct(*(F.xxhash64(F.lit(k), F.transform("at", lambda a: a - F.col("at")[0]), "grams").alias(f"s{k}") for k in (1, 2)))})
-    found = found.withColumn("copy", F.struct(*(F.xxhash64(F.lit(k), "passage").alias(f"p{k}") for k in (1, 2))))
-    shapes = found.groupBy("shape").agg(F.first(F.arrays_zip("at", "grams")).alias("h")).select("shape", F.col("h")[0]["at"].alias("lead"), F.explode("h").alias("h"))
-    hits = shapes.select("shape", (F.col("h.at") - F.col("lead")).alias("at"), F.col("h.grams").alias("gram"))
-
-    near = spread_join(cut(hits), seeds, ["gram"]).withColumn("shift", F.col("at") - F.col("item_at"))
-    half = F.floor(F.col("shift") * 2 / F.col("item_words"))
-    near = near.select("shape", "item", "gram", "kinds", F.explode(F.array(half, half + 1)).alias("zone")).distinct()
-    near = near.groupBy("shape", "item", "zone").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
-    near = near.filter(F.col("n") >= F.least(F.lit(least_seeds), "kinds"))
-    near = near.groupBy("shape", "item").agg(F.min("zone").alias("low"), F.max("zone").alias("high"))
-    near = cut(spread_join(found.select("doc_id", "first", "lead", "shape", "copy"), near, ["shape"]).drop("shape"))
-
-    one = near.groupBy("copy").agg(F.min(F.struct("doc_id", "first")).alias("one")).select("copy", "one.*")
-    texts = found.select("doc_id", "first", "copy", "passage").join(one, ["doc_id", "first", "copy"]).dropDuplicates(["copy"]).select("copy", "passage")
-    pairs = near.select("copy", "item", "lead", "low", "high").distinct().join(texts, "copy").join(items, "item")
+    def item_pairs(batches):
+        for batch in batches:
+            w = Words(encoded(batch.column(1)))
+            owner, at, gram = _pairs(w)
+            n = np.diff(w.bounds)[owner]
+            keep = n >= LEAST_WORDS
+            keys = batch.column(0).take(pa.array(owner[keep]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(at[keep]), pa.array(gram[keep].view(np.int64)), pa.array(n[keep])], names=["item", "place", "gram", "words"])
+
+    pairs = cut(texts.select("item", "text").mapInArrow(item_pairs, "item long, place long, gram long, words long"))
+    bits = _Filter(pairs, pairs.count())
+
+    def counted(batches):
+        known = bits.tester()
+        for whole in batches:
+            for batch in sliced(whole, 0, BATCH_BYTES):
+                gram = _pairs(Words(encoded(batch.column(0))))[2]
+                gram, n = np.unique(gram[known(gram)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    often = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    places = pairs.join(often, "gram", "left").groupBy("item", "place").agg(F.sum(F.coalesce("n", F.lit(0))).alias("often"), F.first("words").alias("words"))
+    kept = F.greatest(F.lit(1), F.ceil(F.col("words") * F.lit(str(score_at)).cast("decimal(20,15)")) - 1).cast("long")
+    places = places.withColumn("kept", kept).withColumn("need", F.least(F.lit(SEEDS), "kept"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "place"))
+    chosen = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("words") - 1 - F.col("kept") + F.col("need")).select("item", "place", "need")
+    return cut(pairs.join(chosen, ["item", "place"]))
+
+
+def _candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """doc_id, copy, item, low, high: documents and the zones (an item's length each) whose seeds suffice."""
+    n, longest, least = seeds.agg(F.count("*"), F.coalesce(F.max("words"), F.lit(0)), F.coalesce(F.min("need"), F.lit(1))).first()
+    bits = _Filter(seeds, n)
+    lone = seeds.filter("need = 1")
+    alone = _Filter(lone, lone.count()) if least == 1 else None
+
+    def hits(batches):
+        known, single = bits.tester(), alone.tester() if alone else lambda g: np.zeros(len(g), bool)
+        for whole in batches:
+            for batch in sliced(whole, 2, BATCH_BYTES):
+                owner, at, gram = _pairs(Words(encoded(batch.column(2))))
+                hit = np.flatnonzero(known(gram))
+                hit = hit[np.lexsort((at[hit], owner[hit]))]
+                owner, at, gram = owner[hit], at[hit], gram[hit]
+                # one hit suffices for few items only; others have another within reach
+                close = (np.diff(owner) == 0) & (np.diff(at) <= 3 * longest)
+                keep = np.concatenate((close, [False])) | np.concatenate(([False], close)) | single(gram) if len(hit) else np.zeros(0, bool)
+                row = pa.array(owner[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at[keep]), pa.array(gram[keep].view(np.int64))], names=["doc_id", "copy", "at", "gram"])
+
+    with scratch(docs.mapInArrow(hits, "doc_id long, copy long, at long, gram long")) as found:
+        met = spread_join(found, seeds, ["gram"]).withColumn("zone", F.floor((F.col("at") - F.col("place")) / F.col("words")))
+        met = met.select("doc_id", "copy", "item", "place", "need", F.explode(F.array("zone", F.col("zone") + 1)).alias("zone")).distinct()
+        met = met.groupBy("doc_id", "copy", "item", "zone").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need")
+        return cut(met.groupBy("doc_id", "copy", "item").agg(F.min("zone").alias("low"), F.max("zone").alias("high")))
+
+
+def _aligned(docs: DataFrame, near: DataFrame, texts: DataFrame, score_at: float) -> DataFrame:
+    """doc_id, item, score, matched, begin, end of the candidates that reach score_at."""
+    lists = near.join(texts, "item").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item", "low", "high", "text")).alias("near"))
+    key = F.xxhash64("doc_id", "copy")
+    held = within(docs.withColumn("key", key), "key", near.select(key.alias("key")).distinct()).drop("key").dropDuplicates(["doc_id", "copy"])
 
     def score(batches):
         for batch in batches:
-            sides = [encoded(batch.column(c)) for c in ("text", "passage")]
-            low, high, lead = (batch.column(c).to_numpy() for c in ("low", "high", "lead"))
-            out = np.zeros((batch.num_rows, 4))
-            for lo, hi in chunks(sides[1]):
-                a, b = (Words(t[lo:hi]) for t in sides)
-                for i in range(hi - lo):
-                    x, y = (w.hashes[w.bounds[i] : w.bounds[i + 1]] for w in (a, b))
+            rows: list[tuple] = []
+            for doc, text, near in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                y = Words([text]).hashes
+                items = Words(encoded(pa.array([c["text"] for c in near], pa.string())))
+                for i, c in enumerate(near):
+                    x = items.hashes[items.bounds[i] : items.bounds[i + 1]]
                     n = len(x)
-                    begin = max(0, int((low[lo + i] - 1) * n / 2) - n + lead[lo + i])
-                    y = y[begin : int((high[lo + i] + 1) * n / 2) + 2 * n + lead[lo + i]]
-                    s, k, p, q = align(x, y)
-                    out[lo + i] = s / (MATCH * n), k, p + begin, q + begin
-            yield pa.RecordBatch.from_arrays([batch.column("copy"), batch.column("item"), batch.column("item_id"), pa.array(out[:, 0]), *(pa.array(out[:, k].astype(np.int64)) for k in (1, 2, 3))], names=["copy", "item", "item_id", "score", "matched", "begin", "end"])
-
-    scored = pairs.mapInArrow(score, "copy struct<p1:long,p2:long>, item long, item_id long, score double, matched long, begin long, end long").filter(F.col("score") >= score_at)
-    scored = spread_join(near.select("doc_id", "first", "copy", "item"), scored, ["copy", "item"])
-    scored = scored.withColumns({"begin": F.col("begin") + F.col("first"), "end": F.col("end") + F.col("first")})
-    best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("best")
-    return cut(scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"))
+                    begin = max(0, (c["low"] - 2) * n)
+                    part = y[begin : (c["high"] + 3) * n]
+                    if np.isin(x, part).sum() < n * score_at:  # fewer words than any passing alignment matches
+                        continue
+                    s, k, p, q = align(x, part)
+                    if s >= score_at * MATCH * n:
+                        rows.append((doc, c["item"], s / (MATCH * n), k, p + begin, q + begin))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 2 else pa.int64()) for i, c in enumerate(columns)], names=["doc_id", "item", "score", "matched", "begin", "end"])
+
+    return held.join(lists, ["doc_id", "copy"]).select("doc_id", "text", "near").mapInArrow(score, "doc_id long, item long, score double, matched long, begin long, end long")
