@@ -502,6 +502,25 @@ def c01_code_units(spark, d):
     return u.select("source_file", "name", "qualified_name", "unit_type", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
 
 
+_BRACES = {
+    "j{}.ts": 'function f{}(a) {\n  const s = "}" + `{${f("}", `}`)}{`; const r = /[}]/;\n',
+    "g{}.go": "func f{}(a int) error {\n\ts := `}` + \"}\"; c := '}'\n",
+    "v{}.java": 'class f{} {\n  String s = "}"; char c = \'}\'; /* } */\n',
+}
+_TAILS = {"j{}.ts": "\n}\nfunction g() { return 1; }\n", "g{}.go": "\n}\nfunc g() {}\n", "v{}.java": "\n}\nclass g { }\n"}
+
+
+@query("""
+WITH l AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), k AS (SELECT unnest(['j', 'g', 'v']) AS k, unnest(['.ts', '.go', '.java']) AS e, unnest(['function', 'function', 'class']) AS unit_type)
+SELECT concat(k, doc_id, e) AS source_file, concat('f', doc_id) AS name, unit_type, 1 AS start_line, (n + 3)::INT AS end_line FROM l CROSS JOIN k
+UNION ALL SELECT concat(k, doc_id, e), 'g', unit_type, (n + 4)::INT, (n + 4)::INT FROM l CROSS JOIN k""")
+def c01_brace_units(spark, d):
+    """C01 for brace languages: braces in strings, templates, characters and comments; the texts are comments in the first unit."""
+    made = [_files(spark, d, path, head, "// { ").withColumn("content", F.concat("content", F.lit(_TAILS[path]))) for path, head in _BRACES.items()]
+    u = C.extract_code_units(made[0].unionByName(made[1]).unionByName(made[2]))
+    return u.select("source_file", "name", "unit_type", "start_line", "end_line")
+
+
 @query(r"""
 WITH f AS (SELECT doc_id, concat('SELECT k, SUM(v) AS total FROM t', doc_id, ' JOIN u ON a = b GROUP BY k;', chr(10), regexp_replace(translate(text, chr(13), ' '), '(?m)^', '-- ', 'g')) AS c FROM documents)
 SELECT concat('m', doc_id, '.sql') AS path, array_to_string(list_concat(list_filter(regexp_extract_all(c, '(?i)\bFROM\s+(\w+(?:\.\w+)*)', 1), lambda t: lower(t) NOT IN ('select', 'where', 'set', 'values', 'null')), regexp_extract_all(c, '(?i)\bJOIN\s+(\w+(?:\.\w+)*)', 1)), ',') AS tables, 'SUM' AS aggregates
