@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import normalize_hex_route, normalize_route, route_matches, tokenize
+from spanlake.operators.contains import containing
 from spanlake.operators.graph import cut
 
 
@@ -90,11 +91,12 @@ def search_log_pattern(queries: DataFrame, units: DataFrame, k: int = 5) -> Data
     """Units of which a log pattern holds a query's text or lies in it (lower case); the first such
     pattern counts: score = max(0.5, shared words / the query's words).
 
-    The stated queries are broadcast by Spark where they're small; patterns are met one by one.
+    Texts and patterns meet through an index of trigrams (see `containing`), both ways.
     """
     patterns = units.select("unit_id", F.posexplode("log_patterns").alias("pos", "p")).withColumn("p", F.lower("p"))
     q = queries.select("query_id", F.lower("text").alias("q"))
-    met = patterns.join(q, F.col("p").contains(F.col("q")) | F.col("q").contains(F.col("p")))
+    pairs = containing(q, patterns, "q", "p").unionByName(containing(patterns, q, "p", "q")).distinct()
+    met = q.join(cut(pairs), "q").join(patterns, "p")
     first = met.groupBy("query_id", "unit_id").agg(F.min_by("p", "pos").alias("p"), F.first("q").alias("q"))
     words = lambda c: F.array_distinct(F.split(c, r"\s+"))
     share = F.size(F.array_intersect(words("p"), words("q"))) / F.greatest(F.size(words("q")), F.lit(1))
@@ -194,13 +196,15 @@ def lookup_route_fuzzy(queries: DataFrame, units: DataFrame, k: int = 1) -> Data
 def lookup_body(queries: DataFrame, units: DataFrame, k: int = 3) -> DataFrame:
     """Functions and methods whose body holds the text, in lower case."""
     code = units.filter(F.col("unit_type").contains("function") | (F.col("unit_type") == "method")).select("unit_id", F.lower("body_text").alias("b"))
-    return _first(code.join(queries.select("query_id", F.lower("text").alias("t")), F.col("b").contains(F.col("t"))).select("query_id", "unit_id", F.lit(1.0).alias("score")), k)
+    asked = queries.select("query_id", F.lower("text").alias("t"))
+    met = containing(asked, code, "t", "b").select("t", F.xxhash64("b").alias("h")).join(asked, "t").select("query_id", "h")
+    return _first(code.select("unit_id", F.xxhash64("b").alias("h")).join(met, "h").select("query_id", "unit_id", F.lit(1.0).alias("score")), k)
 
 
 def lookup_path(queries: DataFrame, units: DataFrame, k: int = 1000) -> DataFrame:
-    """Units of files whose path holds the text; distinct paths are tried, not units."""
-    files = units.select("source_file").distinct()
-    met = files.join(queries, F.lower("source_file").contains(F.lower("text"))).select("query_id", "source_file")
+    """Units of files whose path holds the text."""
+    files, asked = units.select("source_file", F.lower("source_file").alias("p")), queries.select("query_id", F.lower("text").alias("t"))
+    met = containing(asked, files, "t", "p").join(asked, "t").join(files.distinct(), "p").select("query_id", "source_file").distinct()
     return _first(met.join(units.select("unit_id", "source_file"), "source_file").select("query_id", "unit_id", F.lit(1.0).alias("score")), k)
 
 
@@ -215,10 +219,10 @@ def lookup_keywords(queries: DataFrame, units: DataFrame, k: int = 3) -> DataFra
     code = units.filter(F.col("unit_type").isin("function", "method", "async_function"))
     code = code.select("unit_id", F.lower("name").alias("n"), F.lower("qualified_name").alias("q"), F.lower("source_file").alias("p"), F.lower(F.substring("body_text", 1, 2000)).alias("b"))
     words = queries.select("query_id", F.explode(F.filter("keywords", lambda w: F.length(w) > 2)).alias("w")).withColumn("w", F.lower("w"))
-    w = F.col("w")
-    points = F.when(F.col("n").contains(w), 3.0).when(F.col("q").contains(w), 2.0).when(F.col("p").contains(w), 1.5).when(F.col("b").contains(w), 1.0)
-    asked = words.select("w").distinct()
-    scored = code.join(asked, F.col("q").contains(w) | F.col("n").contains(w) | F.col("p").contains(w) | F.col("b").contains(w)).select("unit_id", "w", points.alias("s"))
+    fields = F.array(*(F.struct(F.lit(points).alias("s"), F.col(c).alias("t")) for points, c in ((3.0, "n"), (2.0, "q"), (1.5, "p"), (1.0, "b"))))
+    code = code.select("unit_id", F.explode(fields).alias("f")).select("unit_id", "f.s", "f.t")
+    met = containing(words, code, "w", "t").select("w", F.xxhash64("t").alias("h"))
+    scored = code.select("unit_id", "s", F.xxhash64("t").alias("h")).join(met, "h").groupBy("unit_id", "w").agg(F.max("s").alias("s"))
     sums = scored.join(words, "w").groupBy("query_id", "unit_id").agg(F.sum("s").alias("score"))
     return _top(sums, k)
 
@@ -226,37 +230,94 @@ def lookup_keywords(queries: DataFrame, units: DataFrame, k: int = 3) -> DataFra
 # --- S07 ------------------------------------------------------------------------------------------------------
 
 
-def svd_embeddings(units: DataFrame, d: int = 64, vocabulary: int = 20_000) -> DataFrame:
-    """unit_id, vector: L2-normalised TF-IDF rows projected on the d first right singular vectors.
+def svd_embeddings(units: DataFrame, d: int = 64, rounds: int = 10, extra: int = 8, seed: int = 1) -> DataFrame:
+    """unit_id, vector: L2-normalised TF-IDF rows projected on the d first right singular vectors, and normalised again.
 
-    Tokens in more than max(0.9 N, 2) units are left out; the `vocabulary` most frequent others count,
-    which bounds the Gram matrix that the SVD gathers. Signs are arbitrary. Rows are projected by a join
-    of their terms with the singular vectors (`vocabulary` rows of d numbers).
+    Tokens in more than max(0.9 N, 2) units are left out; all others count. Signs, and the order of equal
+    singular values, are arbitrary. Fewer than d dimensions come back where there are fewer units or tokens. See
+    `singular_vectors` for `rounds` and `extra`.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    entries = cut(_weighted(units))
+    axes, values = singular_vectors(entries, d, rounds, extra, seed)
+    raw = _summed(entries.join(axes, "token"), "unit_id", len(values)).withColumnRenamed("v", "raw")
+    size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
+    return raw.select("unit_id", F.transform("raw", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("vector"))
+
 
+def _weighted(units: DataFrame) -> DataFrame:
+    """unit_id, token, w: the units' TF-IDF rows, each of length 1."""
     postings, df = build_tfidf(units)
     n = units.count()
-    kept = df.filter(F.col("df") <= max(int(0.9 * n), 2)).orderBy(F.desc("df"), "token").limit(vocabulary)
-    terms = kept.withColumn("i", F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1)
-    width = terms.count()
-    weight = F.col("tf") * (F.log(F.lit(n) / (1 + F.col("df"))) + 1)
-    rows = postings.join(F.broadcast(terms), "token").select("unit_id", "i", weight.alias("w"))
-    rows = cut(rows.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("r")))
-
-    def unit(r):
-        norm = sum(e["w"] ** 2 for e in r["r"]) ** 0.5 or 1.0
-        return IndexedRow(r["unit_id"], Vectors.sparse(width, [e["i"] for e in r["r"]], [e["w"] / norm for e in r["r"]]))
-
-    matrix = IndexedRowMatrix(rows.rdd.map(unit), numCols=width)
-    v = matrix.computeSVD(min(d, width, n), computeU=False).V
-    axes = units.sparkSession.createDataFrame(pd.DataFrame({"i": range(width), "v": v.toArray().tolist()}), "i int, v array<double>")
-    entries = rows.select("unit_id", F.explode("r").alias("e")).select("unit_id", F.col("e.i").alias("i"), F.col("e.w").alias("w")).join(axes, "i")
-    raw = entries.groupBy("unit_id").agg(*(F.sum(F.col("w") * F.col("v")[j]).alias(f"c{j}") for j in range(v.numCols)))
-    out = raw.select("unit_id", F.array(*(f"c{j}" for j in range(v.numCols))).alias("raw"))
-    size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
-    return out.select("unit_id", F.transform("raw", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("vector"))
+    kept = df.filter(F.col("df") <= max(int(0.9 * n), 2))
+    rows = postings.join(kept, "token").select("unit_id", "token", (F.col("tf") * (F.log(F.lit(n) / (1 + F.col("df"))) + 1)).alias("w"))
+    size = rows.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return rows.join(size.filter("size > 0"), "unit_id").select("unit_id", "token", (F.col("w") / F.col("size")).alias("w"))
+
+
+def _summed(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """key, v: the sum of w times the array v, place by place, so that sums are made before the shuffle."""
+    sums = rows.groupBy(key).agg(*(F.sum(F.col("w") * F.col("v")[j]).alias(f"c{j}") for j in range(width)))
+    return sums.select(key, F.array(*(f"c{j}" for j in range(width))).alias("v"))
+
+
+def _rotated(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """Each row's v times a small matrix."""
+
+    def turn(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(v=list(np.stack(pdf["v"].to_list()) @ matrix))
+
+    return rows.select(key, "v").mapInPandas(turn, rows.select(key, "v").schema)
+
+
+def _gram(rows: DataFrame) -> np.ndarray:
+    """The sum of v v^T over all rows: small, made in the tasks, added up by Spark."""
+
+    def own(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_list())
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": range(total.size), "s": total.ravel()})
+
+    sums = rows.select("v").mapInPandas(own, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")
+    side = int(len(sums) ** 0.5)
+    return sums["s"].to_numpy().reshape(side, side)
+
+
+def singular_vectors(entries: DataFrame, d: int, rounds: int = 10, extra: int = 8, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """(token, v array of d) of the first right singular vectors of the matrix (unit_id, token, w), and the singular values.
+
+    Block subspace iteration: d + `extra` random columns over the tokens are multiplied by A^T A `rounds` times, in
+    joins and sums by unit and by token, and made orthonormal each time by their Gram matrix, the only one
+    (d + extra numbers to a side) that the driver sees.
+    """
+    units, tokens = (entries.agg(F.count_distinct(c)).first()[0] for c in ("unit_id", "token"))
+    width = min(d + extra, units, tokens)
+    if not width:
+        return entries.select("token", F.array().cast("array<double>").alias("v")).limit(0), np.zeros(0)
+
+    def drawn(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"token": pdf["token"], "v": [np.random.default_rng([seed, h & (2**63 - 1)]).standard_normal(width) for h in pdf["h"]]})
+
+    v = entries.select("token").distinct().select("token", F.xxhash64("token").alias("h")).mapInPandas(drawn, "token string, v array<double>")
+    for turn in range(rounds + 1):
+        v = cut(v)
+        values, axes = np.linalg.eigh(_gram(v))
+        good = values > max(values.max(), 0) * 1e-12
+        v = cut(_rotated(v, "token", axes[:, good] / np.sqrt(values[good])))
+        width = int(good.sum())
+        ahead = cut(_summed(entries.join(v, "token"), "unit_id", width))
+        if turn == rounds:
+            break
+        v = _summed(entries.join(ahead, "unit_id"), "token", width)
+    values, axes = np.linalg.eigh(_gram(ahead))  # of A V: its singular values and how to turn V
+    first = np.argsort(-values)[: min(d, width)]
+    return _rotated(v, "token", axes[:, first]), np.sqrt(np.maximum(values[first], 0))
 
 
 # --- S09, S10 ---------------------------------------------------------------------------------------------------

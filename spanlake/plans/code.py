@@ -201,6 +201,19 @@ def s04_search_log_pattern(spark, d):
     return S.search_log_pattern(_asked(spark, d), _units(spark, d))
 
 
+@query("""
+WITH p AS (SELECT unit_id, lower(substr(body_text, 1, 12)) AS p FROM units_docs WHERE unit_id % 4 = 0),
+q AS (SELECT unit_id AS query_id, lower(CASE WHEN unit_id % 8 = 0 THEN body_text ELSE substr(body_text, 3, 6) END) AS q FROM units_docs WHERE unit_id % 4 = 0),
+s AS (SELECT query_id, unit_id, greatest(0.5, round(len(list_intersect(list_distinct(regexp_split_to_array(p, '\\s+')), list_distinct(regexp_split_to_array(q, '\\s+')))) / len(list_distinct(regexp_split_to_array(q, '\\s+'))), 6))::DOUBLE AS score
+  FROM p JOIN q ON contains(p, q) OR contains(q, p)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s)
+SELECT query_id, unit_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def s04_log_pattern_hits(spark, d):
+    """S04 with log lines that hold a pattern (whole texts) and lines that a pattern holds."""
+    lines = view(spark, d, "units_docs").filter("unit_id % 4 = 0").select(F.col("unit_id").alias("query_id"), F.when(F.col("unit_id") % 8 == 0, F.col("body_text")).otherwise(F.substring("body_text", 3, 6)).alias("text"))
+    return S.search_log_pattern(lines, _units(spark, d))
+
+
 @query(
     _TFIDF
     + """, n AS (SELECT query_id, qualified_name, rank FROM r JOIN units_docs USING (unit_id) WHERE rank <= 10 UNION ALL SELECT query_id, qualified_name, 11 - rank FROM r JOIN units_docs USING (unit_id) WHERE rank <= 10),
@@ -543,7 +556,10 @@ def j10_router_prefixes(spark, d):
     return C.resolve_router_prefixes(units, edges).select("unit_id", "route_path")
 
 
-@query()
+@query("""
+SELECT unit_id, least(64, (SELECT count(*) FROM units_docs)) AS size, 1.0::DOUBLE AS length FROM units_docs
+WHERE unit_id IN (SELECT unit_id FROM (SELECT unit_id, unnest(regexp_extract_all(lower(body_text), '[a-z_][a-z0-9_]*')) AS t FROM units_docs) x WHERE length(t) > 2 AND t NOT IN ('%s'))""" % _STOP)
 def s07_svd_embeddings(spark, d):
-    v = S.svd_embeddings(_units(spark, d), 8, 500)
-    return v.select("unit_id", F.size("vector").alias("size"))
+    """64 dimensions over all tokens; tests hold the singular values and vectors against numpy's."""
+    v = S.svd_embeddings(_units(spark, d), rounds=3)
+    return v.select("unit_id", F.size("vector").cast("bigint").alias("size"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from spanlake.operators import code as C
 from spanlake.operators import correlate as K
 from spanlake.operators import graph as G
 from spanlake.operators import search as S
+from spanlake.operators.contains import containing
 from spanlake.plans.spans import _streamed
 from spanlake.streaming import windows as W
 
@@ -285,6 +287,37 @@ def test_svd(spark):
     assert cos(0, 2) > cos(0, 1) and all(math.isclose(sum(x * x for x in r), 1, rel_tol=1e-6) for r in v.values())
 
 
+def test_singular_vectors_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    a = np.where(rng.random((60, 45)) < 0.2, rng.random((60, 45)), 0) + np.outer(rng.random(60), rng.random(45))
+    a[:, 44] = a[:, 43]  # rank 44
+    rows = [(i, f"t{j}", float(a[i, j])) for i in range(60) for j in range(45) if a[i, j]]
+    v, values = S.singular_vectors(spark.createDataFrame(rows, "unit_id long, token string, w double"), 6, rounds=25)
+    want = np.linalg.svd(a)
+    assert values == pytest.approx(want[1][:6], rel=1e-6)
+    got = np.zeros((45, 6))
+    for r in v.collect():
+        got[int(r["token"][1:])] = r["v"]
+    assert np.abs(got.T @ want[2][:6].T) == pytest.approx(np.eye(6), abs=1e-3)
+    few, values = S.singular_vectors(spark.createDataFrame(rows[:3], "unit_id long, token string, w double"), 6)
+    assert len(values) == 1 and few.count() == 3
+    none, values = S.singular_vectors(spark.createDataFrame([], "unit_id long, token string, w double"), 6)
+    assert len(values) == 0 and none.count() == 0
+
+
+def test_containing_equals_contains(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé\n ") for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, "", "abc"]
+    needles = [t[i : i + rng.randint(0, 9)] for t in texts if t for i in [rng.randrange(len(t))]] + ["zzz", "", None, "a", "ab", "a.c", "abc"]
+    n, t = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    found = containing(n, t)
+    got = [tuple(r) for r in found.collect()]
+    want = {(x, y) for x in needles for y in texts if x is not None and y is not None and x in y}
+    assert set(got) == want and len(got) == len(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert containing(n.limit(0), t).count() == 0 and containing(n, t.limit(0)).count() == 0
+
+
 def test_own_embedding(spark, corpus):
     """A pandas UDF makes the vectors."""
     import pandas as pd
