@@ -425,3 +425,15 @@ def test_stream_of_span_events(spark, tmp_path):
     by = {r["span_id"]: r for r in rows}
     assert (by["1"]["closed"], by["1"]["duration"], by["1"]["error"], by["1"]["start_time"]) == (True, 3.0, "bad", 0.0)
     assert by["2"]["closed"] is False and by["2"]["start_time"] == 1.0 and "4" not in by
+
+
+def test_units_are_numbered_over_ranges(spark):
+    rng = random.Random(2)
+    rows = list({(f"f{rng.randrange(40)}.py", rng.randrange(90), f"q{rng.randrange(3)}") for _ in range(800)})
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "source_file string, start_line int, qualified_name string").repartition(7)
+    got = C.number_units(df)
+    assert [tuple(r)[:3] for r in sorted(got.select("source_file", "start_line", "qualified_name", "unit_id").collect(), key=lambda r: r["unit_id"])] == sorted(rows)
+    assert sorted(r["unit_id"] for r in got.collect()) == list(range(len(rows)))
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert C.number_units(df.limit(0)).count() == 0
