@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from spanlake.operators.contains import containing
 from spanlake.operators.graph import cut
 
 
+_SCORES = "query_id long, unit_id long, score double"
+
+
 def build_tfidf(units: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """postings(unit_id, token, tf) with tf = count / largest count of the unit, token_df(token, df).
 
@@ -53,19 +57,10 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, side: int = 20_000) -> DataFrame:
-    """query_id, unit_id, score, rank: the k largest inner products of each (query_id, vector) with
-    (unit_id, vector), positive ones only. Null vectors, and those of another length than a query's, don't count.
-
-    Queries and units are dealt to a grid of cells of about `side` of each. A cell keeps the k best of
-    its units for each of its queries; only these are merged.
-    """
-    schema = "query_id long, unit_id long, score double"
-    asked, held = queries.select("query_id", "vector").filter("vector is not null"), vectors.select("unit_id", "vector").filter("vector is not null")
-    columns, rows = (-(-df.count() // side) or 1 for df in (asked, held))
-    deal = lambda df, by, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+def _best_in_cell(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best units of a cell for each of its queries: (query_id, vector), (unit_id, vector) -> query_id, unit_id, score."""
 
-    def best(left, right):
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         for d in {len(v) for v in left["vector"]}:
             q, u = (f[f["vector"].map(len) == d] for f in (left, right))
@@ -82,9 +77,111 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, side: int
                     found.append((query, ids[at], s[i][at]))
         return pd.DataFrame({"query_id": np.repeat([p[0] for p in found], [len(p[1]) for p in found]).astype(np.int64), "unit_id": np.concatenate([p[1] for p in found] or [np.zeros(0, np.int64)]), "score": np.concatenate([p[2] for p in found] or [np.zeros(0)])})
 
+    return best
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, side: int = 20_000) -> DataFrame:
+    """query_id, unit_id, score, rank: the k largest inner products of each (query_id, vector) with
+    (unit_id, vector), positive ones only. Null vectors, and those of another length than a query's, don't count.
+
+    Queries and units are dealt to a grid of cells of about `side` of each. A cell keeps the k best of
+    its units for each of its queries; only these are merged.
+    """
+    asked, held = queries.select("query_id", "vector").filter("vector is not null"), vectors.select("unit_id", "vector").filter("vector is not null")
+    columns, rows = (-(-df.count() // side) or 1 for df in (asked, held))
+    deal = lambda df, by, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
     left = deal(asked, "query_id", "c", columns, "r", rows).groupBy("r", "c")
     right = deal(held, "unit_id", "r", rows, "c", columns).groupBy("r", "c")
-    return _top(left.cogroup(right).applyInPandas(best, schema), k)
+    return _top(left.cogroup(right).applyInPandas(_best_in_cell(k), _SCORES), k)
+
+
+@dataclass
+class VectorIndex:
+    """Vectors by the nearest of some centres: rows (list, slice, unit_id, vector), and slices (list, slices)."""
+
+    rows: DataFrame
+    slices: DataFrame
+    centres: np.ndarray
+
+
+def _nearest_lists(vectors: list, centres: np.ndarray, many: int) -> np.ndarray:
+    """The `many` centres nearest to each vector, nearest first."""
+    x = np.array(vectors, np.float64)
+    near = (centres**2).sum(axis=1) - 2 * x @ centres.T
+    top = np.argpartition(near, many - 1, axis=1)[:, :many]
+    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+
+
+def build_vector_index(vectors: DataFrame, lists: int | None = None, sample: int = 20_000, side: int = 20_000, rounds: int = 8, seed: int = 3) -> VectorIndex:
+    """An inverted file over (unit_id, vector), written out once.
+
+    Centres are means of a sample of at most about `sample` vectors (as many as the root of their number, 4,096 at
+    most); every vector lies in the list of its nearest centre, vectors of another length than the most common one in a list of
+    that length (-1 - length), null ones in none. Lists of more than `side` rows are searched in slices.
+    """
+    held = vectors.select("unit_id", "vector").filter("vector is not null")
+    common = held.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    d, n = (common["d"], common["count"]) if common else (0, 0)
+    share = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < max(1, (1 << 30) * sample // max(1, n))
+    own = held.filter(F.size("vector") == d)
+    some = own.filter(share).limit(2 * sample).toPandas()["vector"].to_list() or own.limit(sample).toPandas()["vector"].to_list()
+    x = np.array(some, np.float64).reshape(len(some), d)
+    lists = max(1, min(lists or int(np.ceil(np.sqrt(n))), 4096, len(x)))
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
+    for _ in range(rounds if len(x) else 0):
+        nearest = _nearest_lists(x, centres, 1)[:, 0]
+        sums, counts = np.zeros_like(centres), np.bincount(nearest, minlength=len(centres))
+        np.add.at(sums, nearest, x)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+
+    def place(frames):
+        for pdf in frames:
+            size = pdf["vector"].map(len)
+            own = -1 - size.to_numpy(np.int64)
+            if (size == d).any() and len(centres):
+                own[(size == d).to_numpy()] = _nearest_lists(pdf["vector"][size == d].to_list(), centres, 1)[:, 0]
+            yield pdf.assign(list=own)
+
+    kind = held.schema["vector"].dataType.simpleString()
+    placed = cut(held.mapInPandas(place, f"unit_id long, vector {kind}, list long"))
+    slices = cut(placed.groupBy("list").agg(F.ceil(F.count("*") / side).alias("slices")))
+    rows = placed.join(F.broadcast(slices), "list").withColumn("slice", F.pmod(F.xxhash64("unit_id"), F.col("slices")))
+    return VectorIndex(rows.select("list", "slice", "unit_id", "vector"), slices, centres)
+
+
+def vector_top_k_indexed(queries: DataFrame, index: VectorIndex, k: int = 10, recall: float = 0.95, probes: int = 256, lists: int | None = None, side: int = 20_000) -> DataFrame:
+    """As `vector_top_k`, but each query looks into its nearest lists only; scores are exact inner products.
+
+    How many lists is measured, unless given: at most `probes` queries are answered exactly, and the lists are as many as
+    hold `recall` of what they found. Vectors without structure need nearly all lists.
+    """
+    d, asked = index.centres.shape[1] if len(index.centres) else 0, queries.select("query_id", "vector").filter("vector is not null")
+    if lists is None and len(index.centres):
+        some = cut(asked.filter(F.size("vector") == d).orderBy(F.xxhash64("query_id", "vector")).limit(probes))
+        true = vector_top_k(some, index.rows, k, side).select("query_id", "unit_id").join(index.rows.select("unit_id", "list"), "unit_id").join(some, "query_id").select("vector", "list").toPandas()
+        if len(true):
+            order = _nearest_lists(true["vector"].to_list(), index.centres, len(index.centres))
+            place = (order == true["list"].to_numpy()[:, None]).argmax(axis=1)
+            lists = int(np.quantile(place, recall, method="higher")) + 1
+    lists, centres = max(1, min(lists or 1, len(index.centres))), index.centres
+
+    def route(frames):
+        for pdf in frames:
+            size = pdf["vector"].map(len)
+            other, own = pdf[(size != d) | (not len(centres))], pdf[(size == d) & bool(len(centres))]
+            parts = [other.assign(list=-1 - other["vector"].map(len).to_numpy(np.int64))]
+            if len(own):
+                to = _nearest_lists(own["vector"].to_list(), centres, lists)
+                parts.append(own.loc[own.index.repeat(lists)].assign(list=to.ravel()))
+            yield pd.concat(parts)
+
+    kind = asked.schema["vector"].dataType.simpleString()
+    groups = -(-asked.count() // side) or 1
+    routed = asked.mapInPandas(route, f"query_id long, vector {kind}, list long").join(F.broadcast(index.slices), "list").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    left = routed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).drop("slices").groupBy("list", "slice", "part")
+    right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("list", "slice", "part")
+    return _top(left.cogroup(right).applyInPandas(_best_in_cell(k), _SCORES), k)
 
 
 def search_log_pattern(queries: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:

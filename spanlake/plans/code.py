@@ -191,6 +191,16 @@ def s03_vector_top_k(spark, d):
     return S.vector_top_k(e.filter("unit_id % 20 = 0").withColumnRenamed("unit_id", "query_id"), e, 10)
 
 
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS unit_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s)
+SELECT query_id, unit_id, score, rank::INT AS rank FROM r WHERE rank <= 10 AND score > 0""")
+def s03_vector_index(spark, d):
+    """S03 by an inverted file, with as many lists as hold all neighbours of the measured queries."""
+    e = view(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
+    return S.vector_top_k_indexed(e.filter("unit_id % 20 = 0").withColumnRenamed("unit_id", "query_id"), S.build_vector_index(e), 10, recall=1.0)
+
+
 @query("""
 WITH p AS (SELECT unit_id, lower(substr(body_text, 1, 12)) AS p FROM units_docs WHERE unit_id % 4 = 0), q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS q FROM benchmark),
 s AS (SELECT query_id, unit_id, greatest(0.5, round(len(list_intersect(list_distinct(regexp_split_to_array(p, '\\s+')), list_distinct(regexp_split_to_array(q, '\\s+')))) / len(list_distinct(regexp_split_to_array(q, '\\s+'))), 6))::DOUBLE AS score
