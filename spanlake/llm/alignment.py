@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from spanlake.llm.common import cut, sliced, spread_join, stored
+from spanlake.llm.common import cut, pieces, spread_join, stored
 from spanlake.llm.tokens import PATTERN
 
 #: Published vocabularies: byte-level BPE (a Tokenizers file) and BPE with byte fallback (a SentencePiece model).
@@ -257,7 +257,7 @@ def aligned(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str
 
     def align(batches):
         know = aligner(vocabulary_a, vocabulary_b)
-        for batch in (part for whole in batches for part in sliced(whole, 1, 2 * PIECE_BYTES)):
+        for batch in pieces(batches, 1, 2 * PIECE_BYTES):
             rows = batch.num_rows
             n, bad = np.zeros((rows, 4), np.int64), np.zeros(rows, bool)
             shas, seen = [None] * rows, [[] for _ in range(rows)]

@@ -222,10 +222,11 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
-def sliced(batch, column: int, most: int) -> Iterator:
-    """Parts of an Arrow batch that hold about `most` bytes of a string or binary column each."""
-    size = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-    part = (np.cumsum(size) - size) // most
-    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-    for begin, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-        yield batch.slice(begin, end - begin)
+def pieces(batches: Iterator, column: int, most: int = 4 << 20) -> Iterator:
+    """Arrow batches in parts that hold about `most` bytes of a string or binary column each: what a task holds at once."""
+    for batch in batches:
+        size = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        part = (np.cumsum(size) - size) // most
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for begin, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            yield batch.slice(begin, end - begin)

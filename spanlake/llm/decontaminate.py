@@ -7,14 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, combined, cut, encoded, scratch, sliced, spread_join, within
+from spanlake.llm.common import Words, combined, cut, encoded, pieces, scratch, spread_join, within
 
 #: log2 of the bits of the gram filter that every task holds: 2 MB, with many grams up to 32 MB.
 FILTER_BITS, MOST_FILTER_BITS = 24, 28
 #: Items of fewer words match nothing; so many seeds of a passage are asked for, if a passing alignment must keep as many.
 LEAST_WORDS, SEEDS = 3, 3
-#: Text bytes that a task handles at once.
-BATCH_BYTES = 4 << 20
 #: Longer items are taken as parts of so many words.
 ITEM_WORDS = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -148,11 +146,10 @@ def _rarest(docs: DataFrame, texts: DataFrame, score_at: float) -> DataFrame:
 
     def counted(batches):
         known = bits.tester()
-        for whole in batches:
-            for batch in sliced(whole, 0, BATCH_BYTES):
-                gram = _pairs(Words(encoded(batch.column(0))))[2]
-                gram, n = np.unique(gram[known(gram)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+        for batch in pieces(batches, 0):
+            gram = _pairs(Words(encoded(batch.column(0))))[2]
+            gram, n = np.unique(gram[known(gram)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     often = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     places = pairs.join(often, "gram", "left").groupBy("item", "place").agg(F.sum(F.coalesce("n", F.lit(0))).alias("often"), F.first("words").alias("words"))
@@ -172,17 +169,16 @@ def _candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
     def hits(batches):
         known, single = bits.tester(), alone.tester() if alone else lambda g: np.zeros(len(g), bool)
-        for whole in batches:
-            for batch in sliced(whole, 2, BATCH_BYTES):
-                owner, at, gram = _pairs(Words(encoded(batch.column(2))))
-                hit = np.flatnonzero(known(gram))
-                hit = hit[np.lexsort((at[hit], owner[hit]))]
-                owner, at, gram = owner[hit], at[hit], gram[hit]
-                # one hit suffices for few items only; others have another within reach
-                close = (np.diff(owner) == 0) & (np.diff(at) <= 3 * longest)
-                keep = np.concatenate((close, [False])) | np.concatenate(([False], close)) | single(gram) if len(hit) else np.zeros(0, bool)
-                row = pa.array(owner[keep])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at[keep]), pa.array(gram[keep].view(np.int64))], names=["doc_id", "copy", "at", "gram"])
+        for batch in pieces(batches, 2):
+            owner, at, gram = _pairs(Words(encoded(batch.column(2))))
+            hit = np.flatnonzero(known(gram))
+            hit = hit[np.lexsort((at[hit], owner[hit]))]
+            owner, at, gram = owner[hit], at[hit], gram[hit]
+            # one hit suffices for few items only; others have another within reach
+            close = (np.diff(owner) == 0) & (np.diff(at) <= 3 * longest)
+            keep = np.concatenate((close, [False])) | np.concatenate(([False], close)) | single(gram) if len(hit) else np.zeros(0, bool)
+            row = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at[keep]), pa.array(gram[keep].view(np.int64))], names=["doc_id", "copy", "at", "gram"])
 
     with scratch(docs.mapInArrow(hits, "doc_id long, copy long, at long, gram long")) as found:
         met = spread_join(found, seeds, ["gram"]).withColumn("zone", F.floor((F.col("at") - F.col("place")) / F.col("words")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanlake.llm.common import held_out
+from spanlake.llm.common import held_out, pieces
 
 #: A gram packs up to this many code points of 21 bits; 0 stands for a word's edge.
 LONGEST = 3
@@ -60,7 +60,7 @@ def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
             k, n = _merged(held.pop(lang))
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = 400, max_languages
         return langs[i], float(1 - far[i] / (size * len(k)))
 
     def apply(batches):
-        for batch in batches:
+        for batch in pieces(batches, at_text):
             got = [best(t) for t in batch.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, combined, cut, encoded, hot_keys, mixed, packed, scratch, spread_join, within
+from spanlake.llm.common import Words, chunks, combined, cut, encoded, hot_keys, mixed, packed, pieces, scratch, spread_join, within
 from spanlake.llm.components import connected_components
 
 #: Coordinates of a signature; the lowest bit of each makes the sketch. At least bands * rows.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, words: int = 5, percent: int = 75, bands: int =
 
     def sign(batches):
         c = Circulant(bands, rows, seed, BITS)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             at, n, marks, own, tier, sigs = [], [], [], [], [], []
             for i, s in enumerate(shingle_sets(encoded(batch.column(1)), words)):
                 mark = _fingerprint(s) if len(s) else (0, 0)
@@ -142,7 +142,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     """
 
     def sets(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = list(shingle_sets(encoded(batch.column(1)), words))
             marks = [_fingerprint(s) if len(s) else (0, 0) for s in found]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanlake.llm.common import cut, hot_keys, spread_join
+from spanlake.llm.common import cut, hot_keys, pieces, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: All kinds of a pattern; `id` is an identifier or credential that no base pattern describes.
@@ -159,7 +159,7 @@ def graph_rows(docs: DataFrame) -> DataFrame:
     """edges_of the texts: pattern, context, value, known, seed; once for each Arrow batch and tuple."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches, 0):
             rows = set().union(*map(edges_of, batch.column(0).to_pylist()))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["pattern", "context", "value", "known", "seed"])
@@ -232,7 +232,7 @@ def _spanned(docs: DataFrame, rounds: int, confident: float, most_patterns: int)
 
     def find(batches):
         named = lambda spans: [{"start": b, "kind": LEARNT[k], "end": e} for b, k, e in spans]
-        for batch in batches:
+        for batch in pieces(batches, 1):
             base, more = [], []
             for text in batch.column(1).to_pylist():
                 hinted = bool(text and _HINT.search(text))
