@@ -308,7 +308,11 @@ def s09_retrieve(spark, d):
     return S.retrieve(q, _units(spark, d))
 
 
-@query()
+@query(
+    _TFIDF
+    + """, x AS (SELECT query_id, length(concat('# ', qualified_name, ' (', source_file, ':', start_line, ')')) + 1 + length(signature) + 1 + length(array_to_string(string_split(coalesce(body_text, ''), chr(10))[1:50], chr(10))) AS n FROM r JOIN units_docs USING (unit_id) WHERE rank <= 3)
+SELECT query_id, (sum(n) + 2 * (count(*) - 1))::INT AS length FROM x GROUP BY 1"""
+)
 def s10_context_window(spark, d):
     u = _units(spark, d)
     w = S.context_window(S.hybrid_search(_asked(spark, d), u, k=3), u)
@@ -434,7 +438,16 @@ def w07_entry_points(spark, d):
     return C.entry_points(view(spark, d, "units_docs"), view(spark, d, "edges_docs").toDF("caller", "callee")).select("unit_id", "kind", "label")
 
 
-@query()
+@query(r"""
+WITH RECURSIVE e AS (SELECT unit_id FROM units_docs WHERE route_path IS NOT NULL OR (unit_type <> 'class' AND unit_id NOT IN (SELECT b FROM edges_docs)) ORDER BY CASE WHEN route_path IS NOT NULL THEN 0 ELSE 2 END, coalesce(route_path, name), unit_id LIMIT 15),
+p AS (SELECT [unit_id] AS path FROM e UNION ALL SELECT list_append(path, b) FROM p JOIN edges_docs ON a = path[-1] WHERE NOT list_contains(path, b) AND len(path) < 12),
+k AS (SELECT path, len(path) AS n, list_transform(path, lambda i: lpad(CAST(i AS VARCHAR), 12, '0')) AS parts FROM p),
+o AS (SELECT *, array_to_string(parts, '/') AS key, array_to_string(parts[1:n - 1], '/') AS up, row_number() OVER (ORDER BY array_to_string(parts, '/')) - 1 AS no FROM k),
+below AS (SELECT array_to_string(parts[1:i], '/') AS key, count(*) AS below FROM (SELECT parts, unnest(range(1, n + 1)) AS i FROM k) x GROUP BY 1),
+t AS (SELECT o.*, below, no * 2 - (n - 1) AS opened, regexp_matches(body_text, 'TODO|FIXME|HACK|XXX|BUG|\bexcept\s*:') OR (route_path IS NOT NULL AND (contains(body_text, 'console.log(') OR (contains(body_text, 'print(') AND NOT contains(body_text, 'print_')))) AS bad
+  FROM o JOIN below USING (key) JOIN units_docs ON unit_id = path[-1])
+SELECT 'ENTRY' AS event_type, substr(sha256(key), 1, 16) AS span_id, CASE WHEN n > 1 THEN substr(sha256(up), 1, 16) END AS parent_span_id, (n - 1)::INT AS depth, round(opened / 1000, 4) AS timestamp FROM t
+UNION ALL SELECT CASE WHEN bad THEN 'ERROR' ELSE 'EXIT' END, substr(sha256(key), 1, 16), CASE WHEN n > 1 THEN substr(sha256(up), 1, 16) END, (n - 1)::INT, round((opened + 2 * below - 1) / 1000, 4) FROM t""")
 def c12_static_trace(spark, d):
     t = C.static_trace(_units(spark, d), view(spark, d, "edges_docs").toDF("caller", "callee"))
     return t.select("event_type", "span_id", "parent_span_id", "depth", F.round("timestamp", 4).alias("timestamp"))
