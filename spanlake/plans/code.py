@@ -461,6 +461,24 @@ def c13_pattern_findings(spark, d):
     return C.pattern_findings(view(spark, d, "units_docs")).select("unit_id", "family", "confidence")
 
 
+_HITS = {
+    "sql_injection": ('db.execute(f"select 1")', 0.85), "hardcoded_secret": ('api_key = "abcd1234efgh"', 0.75), "unsafe_deserialization": ("pickle.loads(x)", 0.9), "ssrf": ("requests.get(url)", 0.7),
+    "path_traversal": ("open(filename)", 0.7), "xss": ("el.innerHTML = query", 0.75), "open_redirect": ("redirect(next_url)", 0.7), "weak_crypto": ("md5(password)", 0.8),
+}
+
+
+@query(f"""
+WITH k AS (SELECT unnest(range(0, 8)) AS n, unnest({list(_HITS)}) AS family, unnest({[c for _, c in _HITS.values()]})::DOUBLE AS confidence)
+SELECT doc_id AS unit_id, family, confidence FROM documents JOIN k ON n = doc_id % 8 UNION ALL SELECT doc_id, 'own', 0.5 FROM documents WHERE doc_id % 8 = 2""")
+def c13_rule_families(spark, d):
+    """A line that meets each of the families in turn, above the text as comments, and a rule of one's own."""
+    lines = F.array(*(F.lit(line) for line, _ in _HITS.values()))
+    text = F.regexp_replace(F.coalesce("body_text", F.lit("")), "(?m)^|[\\r\\u0085\\u2028\\u2029]", "# ")
+    u = _units(spark, d).withColumn("body_text", F.concat(F.get(lines, (F.col("unit_id") % 8).cast("int")), F.lit("\n"), text))
+    own = spark.createDataFrame([("own", "low", 0.5, 0, "pickle")], "family string, severity string, confidence double, no int, pattern string")
+    return C.pattern_findings(u, C.rules_table(spark, own)).select("unit_id", "family", "confidence")
+
+
 @query("SELECT unit_id, 'data' AS taint FROM units_docs")
 def c14_tainted_params(spark, d):
     return view(spark, d, "units_docs").select("unit_id", F.array_join(C.tainted_params(F.col("signature")), ",").alias("taint"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.functions.errors import classify_error, recommendations_for
+from spanlake.functions.errors import ADVICE, OTHER_ADVICE, classify_error, recommendations_for
 from spanlake.functions.text import format_traceparent, parse_traceparent
 from spanlake.operators import aggregates as A
 from spanlake.operators import cycles as Y
@@ -667,12 +667,30 @@ def r07_rca_report(spark, d):
     return r.select("investigation_id", "root_cause", "severity", "confidence", "findings", F.array_join("causal_chain", " > ").alias("causal_chain"), F.array_join("recommendations", "; ").alias("recommendations"))
 
 
-@query()
+_TITLES = {"timeout": "Timeout", "connection_error": "Connection Error", "data_error": "Data Error", "context_loss": "Context Loss", "error_trace": "Error Trace"}
+_TITLE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _TITLES.items()) + " END"
+# findings with their text, id and place in the order of severity, confidence and id
+_RANKED = f"""{_FOUND},
+fs AS (SELECT fd.*, CASE WHEN agent = 'LogAnalysisAgent' THEN concat({_TITLE}, ' in ', function_name, ': ', error) ELSE concat('slow ', span_id) END AS summary FROM fd JOIN nodes_heap USING (span_id)),
+fi AS (SELECT *, md5(concat_ws('|', investigation_id, agent, kind, summary, span_id)) AS finding_id FROM fs),
+fo AS (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY rank DESC, confidence DESC, finding_id) AS turn FROM fi)"""
+_texts = lambda texts: "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+_ADVISED = "CASE WHEN agent <> 'LogAnalysisAgent' THEN ['Profile it'] " + " ".join(f"WHEN kind = '{k}' THEN {_texts(a)}" for k, a in ADVICE.items()) + f" ELSE {_texts(OTHER_ADVICE)} END"
+
+
+@query(f"""
+WITH {_RANKED}, {_CONFLICT},
+oc AS (SELECT investigation_id, round(avg(confidence) * CASE WHEN investigation_id IN (SELECT investigation_id FROM cf) THEN 0.8 ELSE 1.0 END, 6)::DOUBLE AS sure FROM fd GROUP BY 1)
+SELECT investigation_id, concat('[', CASE rank WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END, '] ', summary, ' (', CASE WHEN sure >= 0.8 THEN 'confident' ELSE 'uncertain' END, ', ', round(sure * 100)::INT, '%)') AS diagnosis
+FROM fo JOIN oc USING (investigation_id) WHERE turn = 1""")
 def r08_quick_diagnosis(spark, d):
     return R.quick_diagnosis(R.rca_report(_found(spark, d), _nodes(spark, d)))
 
 
-@query()
+@query(f"""
+WITH {_RANKED}, a AS (SELECT investigation_id, turn, unnest({_ADVISED}) AS r, unnest(range(0, len({_ADVISED}))) AS i FROM fo),
+b AS (SELECT *, row_number() OVER (PARTITION BY investigation_id, r ORDER BY turn, i) AS no FROM a)
+SELECT investigation_id, string_agg(r, '; ' ORDER BY turn, i) AS recommendations FROM b WHERE no = 1 GROUP BY 1""")
 def w08_ranked_recommendations(spark, d):
     return R.ranked_recommendations(_found(spark, d)).select("investigation_id", F.array_join("recommendations", "; ").alias("recommendations"))
 
