@@ -195,15 +195,15 @@ def gridded(points: DataFrame, asking: DataFrame, n: int, q: int, most: int, sid
     def cell(left, right):
         if not left.num_rows or not right.num_rows:
             return _lists([], [], pa.Table)
-        asked, ids = right.column("point").to_numpy(), left.column("point").to_numpy()
-        x, y = (_matrix(t.column("x").combine_chunks()) for t in (left, right))
+        asked, ids = right.column("asked").to_numpy(), left.column("point").to_numpy()
+        x, y = _matrix(left.column("x").combine_chunks()), _matrix(right.column("y").combine_chunks())
         near = []
         for lo in range(0, len(y), 256):
             near += [(s[top], ids[top]) for s in y[lo : lo + 256] @ x.T for top in [_best(s, ids, most)]]
         return _lists(asked.tolist(), near, pa.Table)
 
     left = points.select("point", "x", *each("r", rows, "c", columns))
-    right = asking.select("point", "x", *each("c", columns, "r", rows))
+    right = asking.select(F.col("point").alias("asked"), F.col("x").alias("y"), *each("c", columns, "r", rows))
     return _merged(left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, _NEAR), most)
 
 

@@ -371,3 +371,25 @@ def test_evenly_edited_copies(spark):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in common], "item_id long, text string")).collect()}
     want = {(i, k): plain_score(w, t.split()) / (2 * len(w)) for i, t in docs for k, w in common if plain_score(w, t.split()) >= len(w)}
     assert got == want and want.keys() >= {(1, 10), (2, 10), (3, 11), (4, 12)} and (6, 10) not in got
+
+
+def test_decontamination_stage_equals_all_pairs(spark, tmp_path):
+    """The pipeline's stage keeps exactly the rows of which no item's alignment passes; null ids and shared ids are rows of their own."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(300)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(k, some(n)) for k, n in enumerate((4, 12, 25, 30))]
+    rows = []
+    for i in range(120):
+        w = some(rng.choice((5, 60)))
+        if i % 2:
+            copy = [x if rng.random() > 0.3 else rng.choice(words) for x in rng.choice(items)[1]]
+            w[3:3] = copy
+        rows.append((i if i % 10 else None, " ".join(w), "en", "s", len(w)))
+    rows += [(7, " ".join(items[2][1]), "en", "s", 1), (8, None, None, "s", None), (9, "", "en", None, 0), rows[1]]
+    spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = dict(P.STAGES)["decontamination"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    clean = [r for r in rows if not any(plain_score(w, (r[1] or "").split()) >= len(w) for _, w in items)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, clean)) and 50 < len(clean) < 110
