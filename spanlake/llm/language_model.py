@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
@@ -79,19 +80,33 @@ class Vocabulary:
         classes = np.where(known, self.word_class[own] if len(self.sorted) else 0, self.ending_class[ending])
         return np.where(known, own, len(self.words) + classes - self.heads), classes, np.where(known, own, -1)
 
+    @property
+    def kind(self) -> type:
+        """What a symbol is stored as."""
+        return np.uint16 if self.end[0] < 1 << 16 else np.uint32
+
     @property
     def end(self) -> tuple[int, int]:
         """Input symbol and class of the end."""
         return len(self.words) + len(self.log_total), len(self.class_mass) - 1
 
-    def tokens(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, Words]:
-        """Each token's input (the symbol before it; the end before the first), class and word, and the texts' bounds."""
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
+        """The texts' input symbols, each text with its end, and the texts' bounds."""
         w = Words(texts)
-        symbol, classes, words = self.coded(w.hashes.view(np.int64), _ending(w))
-        ends = w.bounds[1:]
-        after, of_end, none = (np.insert(a, ends, v) for a, v in ((symbol, self.end[0]), (classes, self.end[1]), (words, -1)))
-        before = np.concatenate(([self.end[0]], after[:-1])) if len(after) else after
-        return [before, of_end, none], w.bounds + np.arange(len(w.bounds)), w
+        own = self.coded(w.hashes.view(np.int64), _ending(w))[0].astype(self.kind)
+        return np.insert(own, w.bounds[1:], self.end[0]), w.bounds + np.arange(len(w.bounds)), w
+
+    def targets(self, symbols: np.ndarray) -> list[np.ndarray]:
+        """Each token's input (the symbol before it; the end before the first), class and word, of whole texts' symbols."""
+        after = symbols.astype(np.int32)
+        before = np.concatenate(([self.end[0]], after[:-1])).astype(np.int32) if len(after) else after
+        classes = np.concatenate((self.word_class, np.arange(self.heads, len(self.class_mass)))).astype(np.int32)
+        return [before, classes[after], np.where(after < len(self.words), after, -1)]
+
+    def tokens(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, Words]:
+        """The targets of texts, and the texts' bounds."""
+        symbols, bounds, w = self.symbols(texts)
+        return self.targets(symbols), bounds, w
 
     def network(self, hidden: int, seed: int) -> Recurrent:
         return Recurrent(self.word_class, self.word_mass, self.class_mass, len(self.words) + len(self.log_total) + 1, hidden, seed)
@@ -121,45 +136,61 @@ def vocabulary(counts: DataFrame, texts: int, head: int = 2048, head_classes: in
     return Vocabulary(words, word_class, mass.astype(float), class_mass, ending_class, np.log10(smooth), total, every, texts)
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, share: float = 1 / 64, enough: int = 1_500_000, rounds: int = 3, rate: float = 0.01, hidden: int = 24, seed: int = 5, each: int = 100_000) -> Recurrent:
+def as_symbols(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(doc_id, text) -> mark (a hash of both), symbols: whole texts as the network's input symbols."""
+
+    def code(batches):
+        for batch in pieces(batches, 1, 8 << 20):
+            found, bounds, _ = vocab.symbols(encoded(batch.column(1)))
+            ends = pa.py_buffer((bounds * found.itemsize).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(found)])], names=["mark", "symbols"])
+
+    return docs.select(F.xxhash64("doc_id", "text").alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(code, "mark long, symbols binary")
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, enough: int = 1_500_000, rounds: int = 3, rate: float = 0.01, hidden: int = 24, seed: int = 5, each: int = 4_000_000) -> Recurrent:
     """The network, by truncated backpropagation on several learners whose weights are averaged after each round.
 
-    Learnt from `share` of the texts by hash, or from as much more as gives `enough` tokens; so learning grows
-    with the corpus, too, at a fiftieth or so of what scoring costs. The number of learners is the
-    square root of the tokens divided by `each`; their weights are averaged in as many groups as the square root
-    of their number before they reach the driver.
+    Every text is learnt from: the rounds go through all of them once, by hash, and a round takes further texts
+    while it has fewer than `enough` tokens. There is a learner for every `each` tokens, so that a learner's
+    work doesn't grow with the corpus; their weights are averaged in as many groups as the square root of
+    their number before they reach the driver.
     """
     net = vocab.network(hidden, seed)
     if not vocab.texts:
         return net
-    share = min(1.0, max(share, enough / vocab.total))
-    learners = math.ceil(math.sqrt(share * vocab.total / each))
-    mark = F.xxhash64("doc_id", "text")
-    some = docs.filter(F.pmod(mark, F.lit(1 << 20)) < max(1, round(share * (1 << 20)))).select(F.col("text").cast("string").alias("text"), mark.alias("mark"))
-    some = stored(some.repartition(learners, "mark").sortWithinPartitions("mark"))
+    learners = math.ceil(vocab.total / each)
+    places = 1 << 20
+    width = max(math.ceil(places / rounds), round(places * min(1.0, enough / vocab.total)))
+    coded = cut(as_symbols(docs, vocab).repartition(learners, "mark").sortWithinPartitions("mark"))
+    dealt = coded.rdd.getNumPartitions()  # more than the learners asked for where the session raises it
+    groups = math.ceil(math.sqrt(dealt))
+    lanes = max(64, min(256, 64 * learners, int(vocab.total / dealt * width / places) // 5000))  # few tokens need more steps
     for turn in range(rounds):
         flat, own_rate = net.parameters(), rate / 2**turn
 
         def learn(batches, flat=flat, own_rate=own_rate):
             mine = vocab.network(hidden, seed).load(flat)
             adam, seen, loss = Adam(mine, own_rate), 0, 0.0
-            for batch in batches:
-                texts = encoded(batch.column(0))
-                for lo, hi in chunks(texts, 4 << 20):
-                    parts, bounds, _ = vocab.tokens(texts[lo:hi])
-                    more, n = train(mine, adam, *parts, bounds)
-                    seen, loss = seen + n, loss + more
+            for batch in pieces(batches, 0, 2 << 20):
+                found = [np.frombuffer(b, vocab.kind) for b in batch.column(0).to_pylist()]
+                bounds = np.cumsum([0, *map(len, found)])
+                more, n = train(mine, adam, *vocab.targets(np.concatenate(found)), bounds, lanes=lanes)
+                seen, loss = seen + n, loss + more
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mine.parameters().astype(np.float32).tobytes()])], names=["tokens", "weights"])
+                own = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([own % groups]), pa.array([seen]), pa.array([mine.parameters().astype(np.float32).tobytes()])], names=["learner", "part", "tokens", "weights"])
 
         def mean(rows):
+            rows = rows.sort_by("learner")
             tokens = rows.column("tokens").to_numpy()
             total = sum(np.frombuffer(w, np.float32) * (n / tokens.sum()) for w, n in zip(rows.column("weights").to_pylist(), tokens, strict=True))
-            return pa.table({"tokens": [int(tokens.sum())], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"part": rows.column("part")[:1], "tokens": [int(tokens.sum())], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        learnt = some.select("text").mapInArrow(learn, "tokens long, weights binary")
-        groups = math.ceil(math.sqrt(learners))
-        means = cut(learnt.withColumn("part", F.pmod(F.xxhash64("weights"), F.lit(groups))).groupBy("part").applyInArrow(mean, "tokens long, weights binary")).collect()
+        begin = turn * places // rounds
+        own = coded.filter((F.pmod("mark", F.lit(places)) + (places - begin)) % places < width)
+        learnt = own.select("symbols").mapInArrow(learn, "learner long, part long, tokens long, weights binary")
+        means = cut(learnt.groupBy("part").applyInArrow(mean, "part long, tokens long, weights binary")).orderBy("part").collect()
         if means:
             tokens = sum(r["tokens"] for r in means)
             net.load(sum(np.frombuffer(r["weights"], np.float32) * (r["tokens"] / tokens) for r in means))
@@ -190,7 +221,7 @@ def likelihoods(docs: DataFrame, vocab: Vocabulary, net: Recurrent, counts: Data
             parts, sizes, sums, listed = [], [], [], []
             for lo, hi in chunks(texts, 8 << 20):
                 tokens, bounds, w = vocab.tokens(texts[lo:hi])
-                parts.append([a.astype(np.int32) for a in tokens])
+                parts.append(tokens)
                 sizes.append(np.diff(bounds))
                 word, back = np.unique(w.hashes.view(np.int64), return_inverse=True)
                 classes = np.zeros(len(word), np.int64)

@@ -8,13 +8,32 @@ F32 = np.float32
 _PARTS = ("table", "recur", "classes", "class_bias", "words", "word_bias")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= F32(0.5)
-    np.tanh(x, out=x)
-    x += F32(1)
-    x *= F32(0.5)
-    return x
+#: Rows whose outputs are held at once, so that they stay in a core's cache.
+_ROWS = 2048
+#: Below this no float32 exponential overflows, so that a row's maximum needn't be taken off.
+_SAFE = 80.0
+
+
+def _chosen(h: np.ndarray, weights: np.ndarray, target: np.ndarray, shift: bool, grad: bool) -> tuple:
+    """log softmax(h weights') at each row's target; with `grad` the gradients of the negated sum, by weights and by h."""
+    s = h @ weights.T
+    if shift:
+        s -= s.max(axis=1, keepdims=True)
+    at = (np.arange(len(h)), target)
+    out = s[at].astype(np.float64)
+    np.exp(s, out=s)
+    total = s @ np.ones(s.shape[1], F32)
+    out -= np.log(total)
+    if not grad:
+        return out, None, None
+    s *= (1 / total)[:, None]
+    s[at] -= 1
+    return out, s.T @ h, s @ weights[:, :-1]
+
+
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0 to below-1; numpy sorts 16 bits by radix."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
 
 
 class Recurrent:
@@ -49,65 +68,77 @@ class Recurrent:
         return self
 
     def states(self, symbols: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, kept: list | None = None) -> np.ndarray:
-        """States after each of `symbols` (time, lane), from h (lane, hidden); where `fresh`, from nothing."""
-        n = self.hidden
-        x = self.table[symbols]
-        out = np.empty((*symbols.shape, n), F32)
-        for t in range(len(symbols)):
-            if fresh is not None:
-                h = np.where(fresh[t][:, None], F32(0), h)
-            g = h @ self.recur
-            gates = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
+        """States after each of `symbols` (time, lane), from h (lane, hidden); where `fresh`, from nothing.
+
+        Inside, lanes come last, so that each gate is one block. `kept` gets the states before, both gates, the
+        candidates, and the candidates' recurrent part, as (time, unit, lane) each.
+        """
+        n, (steps, lanes) = self.hidden, symbols.shape
+        half = np.repeat(np.array([0.5, 1], F32), [2 * n, n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        x = np.ascontiguousarray((self.table * half)[symbols].transpose(0, 2, 1))
+        recur, h = np.ascontiguousarray((self.recur * half).T), np.ascontiguousarray(h.T)
+        old = None if fresh is None else (~fresh).astype(F32)
+        out = np.empty((steps, n, lanes), F32)
+        if kept is not None:
+            kept += [np.empty((steps, k * n, lanes), F32) for k in (1, 2, 1, 1)]
+        for t in range(steps):
+            if old is not None and fresh[t].any():
+                h = h * old[t]
+            g = recur @ h
+            gates, c = g[: 2 * n], g[2 * n :]
+            gates += x[t, : 2 * n]
+            np.tanh(gates, out=gates)
+            gates *= F32(0.5)
+            gates += F32(0.5)
             if kept is not None:
-                kept.append((h, z, r, c, g[:, 2 * n :]))
-            h = h + z * (c - h)
-            out[t] = h
-        return out
+                kept[0][t], kept[1][t], kept[3][t] = h, gates, c
+            c *= gates[n:]
+            c += x[t, 2 * n :]
+            np.tanh(c, out=c)
+            if kept is not None:
+                kept[2][t] = c
+            c -= h
+            c *= gates[:n]
+            h = np.add(h, c, out=out[t])
+        return out.transpose(0, 2, 1)
 
     def log_probability(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray, grad: dict | None = None) -> np.ndarray:
         """Natural log P of each target's class and, where words >= 0, of the word in it, from states h (rows).
 
         `grad` gets the gradients of the summed negative log-likelihood, of `h` too.
         """
-        n = len(h)
-        s = h @ self.classes.T
-        s += self.class_bias
-        s -= s.max(axis=1, keepdims=True)
-        out = s[np.arange(n), classes].astype(np.float64)
-        np.exp(s, out=s)
-        total = s.sum(axis=1)
-        out -= np.log(total)
-        dh = None
-        if grad is not None:
-            s /= total[:, None]
-            s[np.arange(n), classes] -= 1
-            grad["classes"], grad["class_bias"] = s.T @ h, s.sum(axis=0)
-            dh = s @ self.classes
-            grad["words"], grad["word_bias"] = np.zeros_like(self.words), np.zeros_like(self.word_bias)
+        n, some = len(h), grad is not None
+        h = np.concatenate((h, np.ones((n, 1), F32)), axis=1, dtype=F32)
+        by_class, by_word = (np.concatenate((w, b[:, None]), axis=1) for w, b in ((self.classes, self.class_bias), (self.words, self.word_bias)))
+        largest = np.abs(h).max(initial=1) * max(np.abs(w).sum(axis=1).max(initial=0) for w in (by_class, by_word))
+        shift = not largest < _SAFE
+        out = np.empty(n)
+        dh, d_class, d_word = (np.zeros(a, F32) if some else None for a in ((n, self.hidden), by_class.shape, by_word.shape))
+        for lo in range(0, n, _ROWS):
+            rows = slice(lo, lo + _ROWS)
+            out[rows], d, back = _chosen(h[rows], by_class, classes[rows], shift, some)
+            if some:
+                d_class += d
+                dh[rows] = back
         own = np.flatnonzero(words >= 0)
-        own = own[np.argsort(classes[own], kind="stable")]
-        ends = np.searchsorted(classes[own], np.arange(len(self.cuts)))
+        own = own[_order(words[own], len(self.words))]  # by class, too
+        sorted_h, word, found = h[own], words[own], np.zeros(len(own))
+        ends = np.searchsorted(word, self.cuts)
+        sorted_dh = np.zeros((len(own), self.hidden), F32) if some else None
         for k in np.flatnonzero(np.diff(ends)):
-            rows, (b, e) = own[ends[k] : ends[k + 1]], self.cuts[k : k + 2]
+            b, e = self.cuts[k : k + 2]
             if e - b == 1:
                 continue
-            s = h[rows] @ self.words[b:e].T
-            s += self.word_bias[b:e]
-            s -= s.max(axis=1, keepdims=True)
-            at = (np.arange(len(rows)), words[rows] - b)
-            found = s[at].astype(np.float64)
-            np.exp(s, out=s)
-            total = s.sum(axis=1)
-            out[rows] += found - np.log(total)
-            if grad is not None:
-                s /= total[:, None]
-                s[at] -= 1
-                grad["words"][b:e], grad["word_bias"][b:e] = s.T @ h[rows], s.sum(axis=0)
-                dh[rows] += s @ self.words[b:e]
-        if grad is not None:
-            grad["h"] = dh
+            for lo in range(ends[k], ends[k + 1], 4 * _ROWS):
+                rows = slice(lo, min(lo + 4 * _ROWS, ends[k + 1]))
+                found[rows], d, back = _chosen(sorted_h[rows], by_word[b:e], word[rows] - b, shift, some)
+                if some:
+                    d_word[b:e] += d
+                    sorted_dh[rows] = back
+        out[own] += found
+        if some:
+            dh[own] += sorted_dh
+            grad |= {"classes": d_class[:, :-1], "class_bias": d_class[:, -1], "words": d_word[:, :-1], "word_bias": d_word[:, -1], "h": dh}
         return out
 
     def gradients(self, symbols, fresh, classes, words, real, h) -> tuple[dict, np.ndarray, float]:
@@ -116,28 +147,35 @@ class Recurrent:
         states = self.states(symbols, h, fresh, kept)
         grad: dict = {}
         loss = -self.log_probability(states[real], classes[real], words[real], grad).sum()
-        d_states = np.zeros_like(states)
+        d_states = np.zeros(states.shape, F32)
         d_states[real] = grad.pop("h")
-        n, d_recur = self.hidden, np.zeros_like(self.recur)
-        d_in = np.empty((*symbols.shape, 3 * n), F32)
-        d_next = np.zeros_like(h)
+        d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        n, (before, gates, c, g) = self.hidden, kept
+        z, r, old = gates[:, :n], gates[:, n:], (~fresh).astype(F32)
+        stay = 1 - z
+        to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * stay, g * r * (1 - r)
+        d_in, d_last = np.empty((len(symbols), 3 * n, symbols.shape[1]), F32), np.empty_like(before)
+        d_next = np.zeros_like(before[0])
+        first, last = np.ascontiguousarray(self.recur[:, : 2 * n]), np.ascontiguousarray(self.recur[:, 2 * n :])
         for t in range(len(symbols) - 1, -1, -1):
-            before, z, r, c, g = kept[t]
-            d = d_states[t] + d_next
-            d_c = d * z * (1 - c * c)
-            d_in[t, :, :n] = d * (c - before) * z * (1 - z)
-            d_in[t, :, n : 2 * n] = d_c * g * r * (1 - r)
-            d_in[t, :, 2 * n :] = d_c
-            d_gate = d_in[t].copy()
-            d_gate[:, 2 * n :] *= r
-            d_recur += before.T @ d_gate
-            d_next = np.where(fresh[t][:, None], F32(0), d * (1 - z) + d_gate @ self.recur.T)
-        flat, rows = symbols.ravel(), d_in.reshape(-1, 3 * n)
-        order = np.argsort(flat, kind="stable")
-        seen, first = np.unique(flat[order], return_index=True)
+            d = d_next
+            d += d_states[t]
+            d_c = np.multiply(d, to_c[t], out=d_in[t, 2 * n :])
+            np.multiply(d, to_z[t], out=d_in[t, :n])
+            np.multiply(d_c, to_r[t], out=d_in[t, n : 2 * n])
+            np.multiply(d_c, r[t], out=d_last[t])
+            d_next = first @ d_in[t, : 2 * n]
+            d_next += last @ d_last[t]
+            d *= stay[t]
+            d_next += d
+            if fresh[t].any():
+                d_next *= old[t]
+        grad["recur"] = np.concatenate([(before @ d.transpose(0, 2, 1)).sum(axis=0) for d in (d_in[:, : 2 * n], d_last)], axis=1)
+        flat, rows = symbols.ravel(), d_in.transpose(0, 2, 1).reshape(-1, 3 * n)
+        order = _order(flat, len(self.table))
+        begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grad["table"] = np.zeros_like(self.table)
-        grad["table"][seen] = np.add.reduceat(rows[order], first, axis=0)
-        grad["recur"] = d_recur
+        grad["table"][flat[order[begins]]] = np.add.reduceat(rows[order], begins, axis=0)
         return grad, states[-1], loss
 
 
@@ -154,9 +192,17 @@ class Adam:
         rate = F32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for p, g in grad.items():
             m, v, g = self.m[p], self.v[p], g * F32(scale)
-            m += F32(0.1) * (g - m)
-            v += F32(0.001) * (g * g - v)
-            getattr(self.net, p)[...] -= rate * m / (np.sqrt(v) + F32(1e-8))
+            m *= F32(0.9)
+            m += g * F32(0.1)
+            v *= F32(0.999)
+            g *= g
+            g *= F32(0.001)
+            v += g
+            np.sqrt(v, out=g)
+            g += F32(1e-8)
+            np.divide(m, g, out=g)
+            g *= rate
+            getattr(self.net, p)[...] -= g
 
 
 def train(net: Recurrent, adam: Adam, symbols: np.ndarray, classes: np.ndarray, words: np.ndarray, bounds: np.ndarray, lanes: int = 64, window: int = 32) -> tuple[float, int]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from spanlake.llm.common import Words
-from spanlake.llm.language_model import fit, lm_scores, vocabulary, word_counts
+from spanlake.llm.language_model import _ending, fit, lm_scores, vocabulary, word_counts
 from spanlake.llm.queries import op11_lm_scores
 from spanlake.llm.recurrent import Adam, Recurrent, score, train
 
@@ -97,6 +97,34 @@ def test_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1, abs=1e-4) and len(table) > 100 and seen
 
 
+def test_every_training_text_is_learnt_from(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), 1, 1) for i in range(100)]
+
+    def weights(rows):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        return fit(docs, vocabulary(word_counts(docs), len(rows)), enough=1, each=2000).parameters()  # four learners
+
+    first = weights(rows)
+    assert np.array_equal(first, weights(rows[::-1]))
+    for i in (0, 41, 99):  # the same words in another order leave the counts as they are
+        other = [(k, text[::-1] if k == i else text, *rest) for k, text, *rest in rows]
+        assert not np.array_equal(first, weights(other)), i
+
+
+def test_symbols_give_the_targets_of_whole_texts(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    vocab = vocabulary(word_counts(docs), docs.count(), head=5, head_classes=2, endings=4)
+    texts = [b"the dog RUNS", b"", b"xyz home home", b" "]
+    (before, classes, own), bounds, w = vocab.tokens(texts)
+    assert bounds.tolist() == [0, 4, 5, 9, 10]
+    symbol, k, n = vocab.coded(w.hashes.view(np.int64), _ending(w))
+    inside = np.delete(np.arange(10), bounds[1:] - 1)
+    assert classes[inside].tolist() == k.tolist() and own[inside].tolist() == n.tolist()
+    assert set(classes[bounds[1:] - 1]) == {vocab.end[1]} and set(own[bounds[1:] - 1]) == {-1}
+    assert set(before[bounds[:-1]]) == {vocab.end[0]} and before[[1, 2, 3]].tolist() == symbol[:3].tolist()
+
+
 def small(hidden=5):
     rng = np.random.default_rng(0)
     net = Recurrent(np.array([0, 0, 0, 1, 1]), rng.random(5) * 9, rng.random(5) * 9, 8, hidden)
