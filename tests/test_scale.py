@@ -4,7 +4,9 @@ import threading
 
 from pyspark.sql import functions as F
 
+from spanlake.functions.text import normalize_hex_route, normalize_route, route_matches
 from spanlake.operators import code as C
+from spanlake.operators import search as S
 
 
 def within(spark, seconds, run):
@@ -24,3 +26,30 @@ def test_router_modules_that_end_alike(spark):
     units = spark.range(12_000).select(F.col("id").alias("unit_id"), F.concat(F.lit("m"), n, F.lit("/api/routes.py")).alias("source_file"), F.lit("GET /x").alias("route_path"))
     got = within(spark, 60, lambda: C.resolve_router_prefixes(units, edges).collect())
     assert {(r["unit_id"], r["route_path"]) for r in got} == {(i, f"GET /p{i}/x") for i in range(12_000)}
+
+
+def test_many_units_of_one_route(spark):
+    """40,000 requests fit the one route of 40,000 units."""
+    n = F.col("id").cast("string")
+    units = spark.range(40_000).select((F.col("id") + 7).alias("unit_id"), F.lit("GET /api/{id}/items/{id}").alias("route_path"))
+    queries = spark.range(40_000).select(F.col("id").alias("query_id"), F.concat(F.lit("/api/"), n, F.lit("/items/7")).alias("text"))
+    got = within(spark, 60, lambda: S.lookup_route_fuzzy(queries, units).select("query_id", "unit_id", "score").collect())
+    assert len(got) == 40_000 and {tuple(r)[1:] for r in got} == {(7, 1.0)}
+    got = within(spark, 60, lambda: S.lookup_route(queries, units, 2).select("query_id", "unit_id", "score", "rank").collect())
+    assert len(got) == 80_000 and {tuple(r)[1:] for r in got} == {(7, 1.0, 1), (8, 1.0, 2)}
+
+
+def test_routes_meet_as_by_route_matches(spark):
+    routes = ["/a/{x}", "/{x}/b", "/a/b", "/{x}/{y}", "/a{x}/b", "/a/{}/c", "//a/b/", "/", "/{x}", "/a/{id}/c/{id}", "/=a/b"]
+    paths = ["/a/b", "/a/1", "/7/b", "/a/1/c", "/", "/q", "/a/2/c/5", "/{}/b", "/=a/b", "/a{x}/b", "/a//c", "/z/9"]
+    units = spark.createDataFrame([(i, f"GET {r}") for i, r in enumerate(routes)], "unit_id long, route_path string")
+    queries = spark.createDataFrame(list(enumerate(paths)), "query_id long, text string")
+    both = queries.crossJoin(units.withColumn("route", F.substring_index("route_path", " ", -1)))
+    fits = lambda path: F.col("route").contains("{") & route_matches(F.col("route"), path)
+    want = {tuple(r) for r in both.select("query_id", "unit_id", F.when(F.col("text") == F.col("route"), 2.0).when(fits(F.col("text")), 1.0).alias("s")).filter("s is not null").collect()}
+    assert {tuple(r) for r in S.lookup_route(queries, units, 100).select("query_id", "unit_id", "score").collect()} == want
+    found = F.lit(False)
+    for path in (normalize_route(F.col("text")), normalize_hex_route(F.col("text"))):
+        found = found | path.endswith(F.col("route")) & (F.col("route") != "") & F.col("route").startswith("/") & ~F.col("route").isin("/") | (path == F.col("route")) | fits(path)
+    got = {tuple(r) for r in S.lookup_route_fuzzy(queries, units, 100).select("query_id", "unit_id").collect()}
+    assert got == {tuple(r) for r in both.filter(found).select("query_id", "unit_id").collect()}
