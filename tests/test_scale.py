@@ -5,6 +5,7 @@ import random
 import threading
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import normalize_hex_route, normalize_route, route_matches
@@ -126,3 +127,18 @@ def test_a_keyword_that_all_share(spark):
     queries = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(F.lit("GET"), F.concat(F.lit("x"), F.format_string("%05d", "id"))).alias("keywords"))
     got = within(spark, 60, lambda: S.lookup_keywords(queries, code, 1).collect())
     assert {(r["query_id"], r["unit_id"], r["score"]) for r in got} == {(i, i if i < 6000 else 0, 2.0 if i < 6000 else 1.0) for i in range(20_000)} and len(got) == 20_000
+
+
+def test_index_with_recall_1_is_exact(spark):
+    """More queries than are measured, vectors without structure, a clustered half, hot vectors and several vectors of an id."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 12))
+    x[2000:] = x[rng.integers(0, 30, 2000)] + 0.05 * x[2000:]
+    x[500:900] = x[500]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0, 2.0]), (5002, [3.0, 1.0])]
+    asks = [(i // 2 if i < 100 else i, x[i].tolist()) for i in range(0, 4000, 2)] + [(9000, [1.0, 1.0]), (9001, None)]
+    units, queries = spark.createDataFrame(rows, "unit_id long, vector array<double>"), spark.createDataFrame(asks, "query_id long, vector array<double>")
+    want = sorted(tuple(r) for r in S.vector_top_k(queries, units).collect())
+    index = S.build_vector_index(units, side=300)
+    for side in (20_000, 700):
+        assert sorted(tuple(r) for r in S.vector_top_k_indexed(queries, index, recall=1.0, side=side).collect()) == want
