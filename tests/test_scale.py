@@ -3,11 +3,13 @@
 import os
 import random
 import threading
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from spanlake.functions import extract as X
 from spanlake.functions.text import normalize_hex_route, normalize_route, route_matches
 from spanlake.operators import code as C
 from spanlake.operators import contains
@@ -142,3 +144,11 @@ def test_index_with_recall_1_is_exact(spark):
     index = S.build_vector_index(units, side=300)
     for side in (20_000, 700):
         assert sorted(tuple(r) for r in S.vector_top_k_indexed(queries, index, recall=1.0, side=side).collect()) == want
+
+
+def test_java_heads_below_long_comments():
+    """A comment's lines are blanks to the heads; they aren't gone through again from each of them."""
+    source = "class A {\n" + "// words of a long comment, one line of many\n" * 12_000 + "\n  record B(int a) { }\n}\n\f class C { }\n"
+    start = time.process_time()
+    got = [(u["name"], u["unit_type"], u["start_line"]) for u in X.EXTRACTORS[".java"](source, "a.java", "a")]
+    assert got == [("A", "class", 1), ("B", "class", 12_003), ("C", "class", 12_005)] and time.process_time() - start < 20
